@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, host_rules
+from . import exact_dedup, host_rules, simhash
 
-MODULES = (exact_dedup, host_rules)
+MODULES = (exact_dedup, host_rules, simhash)
 
 
 def queries() -> dict:
