@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, host_rules, simhash
+from . import exact_dedup, host_rules, simhash, substring_dedup
 
-MODULES = (exact_dedup, host_rules, simhash)
+MODULES = (exact_dedup, host_rules, simhash, substring_dedup)
 
 
 def queries() -> dict:
