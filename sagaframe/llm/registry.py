@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, host_rules, simhash, substring_dedup
+from . import bpe, chat_format, exact_dedup, host_rules, simhash, substring_dedup
 
-MODULES = (exact_dedup, host_rules, simhash, substring_dedup)
+MODULES = (bpe, exact_dedup, host_rules, simhash, substring_dedup, chat_format)
 
 
 def queries() -> dict:
