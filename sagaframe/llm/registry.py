@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, exact_dedup, host_rules, simhash, substring_dedup
+from . import bpe, chat_format, exact_dedup, host_rules, simhash, substring_dedup, toxicity
 
-MODULES = (bpe, exact_dedup, host_rules, simhash, substring_dedup, chat_format)
+MODULES = (bpe, exact_dedup, host_rules, simhash, substring_dedup, toxicity, chat_format)
 
 
 def queries() -> dict:
