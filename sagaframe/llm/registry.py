@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, exact_dedup, host_rules, simhash, substring_dedup, toxicity
+from . import bpe, chat_format, exact_dedup, host_rules, html_text, mixing, simhash, substring_dedup, toxicity, warc_audit
 
-MODULES = (bpe, exact_dedup, host_rules, simhash, substring_dedup, toxicity, chat_format)
+MODULES = (html_text, simhash, substring_dedup, host_rules, toxicity, mixing, warc_audit, exact_dedup, bpe, chat_format)
 
 
 def queries() -> dict:
