@@ -15,6 +15,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -29,6 +30,7 @@ from .common import table
 SUFFIX = "</w>"
 #: Bytes taken in at a time beyond the lookahead, and words remembered by a worker.
 WINDOW_BYTES, KNOWN_WORDS = 256, 400_000
+NONE = 1 << 60
 
 #: White space as Unicode has it (fixed by the vocabulary's normalizer).
 _BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -47,6 +49,12 @@ _CASED = regex.compile("[" + "".join(map(chr, _CASE)) + "]")
 _BLANKS = regex.compile(f"[{_BLANK}]+")
 #: The vocabulary's own split pattern (fixed by its file).
 _PIECES = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{_LETTER}+|{_NUMBER}|[[^{_BLANK}\p{{L}}\p{{N}}]||[{_NEW}]]+")
+#: The same for texts of the first code points only, where the built-in engine does with plain sets.
+_LOW = range(0x250)
+_LOW_LETTERS, _LOW_NUMBERS = ("".join(chr(c) for c in _LOW if unicodedata.category(chr(c))[0] == k) for k in "LN")
+_LOW_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LOW_LETTERS}]+|[{_LOW_NUMBERS}]|[^\t-\r \x85\xa0{_LOW_LETTERS}{_LOW_NUMBERS}]+")
+_LOW_BLANKS = re.compile(r"[\t-\r \x85\xa0]+")
+_HIGH = re.compile(f"[^{chr(0)}-{chr(_LOW[-1])}]")
 
 
 def byte_alphabet() -> list[str]:
@@ -77,6 +85,20 @@ def sufficient_lookahead(merges: list[tuple[str, str]], length: dict[str, int])
     return longest + max(length.values(), default=0)
 
 
+class _Known(dict):
+    """Words met before, with their ids and tokens; forgotten all at once when they are too many."""
+
+    def __init__(self, bpe: Bpe):
+        self.bpe = bpe
+
+    def __missing__(self, word: str) -> tuple[str, str]:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        ids = self.bpe.tokenize(word.encode())
+        out = self[word] = " ".join(map(str, ids)), " ".join([self.bpe.token[i] for i in ids])
+        return out
+
+
 class Bpe:
     """A word-level BPE vocabulary with an end-of-word suffix, read from a tokenizer file."""
 
@@ -86,7 +108,8 @@ class Bpe:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in (self.vocab | self.special).items()}
-        self.rank = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in reversed([*enumerate(merges)])}
+        # a pair's rank and what it becomes, in one number each
+        self.rank = {self.vocab[a] << 20 | self.vocab[b]: r << 20 | self.vocab[a + b] for r, (a, b) in reversed([*enumerate(merges)])}
         self.length = {t: len(t.removesuffix(SUFFIX)) or len(t) for t in self.vocab}
         self.lookahead = sufficient_lookahead(merges, self.length)
         alphabet = byte_alphabet()
@@ -94,24 +117,20 @@ class Bpe:
         self.final = [self.vocab[c + SUFFIX] for c in alphabet]
         self.byte = {c: b for b, c in enumerate(alphabet)}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, tuple[str, str]] = {}
+        self.known = _Known(self)
 
     def _merge(self, ids: list[int]) -> list[int]:
-        """Merge by rank until no pair is left."""
-        rank = self.rank
-        while len(ids) > 1:
-            least = min((rank[p] for p in zip(ids, ids[1:]) if p in rank), default=None)
-            if least is None:
-                break
-            out, k, n = [], 0, len(ids)
-            while k < n:
-                if k + 1 < n and rank.get((ids[k], ids[k + 1])) == least:
-                    out.append(least[1])
-                    k += 2
-                else:
-                    out.append(ids[k])
-                    k += 1
-            ids = out
+        """Merge the pair of the least rank, the leftmost first, until no pair is left."""
+        rank, ids = self.rank, [*ids]
+        ranks = [rank.get(a << 20 | b, NONE) for a, b in zip(ids, ids[1:])]
+        while ranks and (least := min(ranks)) != NONE:
+            k = ranks.index(least)
+            new = ids[k] = least & 0xFFFFF
+            del ids[k + 1], ranks[k]
+            if k:
+                ranks[k - 1] = rank.get(ids[k - 1] << 20 | new, NONE)
+            if k < len(ranks):
+                ranks[k] = rank.get(new << 20 | ids[k + 1], NONE)
         return ids
 
     def transduce(self, word: Iterable[int]) -> Iterator[int]:
@@ -136,29 +155,31 @@ class Bpe:
             if not taken:  # a token longer than the window allows to settle
                 room += WINDOW_BYTES
 
-    def _word(self, word: str) -> tuple[str, str]:
-        """A word's ids and its tokens, each joined by one space."""
-        ids = [*self.transduce(word.encode())]
-        found = " ".join(map(str, ids)), " ".join(self.token[i] for i in ids)
-        if len(self.known) >= KNOWN_WORDS:
-            self.known.clear()
-        self.known[word] = found
-        return found
-
-    def words(self, text: str) -> Iterator[tuple[str, str]]:
-        """Ids and tokens, word by word; strings of special tokens stand for themselves."""
-        known = self.known
+    def tokenize(self, word: bytes) -> list[int]:
+        """Token ids of one word; what the window takes in at once needs no stream."""
+        if len(word) <= self.lookahead + WINDOW_BYTES:
+            return self._merge([self.start[b] for b in word[:-1]] + [self.final[word[-1]]]) if word else []
+        return [*self.transduce(word)]
+
+    def found(self, text: str) -> list[tuple[str, str]]:
+        """Of each word its ids and its tokens, each joined by one space; strings of special
+        tokens stand for themselves."""
+        out: list[tuple[str, str]] = []
         for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
             if k % 2:
-                yield str(self.special[part]), part
+                out.append((str(self.special[part]), part))
                 continue
-            plain = _BLANKS.sub(" ", unicodedata.normalize("NFC", part))
-            plain = (plain.translate(_CASE) if _CASED.search(plain) else plain).lower()
-            for word in _PIECES.findall(plain):
-                yield known.get(word) or self._word(word)
+            if _HIGH.search(part):
+                plain = _BLANKS.sub(" ", unicodedata.normalize("NFC", part))
+                plain = (plain.translate(_CASE) if _CASED.search(plain) else plain).lower()
+            else:
+                plain = _LOW_BLANKS.sub(" ", part).lower()
+            pieces = (_PIECES if _HIGH.search(plain) else _LOW_PIECES).findall(plain)
+            out += map(self.known.__getitem__, pieces)
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, _ in self.words(text) for i in ids.split(" ")]
+        return [int(i) for ids, _ in self.found(text) for i in ids.split(" ")]
 
     def decode_pieces(self, ids: Iterable[int]) -> Iterator[str]:
         """The decoding of a vocabulary without a decoder: its tokens, joined by one space."""
@@ -193,7 +214,7 @@ def _coded(shared, full: bool):
         for batch in batches:
             counts, digests, decoded, lists = [], [], [], []
             for raw in batch.column(1):
-                pairs = [*bpe.words(raw.as_py() or "")]
+                pairs = bpe.found(raw.as_py() or "")
                 ids = " ".join([p[0] for p in pairs])
                 counts.append(ids.count(" ") + 1 if ids else 0)
                 digests.append(hashlib.sha256(ids.encode()).hexdigest())
