@@ -10,12 +10,14 @@ rows. A word's features are its kernel values with the landmarks, times the inve
 the landmarks' own kernel matrix (Nyström), and a linear SVM is trained on them: words that
 hold a landmark in toxic texts against words of clean texts. The SVM is linear in the
 subsequences, so it collapses to one weight a subsequence, which is what the executors look
-up. A logistic curve over a text's ``WORST`` worst words and its number of words, fitted on
-the sample's texts, turns the margins into a probability.
+up. A logistic curve, fitted on a part of the sample that the words' SVM has not seen, says how
+likely a text is toxic that holds a word of a given margin; a text's score joins the chances of
+its ``WORST`` worst words as independent causes (noisy or).
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import itertools
 import re
@@ -33,10 +35,11 @@ from .common import table
 SPAN, DECAY = 8, 0.5
 #: Landmarks, how often each toxic text shall be covered by them, their length, their least log odds.
 LANDMARKS, COVER, LANDMARK_LETTERS, LEAST_ODDS = 64, 8, (4, 9), 1.5
-#: Words whose margins a text's score looks at.
-WORST = 3
+#: Words whose margins a text's score looks at, and how much worse a toxic text is to miss than
+#: a clean one to accuse.
+WORST, MISS_COST = 3, 1.5
 #: Labelled texts of each class that are used to fit, and clean words among them.
-FIT_TOXIC, FIT_CLEAN, FIT_WORDS = 1500, 3000, 40_000
+FIT_TOXIC, FIT_CLEAN, FIT_WORDS = 400, 1000, 20_000
 #: Words whose scores a worker remembers.
 KNOWN_WORDS = 400_000
 
@@ -111,11 +114,13 @@ class Codes:
 
 @dataclass
 class Model:
-    """Weights of subsequences, the SVM's bias, and the logistic curve over a text's figures."""
+    """Weights of subsequences, the SVM's bias, and the logistic curve over a word's margin with
+    the chance of a word that says nothing."""
 
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = -1.0
-    curve: tuple[float, ...] = (-1.0,) + (0.0,) * (WORST + 1)
+    curve: tuple[float, float] = (-3.0, 0.0)
+    base: float = 0.0
     landmarks: list[str] = field(default_factory=list)
 
     def __post_init__(self) -> None:
@@ -124,7 +129,7 @@ class Model:
         self._known: dict[str, float] = {}
 
     def __reduce__(self):
-        return Model, (self.weights, self.bias, self.curve, self.landmarks)
+        return Model, (self.weights, self.bias, self.curve, self.base, self.landmarks)
 
     def margins(self, words: list[str]) -> np.ndarray:
         """SVM outputs of words given as letters; a word that shares nothing gets the bias."""
@@ -134,9 +139,8 @@ class Model:
         total = sum(self._table[rows] * weight for rows, weight in patterns)
         return np.add.reduceat(total, starts) + self.bias
 
-    def figures(self, texts: list[str]) -> np.ndarray:
-        """A text's largest margins over its distinct words (the bias where it has fewer), and
-        the logarithm of their number."""
+    def worst(self, texts: list[str], most: int = WORST) -> np.ndarray:
+        """A text's largest margins over its distinct words, the bias where it has fewer."""
         split, known = [set(tokens(t)) for t in texts], self._known
         if len(known) > KNOWN_WORDS:
             known.clear()
@@ -144,15 +148,16 @@ class Model:
         for k in range(0, len(fresh), 20_000):
             part = fresh[k : k + 20_000]
             known.update(zip(part, self.margins([letters(w) for w in part]).tolist()))
-        out = np.full((len(texts), WORST + 1), self.bias)
+        out = np.full((len(texts), most), self.bias)
         for k, ws in enumerate(split):
-            top = heapq.nlargest(WORST, map(known.__getitem__, ws))
+            top = heapq.nlargest(most, map(known.__getitem__, ws))
             out[k, : len(top)] = top
-            out[k, WORST] = np.log1p(len(ws))
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        return _sigmoid(self.figures(texts) @ np.array(self.curve[1:]) + self.curve[0])
+        chance = _sigmoid(self.curve[0] + self.curve[1] * self.worst(texts))
+        caused = np.clip((chance - self.base) / (1 - self.base), 0, 1)
+        return 1 - np.prod(1 - caused, axis=1)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -163,24 +168,24 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], limit: int =
     """Letter runs that are likelier in toxic texts than in clean ones, picked greedily by how
     many toxic texts they cover (each counts up to COVER times) and by the odds. Texts are
     given as their sets of words."""
-    lo, hi = LANDMARK_LETTERS
+    common = Counter(w for t in clean for w in t)
+    rare = [[w for w in t if common[w] <= 0.05 * len(clean)] for t in toxic]
+    least = min(max(4, len(toxic) // 100), len(toxic))
 
-    def runs(w: str) -> set[str]:
-        return {w[a : a + n] for n in range(lo, min(hi, len(w)) + 1) for a in range(len(w) - n + 1)}
+    def runs(w: str, n: int) -> Iterator[str]:
+        return (w[a : a + n] for a in range(len(w) - n + 1))
 
-    common = Counter(w for t in clean for w in t)
-    holders: dict[str, list[int]] = {}
-    for k, t in enumerate(toxic):
-        for w in t:
-            if common[w] <= 0.05 * len(clean):
-                holders.setdefault(w, []).append(k)
     texts: dict[str, set[int]] = {}
-    for w, at in holders.items():
-        for g in runs(w):
-            texts.setdefault(g, set()).update(at)
-    least = min(max(4, len(toxic) // 100), len(toxic))
-    texts = {g: at for g, at in texts.items() if len(at) >= least}
-    told = {w: hit for w in common if (hit := runs(w) & texts.keys())}
+    sizes = range(LANDMARK_LETTERS[0], LANDMARK_LETTERS[1] + 1)
+    for n in sizes:  # one length at a time, as most runs come once
+        counts: Counter = Counter()
+        for t in rare:
+            counts.update({g for w in t for g in runs(w, n)})
+        often = {g for g, c in counts.items() if c >= least}
+        for k, t in enumerate(rare):
+            for g in {g for w in t for g in runs(w, n)} & often:
+                texts.setdefault(g, set()).add(k)
+    told = {w: hit for w in common if (hit := {g for n in sizes for g in runs(w, n) if g in texts})}
     against: Counter = Counter()
     for t in clean:
         against.update(set().union(*(told[w] for w in t if w in told)))
@@ -238,12 +243,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, clean_weight: float = 1.0, ridge: fl
     return (float(c[0] - slopes @ x.mean(axis=0)), *map(float, slopes))
 
 
-def fit(toxic: list[str], clean: list[str]) -> Model:
-    """Train on texts of the two classes. Without either class, or without landmarks, every
-    text gets one score below one half."""
-    toxic, clean = sorted(set(toxic)), sorted(set(clean) - set(toxic))
-    if not toxic or not clean:
-        return Model()
+def _fit_words(toxic: list[str], clean: list[str]) -> Model:
+    """Landmarks and the SVM over words; no landmarks give a model without weights."""
     words = [[{letters(w) for w in tokens(t)} - {""} for t in side] for side in (toxic, clean)]
     marks = choose_landmarks(*words)
     if not marks:
@@ -281,9 +282,30 @@ def fit(toxic: list[str], clean: list[str]) -> Model:
     held = np.array([float(spread[w]) for w in holding])
     w, b = _svm(x, y, np.concatenate([held / held.sum(), 2 * often / often.sum()]))
     weights = dense @ (root @ w)
-    model = Model({u: float(weights[k]) for u, k in axis.items()}, float(b), landmarks=marks)
-    curve = _logistic(np.concatenate([model.figures(toxic), model.figures(clean)]), np.repeat([1.0, 0.0], [len(toxic), len(clean)]))
-    return Model(model.weights, model.bias, curve, marks)
+    return Model({u: float(weights[k]) for u, k in axis.items()}, float(b), landmarks=marks)
+
+
+def fit(toxic: list[str], clean: list[str], share: float = 0.1) -> Model:
+    """Train on texts of the two classes; ``share`` is how many of all texts are toxic.
+
+    The curve comes from every third text, with words trained on the others; the words are then
+    trained on all. Without either class, or without landmarks, every text gets one low score.
+    """
+    toxic, clean = sorted(set(toxic)), sorted(set(clean) - set(toxic))
+    if not toxic or not clean:
+        return Model()
+    order = [sorted(side, key=lambda t: hashlib.md5(t.encode()).digest()) for side in (toxic, clean)]
+    part = _fit_words(*[[t for k, t in enumerate(side) if k % 3] for side in order])
+    model = _fit_words(toxic, clean)
+    if not part.weights or not model.weights:
+        return Model()
+    seen = [part.worst(side[::3], 1) for side in order]
+    x = np.concatenate([m.ravel() for m in seen])[:, None]
+    y = np.repeat([1.0, 0.0], [m.size for m in seen])
+    share = min(max(share, 0.01), 0.99)
+    curve = _logistic(x, y, (1 - share) / share / MISS_COST)
+    none = float(_sigmoid(np.array(curve[0] + curve[1] * float(np.median(seen[1])))))
+    return Model(model.weights, model.bias, (curve[0], max(curve[1], 0.0)), none, model.landmarks)
 
 
 def held_out(id_col: str) -> Column:
@@ -304,7 +326,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most fit_toxic + fit_clean rows
     texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     rows = texts.join(picked, "__id").select("__label", "__text").collect()
-    return fit([r[1] for r in rows if r[0] == 1], [r[1] for r in rows if r[0] == 0])
+    share = marked.agg(F.avg(F.col("__label").cast("double"))).first()[0]
+    return fit([r[1] for r in rows if r[0] == 1], [r[1] for r in rows if r[0] == 0], share or 0.1)
 
 
 def _scored(shared):
