@@ -113,8 +113,8 @@ def timeline(edges: DataFrame, nodes: DataFrame, entities: DataFrame, hops: int
     after it, if there are any; 3: its outgoing edges with a chapter, or, without those, the
     incoming ones (as layer 4).
     """
-    e = entities.select("entity")
-    events = nodes.filter("label = 'Event'").select(F.col("name").alias("item"), F.col("chapter").alias("at"))
+    e, edges = entities.select("entity"), written(edges, "edges")
+    events = written(nodes.filter("label = 'Event'").select(F.col("name").alias("item"), F.col("chapter").alias("at")), "events")
     involved = edges.filter("rel_type = 'INVOLVED_IN'").join(e, F.col("src") == F.col("entity")).join(events, F.col("tgt") == F.col("item")).select("entity", F.lit(1).alias("layer"), F.lit("events").alias("source"), "item", "rel_type", F.col("at").alias("chapter"), F.lit(0).alias("step"))
     after = edges.filter("rel_type = 'TEMPORAL_BEFORE'").select("src", "tgt")
     level = e.join(events, F.col("entity") == F.col("item")).select("entity", "item")
