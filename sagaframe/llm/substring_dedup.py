@@ -14,7 +14,7 @@ Every window of ``WINDOW`` words is an edge of the graph, from its first to its
   say which path goes on, so no rounds of joins are needed), and a join with the documents
   cuts the spans from them.
 
-Edges are compared by a 64-bit hash of the seed with a 48-bit hash of the whole window, at
+Edges are compared by a 64-bit hash of the seed with a 40-bit hash of the whole window, at
 the same offset from the seed.
 """
 
@@ -33,7 +33,7 @@ from .common import table
 
 WINDOW, SEED = 20, 5
 #: Bytes of a window's hash that travel.
-HASH_BYTES = 6
+HASH_BYTES = 5
 #: Words that are hashed together, and words whose hashes are remembered.
 CHUNK_WORDS, KNOWN_WORDS = 200_000, 300_000
 

@@ -3,6 +3,8 @@ import math
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from sagaframe.llm import host_rules as H
 from sagaframe.llm import mixing as M
 
@@ -38,8 +40,9 @@ def test_hosts(spark):
     assert not any(got[k] for k in range(30))
     assert [got[100 + k] for k in range(30)] == [False] + [True] * 29
     assert got[200] and got[201]
-    out = H.quality_rules(docs.withColumnRenamed("source", "kept"), host_col="kept") if False else H.quality_rules(docs.filter("false"))
-    assert out.count() == 0
+    assert H.quality_rules(docs.filter("false")).count() == 0
+    clash = docs.withColumn("host_rate", F.lit("x")).withColumn("n_words", F.lit(None))
+    assert {r.doc_id: r.kept for r in H.quality_rules(clash).collect()} == got
 
 
 def test_host_rate_is_shrunk(spark):
