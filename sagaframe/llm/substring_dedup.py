@@ -6,7 +6,7 @@ Every window of ``WINDOW`` words is an edge of the graph, from its first to its
 * Edges are partitioned by their minimizer, the least-hashed ``SEED``-word run inside the
   window. Consecutive edges with the same minimizer travel as one row (a short path), so the
   graph moves in about one row for nine edges, and equal edges always meet under one seed.
-* Per seed, rows pass in order of their coordinates (document, position). The first
+* Paths that a task has met before are settled where they are read. Per seed, the rest pass in order of their coordinates (document, position). The first
   coordinate of an edge is its source; every later edge with the same words points to it.
 * Runs of edges that follow their source along one diagonal (same source document, same
   distance) are nonbranching paths: a branch is where the source or the distance changes.
@@ -40,6 +40,12 @@ CHUNK_WORDS, KNOWN_WORDS = 200_000, 300_000
 _MULTIPLIERS = np.random.default_rng(20).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+#: A path whose source is known: marker (no path's first byte is that large), edges, source.
+SETTLED = 255
+_SETTLED = np.dtype([("mark", "u1"), ("edges", "<i4"), ("doc", "<i8"), ("pos", "<i4")])
+SETTLED_BYTES = _SETTLED.itemsize
+
+
 class _Hashes(dict):
     """Word hashes, forgotten all at once when they are too many."""
 
@@ -76,7 +82,7 @@ def _minimizers(grams: np.ndarray, width: int) -> np.ndarray:
 
 
 def super_edges(h: np.ndarray, lengths: np.ndarray, window: int, seed: int) -> tuple:
-    """Paths of edges with one minimizer: (seed, text, position, payload offsets, payload).
+    """Paths of edges with one minimizer: (seed, text, position, content hash, payload offsets, payload).
 
     ``h`` holds the word hashes of several texts one after another. A payload is a byte, the
     seed's distance from the first window, then HASH_BYTES for each window.
@@ -101,7 +107,38 @@ def super_edges(h: np.ndarray, lengths: np.ndarray, window: int, seed: int) -> t
     body[header] = False
     payload[header] = (at[head] - first[head]).astype(np.uint8)
     payload[body] = whole.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].ravel()
-    return grams[at[head]], text[head], first[head] - begins[text[head]], np.append(header, len(payload)).astype(np.int32), payload
+    step = np.arange(len(first)) - np.repeat(head, np.diff(np.append(head, len(first))))
+    same = np.add.reduceat(whole * _MULTIPLIERS[step], head) + payload[header]
+    return grams[at[head]], text[head], first[head] - begins[text[head]], same, np.append(header, len(payload)), payload
+
+
+def _settle(seeds: np.ndarray, doc: np.ndarray, pos: np.ndarray, same: np.ndarray, offsets: np.ndarray, payload: np.ndarray) -> tuple:
+    """Pre-aggregate: a path that an earlier one of the batch equals needs no comparison.
+
+    Such a row keeps, in place of its hashes, the marker SETTLED, its number of edges and its
+    source's coordinates, and gets a key of its own, so a path that very many documents hold
+    does not gather under its seed.
+    """
+    order = np.lexsort((pos, doc, same, seeds))
+    lead = np.concatenate(([True], (seeds[order[1:]] != seeds[order[:-1]]) | (same[order[1:]] != same[order[:-1]])))
+    source = np.empty(len(seeds), dtype=np.int64)
+    source[order] = order[np.maximum.accumulate(np.where(lead, np.arange(len(seeds)), 0))]
+    done = (doc != doc[source]) | (pos != pos[source])
+    old = np.diff(offsets)
+    size = np.where(done, SETTLED_BYTES, old)
+    fresh = np.concatenate(([0], np.cumsum(size)))
+    out = np.empty(int(fresh[-1]), dtype=np.uint8)
+    kept = np.flatnonzero(~done)
+    shift = np.repeat(offsets[:-1][kept] - fresh[:-1][kept], old[kept])
+    into = np.arange(len(shift)) + np.repeat(fresh[:-1][kept] - (np.cumsum(old[kept]) - old[kept]), old[kept])
+    out[into] = payload[into + shift]
+    told = np.flatnonzero(done)
+    record = np.zeros(len(told), dtype=_SETTLED)
+    record["mark"], record["edges"] = SETTLED, (old[told] - 1) // HASH_BYTES
+    record["doc"], record["pos"] = doc[source[told]], pos[source[told]]
+    out[fresh[:-1][told][:, None] + np.arange(SETTLED_BYTES)] = record.view(np.uint8).reshape(len(told), SETTLED_BYTES)
+    own = doc.astype(np.uint64) * _MULTIPLIERS[0] + pos.astype(np.uint64) * _MULTIPLIERS[1]
+    return np.where(done, own, seeds), fresh.astype(np.int32), out
 
 
 def _edges_of(window: int, seed: int):
@@ -112,9 +149,11 @@ def _edges_of(window: int, seed: int):
             h = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
             found = super_edges(h, np.array([len(p) for p in parts], dtype=np.int64), window, seed)
             if found:
-                seeds, text, pos, offsets, payload = found
+                seeds, text, pos, same, offsets, payload = found
+                doc = np.array(ids, dtype=np.int64)[text]
+                seeds, offsets, payload = _settle(seeds, doc, pos, same, offsets, payload)
                 path = pa.Array.from_buffers(pa.binary(), len(seeds), [None, pa.py_buffer(offsets), pa.py_buffer(payload)])
-                yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array(np.array(ids, dtype=np.int64)[text]), pa.array(pos.astype(np.int32)), path], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array(doc), pa.array(pos.astype(np.int32)), path], names=names)
 
         parts, ids, held = [], [], 0
         for batch in batches:
@@ -145,19 +184,29 @@ def _sources(window: int):
             path = batch.column(3)
             offsets = np.frombuffer(path.buffers()[1], dtype=np.int32)[path.offset : path.offset + len(path) + 1].astype(np.int64)
             data = np.frombuffer(path.buffers()[2], dtype=np.uint8)
+            begin, stop = offsets[:-1], offsets[1:]
+            done = data[begin] == SETTLED
+            if done.any():
+                raw = data[begin[done][:, None] + np.arange(SETTLED_BYTES)]
+                told = np.ascontiguousarray(raw).view(_SETTLED).ravel()
+                columns = (doc[done], pos[done], (pos[done] + told["edges"] + window - 1).astype(np.int32), told["doc"].astype(np.int64), told["pos"].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+                seed, doc, pos, begin, stop = (x[~done] for x in (seed, doc, pos, begin, stop))
+                if not len(seed):
+                    continue
             # rows whose seed is alone hold nothing to compare
             twin = np.concatenate(([False], seed[1:] == seed[:-1]))
             many = twin | np.concatenate((twin[1:], [True])) | (seed == known[0][-1] if len(known[0]) else False)
             rows = np.flatnonzero(many)
-            counts = (offsets[rows + 1] - offsets[rows] - 1) // HASH_BYTES
+            counts = (stop[rows] - begin[rows] - 1) // HASH_BYTES
             row = np.repeat(rows, counts)
             step = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
             wide = np.zeros((len(row), 8), dtype=np.uint8)
-            base = offsets[row] + 1 + HASH_BYTES * step
+            base = begin[row] + 1 + HASH_BYTES * step
             for k in range(HASH_BYTES):
                 wide[:, k] = data[base + k]
             hashed = wide.view("<u8").ravel()
-            offset = data[offsets[row]].astype(np.int64) - step
+            offset = data[begin[row]].astype(np.int64) - step
             p = pos[row].astype(np.int64) + step
             old = len(known[0])
             s, o, e, d, q = (np.concatenate(x) for x in zip(known, (seed[row], offset, hashed, doc[row], p)))
