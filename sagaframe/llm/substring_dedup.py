@@ -14,8 +14,10 @@ Every window of ``WINDOW`` words is an edge of the graph, from its first to its
   say which path goes on, so no rounds of joins are needed), and a join with the documents
   cuts the spans from them.
 
-Edges are compared by a 64-bit hash of the seed with a 40-bit hash of the whole window, at
-the same offset from the seed.
+Edges are first compared by a 64-bit hash of the seed with a 40-bit hash of the whole window,
+at the same offset from the seed. This misses no repeat but may join windows that differ, so
+no span is cut before a 128-bit digest of its words equals that of its source's words. The
+windows of a span that fails are looked up in all documents by their words.
 """
 
 from __future__ import annotations
@@ -29,13 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 WINDOW, SEED = 20, 5
 #: Bytes of a window's hash that travel.
 HASH_BYTES = 5
 #: Words that are hashed together, and words whose hashes are remembered.
 CHUNK_WORDS, KNOWN_WORDS = 200_000, 300_000
+#: Hashes of windows of failed spans that are looked up in one pass over the documents.
+LOOKUP_HASHES = 1_000_000
 
 _MULTIPLIERS = np.random.default_rng(20).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -248,6 +252,88 @@ def repeated_spans(paths: DataFrame, window: int = WINDOW) -> DataFrame:
     return marked.groupBy("doc", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("src_doc", "start").alias("src_doc"), F.min("src_start").alias("src_start")).drop("span")
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digest the words of each wanted slice; a slice that a row does not have is left out."""
+    for batch in batches:
+        out: list[tuple] = []
+        for i, raw, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            words = raw.as_py().split()
+            for x in wanted.as_py():
+                if x["start"] + x["n"] <= len(words):
+                    found = hashlib.blake2b(b" ".join(words[x["start"] : x["start"] + x["n"]]), digest_size=16).digest()
+                    out.append((i, x["start"], x["n"], x["src_doc"], x["src_start"], found))
+        columns = list(zip(*out)) or [()] * 6
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc", "start", "n", "src_doc", "src_start", "digest"])
+
+
+def compared_spans(spans: DataFrame, raw: DataFrame) -> DataFrame:
+    """``(doc, start, end, equal)``: whether a row of the span's document has the words of a row of its source.
+
+    ``raw`` has the documents as (__id, __text). Of a source's slice only one digest travels.
+    """
+    n = (F.col("end") - F.col("start")).alias("n")
+    slices = spans.select(F.col("src_doc").alias("doc"), F.col("src_start").alias("start"), n).distinct()
+    kind = "long", "int"
+    sources = slices.select("doc", "start", "n", *(F.lit(None).cast(k).alias(c) for c, k in zip(("src_doc", "src_start"), kind)))
+    wanted = spans.select("doc", "start", n, "src_doc", "src_start").unionByName(sources)
+    wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "src_doc", "src_start")).alias("wanted"))
+    asked = raw.join(wanted, F.col("__id") == F.col("doc")).select("__id", "__text", "wanted")
+    found = materialize(asked.mapInArrow(_digests, "doc long, start int, n int, src_doc long, src_start int, digest binary"), "digests")
+    own = found.filter("src_doc IS NOT NULL")
+    theirs = found.filter("src_doc IS NULL").select(F.col("doc").alias("src_doc"), F.col("start").alias("src_start"), "n", "digest").distinct().withColumn("equal", F.lit(True))
+    told = own.join(theirs, ["src_doc", "src_start", "n", "digest"], "left").select("doc", "start", (F.col("start") + F.col("n")).alias("end"), F.coalesce("equal", F.lit(False)).alias("equal"))
+    sure = told.groupBy("doc", "start", "end").agg(F.max("equal").alias("equal"))
+    # a span that no single row holds has no digest at all
+    return spans.select("doc", "start", "end").join(sure, ["doc", "start", "end"], "left").withColumn("equal", F.coalesce("equal", F.lit(False)))
+
+
+def _windows(window: int, seed: int, wanted: np.ndarray | None):
+    """Windows ``(doc, pos, hash, words)``: those in given spans, or those with a wanted hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                words = batch.column(1)[row].as_py().split()
+                if len(words) < window:
+                    continue
+                hashed = _run_hashes(np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words)), window, seed).view(np.int64)
+                if wanted is None:
+                    pick = np.zeros(len(hashed), dtype=bool)
+                    for x in batch.column(2)[row].as_py():
+                        pick[x["start"] : x["end"] - window + 1] = True
+                else:
+                    pick = wanted[np.minimum(np.searchsorted(wanted, hashed), len(wanted) - 1)] == hashed
+                found = np.flatnonzero(pick)
+                for k in range(0, len(found), 10_000):
+                    at = found[k : k + 10_000]
+                    texts = pa.array([b" ".join(words[p : p + window]) for p in at.tolist()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[row].as_py()] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(hashed[at]), texts], names=["doc", "pos", "hash", "words"])
+
+    return run
+
+
+def looked_up(failed: DataFrame, raw: DataFrame, window: int, seed: int, at_once: int = LOOKUP_HASHES) -> DataFrame:
+    """Windows ``(doc, start, end)`` of failed spans whose words do occur earlier, found by the words themselves.
+
+    The documents are read once for each ``at_once`` distinct hashes of such windows.
+    """
+    kind = "doc long, pos int, hash long, words binary"
+    grouped = failed.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    asked = raw.join(grouped, F.col("__id") == F.col("doc")).select("__id", "__text", "spans")
+    suspects = materialize(asked.mapInArrow(_windows(window, seed, None), kind), "suspects")
+    out, rest = None, suspects
+    while True:
+        hashes = np.array([r.hash for r in rest.select("hash").distinct().orderBy("hash").limit(at_once).collect()], dtype=np.int64)
+        if not len(hashes):
+            return out if out is not None else failed.select("doc", "start", "end").limit(0)
+        first = raw.mapInArrow(_windows(window, seed, hashes), kind).groupBy("words").agg(F.min(F.struct("doc", "pos")).alias("first"))
+        here = rest.filter(F.col("hash") <= int(hashes[-1])).join(first, "words").filter(F.struct("doc", "pos") > F.col("first"))
+        part = materialize(here.select("doc", F.col("pos").alias("start"), (F.col("pos") + window).alias("end")).distinct(), "looked_up")
+        out = part if out is None else out.unionByName(part)
+        rest = rest.filter(F.col("hash") > int(hashes[-1]))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_words, n_removed, kept_text = [], [], []
@@ -274,9 +360,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeat an id count as one document: windows at the same position are one window, and each
     row is cut alike. Texts shorter than a window are never cut. Empty tables give no rows.
     """
+    texts = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("binary").alias("__text"))
+    spans = materialize(repeated_spans(repeated_paths(docs, id_col, text_col, window, seed), window), "spans")
+    compared = materialize(compared_spans(spans, texts), "compared")
+    sure, failed = compared.filter("equal").drop("equal"), compared.filter("NOT equal").drop("equal")
+    if not failed.isEmpty():
+        sure = sure.unionByName(looked_up(failed, texts, window, seed))
     # one cover per document: spans that overlap need no further merging to be cut
-    spans = repeated_spans(repeated_paths(docs, id_col, text_col, window, seed), window)
-    cover = spans.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    cover = sure.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     raw = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("__text"))
     kind = docs.schema[id_col].dataType.simpleString()
     joined = raw.join(cover, F.col("__id") == F.col("doc"), "left").select("__id", "__text", "spans")

@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sagaframe.llm import exact_dedup as X
@@ -94,3 +96,51 @@ def test_substring_query_and_odd_rows(spark, sf_dir):
     out = sorted(((r.doc_id, r.n_words, r.n_removed) for r in S.remove_repeats(rows).collect()), key=repr)
     assert out == sorted([(None, 30, 0), (1, 30, 0), (1, 30, 0), (2, 0, 0), (3, 0, 0), (4, 1, 0)], key=repr)
     assert S.remove_repeats(rows.filter("false")).count() == 0
+
+
+def hashes(words):
+    return np.array([xxhash.xxh3_64_intdigest(w.encode()) for w in words], dtype=np.uint64)
+
+
+def windows_that_collide():
+    """Two windows that differ in words, with one seed at one offset and 40 equal bits of the window's hash."""
+    rng = random.Random(5)
+    phrase = min(([f"p{rng.randrange(10**6)}" for _ in range(S.SEED)] for _ in range(4000)), key=lambda p: int(S._run_hashes(hashes(p), S.SEED, 0)[0]))
+    start = [f"s{k}" for k in range(S.WINDOW - S.SEED - 2)] + phrase
+    n = 2500
+    left, right = [f"a{k}" for k in range(n)], [f"b{k}" for k in range(n)]
+    m = S._MULTIPLIERS[S.SEED : S.SEED + S.WINDOW]
+    base = (hashes(start) * m[: S.WINDOW - 2]).sum(dtype=np.uint64)
+    acc = (base + hashes(left) * m[-2])[:, None] + (hashes(right) * m[-1])[None, :]
+    acc ^= acc >> np.uint64(32)
+    acc *= np.uint64(0x9E3779B97F4A7C15)
+    low = ((acc ^ (acc >> np.uint64(29))) & np.uint64(2**40 - 1)).ravel()
+    order = np.argsort(low)
+    for k in np.flatnonzero(low[order[1:]] == low[order[:-1]]):
+        a, b = (start + [left[x // n], right[x % n]] for x in (int(order[k]), int(order[k + 1])))
+        found = [S.super_edges(hashes(w), np.array([S.WINDOW]), S.WINDOW, S.SEED) for w in (a, b)]
+        if a != b and found[0][0][0] == found[1][0][0] and bytes(found[0][5][:6]) == bytes(found[1][5][:6]):
+            return a, b
+    raise AssertionError("no collision found")
+
+
+def test_windows_of_one_hash_are_told_apart(spark):
+    a, b = windows_that_collide()
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(["x", *b, "y"])), (4, " ".join(["z", *a]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.kept, r.n_words, r.n_removed) for r in S.remove_repeats(docs).collect()}
+    assert got == plain_cut(rows, S.WINDOW) and got[2][2] == 0 and got[3][2] == S.WINDOW
+
+
+def test_look_up_in_several_passes(spark):
+    rows = [(k, " ".join(f"w{j}" for j in range(k % 3, 40 + k % 3))) for k in range(6)]
+    raw = spark.createDataFrame(rows, "__id long, __text string").selectExpr("__id", "cast(__text AS binary) AS __text")
+    every = spark.createDataFrame([(k, 0, 40) for k in range(6)], "doc long, start int, end int")
+    seen, want = set(), set()
+    for k, t in rows:
+        words = t.split()
+        for p in range(21):
+            g = tuple(words[p : p + 20])
+            want |= {(k, p, p + 20)} if g in seen else set()
+            seen.add(g)
+    assert {(r.doc, r.start, r.end) for r in S.looked_up(every, raw, 20, 5, at_once=7).collect()} == want
