@@ -6,7 +6,10 @@ Every window of ``WINDOW`` words is an edge of the graph, from its first to its
 * Edges are partitioned by their minimizer, the least-hashed ``SEED``-word run inside the
   window. Consecutive edges with the same minimizer travel as one row (a short path), so the
   graph moves in about one row for nine edges, and equal edges always meet under one seed.
-* Paths that a task has met before are settled where they are read. Per seed, the rest pass in order of their coordinates (document, position). The first
+* Paths that a task has met before are settled where they are read. A seed with very many edges
+  left is split: each of its edges travels alone, keyed by seed, offset and window hash, so equal
+  edges still meet and no task holds the seed. The rest pass seed by seed in order of their
+  coordinates (document, position). The first
   coordinate of an edge is its source; every later edge with the same words points to it.
 * Runs of edges that follow their source along one diagonal (same source document, same
   distance) are nonbranching paths: a branch is where the source or the distance changes.
@@ -40,6 +43,8 @@ HASH_BYTES = 5
 CHUNK_WORDS, KNOWN_WORDS = 200_000, 300_000
 #: Hashes of windows of failed spans that are looked up in one pass over the documents.
 LOOKUP_HASHES = 1_000_000
+#: Edges from which a seed is split, the share of paths by which they are counted, and seeds split at most.
+HOT_EDGES, COUNTED_SHARE, HOT_SEEDS = 100_000, 16, 100_000
 
 _MULTIPLIERS = np.random.default_rng(20).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -85,11 +90,19 @@ def _minimizers(grams: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def super_edges(h: np.ndarray, lengths: np.ndarray, window: int, seed: int) -> tuple:
+def _edge_keys(seeds: np.ndarray, offset: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Keys by which single edges are laid out: equal for equal edges."""
+    key = seeds * _MULTIPLIERS[2] + offset.astype(np.uint64) * _MULTIPLIERS[3] + whole * _MULTIPLIERS[4]
+    key ^= key >> np.uint64(32)
+    return key * np.uint64(0x9E3779B97F4A7C15)
+
+
+def super_edges(h: np.ndarray, lengths: np.ndarray, window: int, seed: int, hot: np.ndarray | None = None) -> tuple:
     """Paths of edges with one minimizer: (seed, text, position, content hash, payload offsets, payload).
 
     ``h`` holds the word hashes of several texts one after another. A payload is a byte, the
-    seed's distance from the first window, then HASH_BYTES for each window.
+    seed's distance from the first window, then HASH_BYTES for each window. Edges of the
+    seeds in ``hot`` (sorted) make a path each, with a key in which offset and hash are mixed.
     """
     begins = np.concatenate(([0], np.cumsum(lengths)))
     if len(h) < window:
@@ -104,6 +117,11 @@ def super_edges(h: np.ndarray, lengths: np.ndarray, window: int, seed: int) -> t
         return None
     at, whole, text = at[first], whole[first], text[first]
     fresh = np.concatenate(([True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])))
+    key = grams[at]
+    if hot is not None and len(hot):
+        split = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+        fresh |= split
+        key = np.where(split, _edge_keys(key, at - first, whole), key)
     head = np.flatnonzero(fresh)
     header = HASH_BYTES * head + np.arange(len(head))
     payload = np.empty(HASH_BYTES * len(first) + len(head), dtype=np.uint8)
@@ -113,7 +131,7 @@ def super_edges(h: np.ndarray, lengths: np.ndarray, window: int, seed: int) -> t
     payload[body] = whole.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].ravel()
     step = np.arange(len(first)) - np.repeat(head, np.diff(np.append(head, len(first))))
     same = np.add.reduceat(whole * _MULTIPLIERS[step], head) + payload[header]
-    return grams[at[head]], text[head], first[head] - begins[text[head]], same, np.append(header, len(payload)), payload
+    return key[head], text[head], first[head] - begins[text[head]], same, np.append(header, len(payload)), payload
 
 
 def _settle(seeds: np.ndarray, doc: np.ndarray, pos: np.ndarray, same: np.ndarray, offsets: np.ndarray, payload: np.ndarray) -> tuple:
@@ -145,17 +163,24 @@ def _settle(seeds: np.ndarray, doc: np.ndarray, pos: np.ndarray, same: np.ndarra
     return np.where(done, own, seeds), fresh.astype(np.int32), out
 
 
-def _edges_of(window: int, seed: int):
+def _edges_of(window: int, seed: int, hot: np.ndarray | None = None, counted: int = 0):
+    """Give the settled and unsettled paths, or with ``counted`` the edges of one unsettled path in so many, by seed."""
     names = ["seed", "doc", "pos", "path"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> Iterator[pa.RecordBatch]:
             h = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
-            found = super_edges(h, np.array([len(p) for p in parts], dtype=np.int64), window, seed)
+            found = super_edges(h, np.array([len(p) for p in parts], dtype=np.int64), window, seed, hot)
             if found:
                 seeds, text, pos, same, offsets, payload = found
                 doc = np.array(ids, dtype=np.int64)[text]
                 seeds, offsets, payload = _settle(seeds, doc, pos, same, offsets, payload)
+                if counted:
+                    drawn = (doc.astype(np.uint64) * _MULTIPLIERS[5] + pos.astype(np.uint64) * _MULTIPLIERS[6]) >> np.uint64(40)
+                    pick = (drawn % np.uint64(counted) == 0) & (payload[offsets[:-1]] != SETTLED)
+                    edges = (np.diff(offsets)[pick].astype(np.int64) - 1) // HASH_BYTES
+                    yield pa.RecordBatch.from_arrays([pa.array(seeds[pick].view(np.int64)), pa.array(edges)], names=["seed", "edges"])
+                    return
                 path = pa.Array.from_buffers(pa.binary(), len(seeds), [None, pa.py_buffer(offsets), pa.py_buffer(payload)])
                 yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array(doc), pa.array(pos.astype(np.int32)), path], names=names)
 
@@ -233,10 +258,27 @@ def _sources(window: int):
     return run
 
 
-def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
+def hot_seeds(raw: DataFrame, window: int, seed: int, hot_edges: int = HOT_EDGES, counted: int = COUNTED_SHARE) -> np.ndarray:
+    """Seeds with about ``hot_edges`` unsettled edges or more, the largest HOT_SEEDS of them.
+
+    The count is of one path in ``counted``. It decides only how edges are laid out, so that an
+    error in it changes no result.
+    """
+    counts = raw.mapInArrow(_edges_of(window, seed, None, counted), "seed long, edges long").groupBy("seed").agg(F.sum("edges").alias("edges"))
+    most = counts.filter(F.col("edges") * counted >= hot_edges).orderBy(F.desc("edges"), "seed").limit(HOT_SEEDS)
+    return np.sort(np.array([r.seed for r in most.collect()], dtype=np.int64).view(np.uint64))
+
+
+def edge_paths(raw: DataFrame, window: int, seed: int, hot_edges: int = HOT_EDGES, counted: int = COUNTED_SHARE) -> DataFrame:
+    """All paths ``(seed, doc, pos, path)``, those of hot seeds split into their edges."""
+    hot = hot_seeds(raw, window, seed, hot_edges, counted)
+    return raw.mapInArrow(_edges_of(window, seed, hot), "seed long, doc long, pos int, path binary")
+
+
+def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED, hot_edges: int = HOT_EDGES, counted: int = COUNTED_SHARE) -> DataFrame:
     """Short paths ``(doc, start, end, src_doc, src_start)`` of edges that also start earlier."""
     raw = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"))
-    edges = raw.mapInArrow(_edges_of(window, seed), "seed long, doc long, pos int, path binary")
+    edges = edge_paths(raw, window, seed, hot_edges, counted)
     laid = edges.repartition("seed").sortWithinPartitions("seed", "doc", "pos")
     return laid.mapInArrow(_sources(window), "doc long, start int, end int, src_doc long, src_start int")
 

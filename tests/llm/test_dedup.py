@@ -144,3 +144,20 @@ def test_look_up_in_several_passes(spark):
             want |= {(k, p, p + 20)} if g in seen else set()
             seen.add(g)
     assert {(r.doc, r.start, r.end) for r in S.looked_up(every, raw, 20, 5, at_once=7).collect()} == want
+
+
+def test_hot_seeds_are_split(spark):
+    rng = random.Random(7)
+    phrase = min(([f"p{rng.randrange(10**6)}" for _ in range(S.SEED)] for _ in range(4000)), key=lambda p: int(S._run_hashes(hashes(p), S.SEED, 0)[0]))
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = [(k, " ".join([word() for _ in range(30)] + phrase + [word() for _ in range(30)])) for k in range(300)]
+    rows += [(k + 300, " ".join(["x"] + rows[k][1].split()[10:50] + ["y"])) for k in range(0, 300, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    raw = docs.selectExpr("doc_id", "cast(text AS binary) AS text")
+    most = lambda paths: paths.filter(F.substring("path", 1, 1) != F.unhex(F.lit("FF"))).groupBy("seed").agg(F.sum((F.length("path") - 1) / S.HASH_BYTES).alias("n")).agg(F.max("n")).first()[0]
+    assert most(S.edge_paths(raw, 20, 5)) > 100  # some seed keeps its edges together
+    assert most(S.edge_paths(raw, 20, 5, hot_edges=50, counted=1)) < 50
+    want = plain_cut(rows, 20)
+    gone = lambda paths: {(r.doc, p) for r in paths.collect() for p in range(r.start, r.end)}
+    split = gone(S.repeated_paths(docs, hot_edges=50, counted=1))
+    assert split == gone(S.repeated_paths(docs)) and len(split) == sum(n for _, _, n in want.values())
