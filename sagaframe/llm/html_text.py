@@ -20,15 +20,17 @@ from .common import table
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_CSS_NOISE = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|<!--|-->", re.DOTALL)
+_CSS_PART = re.compile(r"([^{};]*)([{};]|\Z)")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
-_UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+_UNSEEN_STYLE = re.compile(r"(?<![\w-])(?:display\s*:\s*none|content-visibility\s*:\s*hidden)", re.IGNORECASE)
+_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(visible|initial|hidden|collapse)", re.IGNORECASE)
 
 # Names and nesting rules of HTML (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 UNSEEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas svg math datalist".split())
-PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure".split())
+PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre xmp table ul ol dl figure".split())
 BLOCK = PARAGRAPH | frozenset(
     "html body address article aside center details dialog dd div dir dt fieldset figcaption footer form frameset header hgroup hr legend li main menu nav section summary optgroup option caption tr".split()
 )
@@ -56,6 +58,53 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2].strip("\"'")) if m[2] else "" for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" /") else {}
 
 
+def _on_any_screen(media: str) -> bool:
+    """Whether a media query holds on every screen; one that asks for a feature, such as a width, does not."""
+    for query in media.lower().split(","):
+        words = query.split()
+        if words[:1] == ["only"]:
+            words = words[1:]
+        if words in ([], ["all"], ["screen"]) or (len(words) == 2 and words[0] == "not" and words[1] not in ("all", "screen") and "(" not in query):
+            return True
+    return False
+
+
+def _applies(at_rule: str) -> bool:
+    """Whether the rules in an at-rule's block hold on screen."""
+    name, _, rest = at_rule[1:].replace("(", " (", 1).strip().partition(" ")
+    name = name.lower()
+    return name == "layer" or (name == "supports" and not rest.strip().lower().startswith("not")) or (name == "media" and _on_any_screen(rest))
+
+
+def _screen_rules(css: str) -> Iterator[tuple[str, str]]:
+    """Selectors and declarations of the rules that hold on screen; rules within rules are left out."""
+    open_: list[tuple[bool, str | None, list[str]]] = []  # holds, selectors (None: an at-rule), declarations
+
+    def close() -> Iterator[tuple[str, str]]:
+        holds, selectors, told = open_.pop()
+        if holds and selectors is not None:
+            yield selectors, ";".join(told)
+
+    for m in _CSS_PART.finditer(_CSS_NOISE.sub(" ", css)):
+        part, mark = m[1].strip(), m[2]
+        if mark == "{":
+            holds = not open_ or (open_[-1][0] and open_[-1][1] is None)
+            open_.append((holds and _applies(part), None, []) if part[:1] == "@" else (holds, part, []))
+            continue
+        if open_:
+            open_[-1][2].append(part)
+            if mark == "}":
+                yield from close()
+    while open_:
+        yield from close()
+
+
+def _veils(declarations: str) -> bool | None:
+    """Whether declarations hide by visibility, or show; None if they say neither."""
+    found = _VISIBILITY.findall(declarations)
+    return found[-1].lower() in ("hidden", "collapse") if found else None
+
+
 class _Canvas:
     """Lines of one flow: the page, or one table cell."""
 
@@ -113,14 +162,17 @@ class _Table:
 
 class _Renderer:
     def __init__(self) -> None:
-        self.open: list[tuple[str, bool]] = []  # element, and whether it is hidden itself
+        self.open: list[tuple[str, bool, bool]] = []  # element, whether it is hidden itself, and whether its parent is veiled
         self.hidden = 0
+        self.veiled = False  # hidden by visibility, which an element within can undo
         self.canvases = [_Canvas()]
         self.tables: list[_Table] = []
         self.lists: list[list] = []  # kind, next number
         self.pre = 0
         self.unseen_tags: set[str] = set()
         self.unseen_marks: set[str] = set()
+        self.veils: dict[str, tuple[int, bool]] = {}  # selector, and its last rule's place and visibility
+        self.rules = 0
 
     def _indent(self) -> str:
         return "  " * len(self.lists)
@@ -133,14 +185,32 @@ class _Renderer:
             canvas.blank = True
 
     def style(self, css: str) -> None:
-        """Remember the plain selectors (tag, .class, #id) that a style sheet hides."""
-        for m in _RULE.finditer(css):
-            if _UNSEEN_STYLE.search(m[2]):
-                for selector in (x.strip() for x in m[1].split(",")):
-                    if re.fullmatch(r"[.#][\w-]+", selector):
-                        self.unseen_marks.add(selector)
-                    elif re.fullmatch(r"[a-zA-Z][\w-]*", selector):
-                        self.unseen_tags.add(selector.lower())
+        """Remember the plain selectors (tag, .class, #id) that a style sheet hides, or shows by visibility."""
+        for selectors, declarations in _screen_rules(css):
+            none, veils = _UNSEEN_STYLE.search(declarations), _veils(declarations)
+            if not none and veils is None:
+                continue
+            for selector in (x.strip() for x in selectors.split(",")):
+                mark = re.fullmatch(r"[.#][\w-]+", selector)
+                if not mark and not re.fullmatch(r"[a-zA-Z][\w-]*", selector):
+                    continue
+                selector = selector if mark else selector.lower()
+                if none:
+                    (self.unseen_marks if mark else self.unseen_tags).add(selector)
+                if veils is not None:
+                    self.veils[selector] = (self.rules, veils)
+            self.rules += 1
+
+    def _is_veiled(self, tag: str, attrs: dict[str, str]) -> bool:
+        """By its own style, else by its id, its classes, its tag; else as its parent is."""
+        own = _veils(attrs.get("style", "")) if attrs else None
+        if own is not None or not self.veils:
+            return self.veiled if own is None else own
+        classes = [self.veils[m] for c in attrs.get("class", "").split() if (m := "." + c) in self.veils]
+        for found in ([self.veils.get("#" + attrs.get("id", ""))], classes, [self.veils.get(tag)]):
+            if found := [x for x in found if x]:
+                return max(found)[1]
+        return self.veiled
 
     def _is_hidden(self, tag: str, attrs: dict[str, str]) -> bool:
         if tag in UNSEEN or tag in self.unseen_tags or "hidden" in attrs or (tag == "dialog" and "open" not in attrs):
@@ -157,17 +227,18 @@ class _Renderer:
             self._close_within(("p",), _SCOPE)
         if tag in IMPLIED:
             self._close_within(*IMPLIED[tag])
-        if tag in ("td", "th") and self.tables and not any(t in ("tr", "table") for t, _ in reversed(self.open[-1:])):
+        if tag in ("td", "th") and self.tables and not any(t in ("tr", "table") for t, *_ in reversed(self.open[-1:])):
             self.start("tr", {})
         hidden = self._is_hidden(tag, attrs)
         if tag in VOID:
             if not hidden and not self.hidden:
                 if tag in ("br", "hr"):
                     self.canvases[-1].end_line(self._indent(), keep=tag == "br" and bool(self.canvases[-1].now))
-                elif tag == "img" and attrs.get("alt"):
-                    self.text(attrs["alt"])
+                elif tag == "img" and attrs.get("alt") and not self._is_veiled(tag, attrs):
+                    self.text(attrs["alt"], shown=True)
             return
-        self.open.append((tag, hidden))
+        self.open.append((tag, hidden, self.veiled))
+        self.veiled = self._is_veiled(tag, attrs)
         self.hidden += hidden
         if self.hidden:
             return
@@ -190,11 +261,11 @@ class _Renderer:
             kind = self.lists[-1] if self.lists else ["ul", 1]
             self.canvases[-1].mark = "  " * max(len(self.lists) - 1, 0) + (f"{kind[1]}. " if kind[0] == "ol" else "- ")
             kind[1] += 1
-        elif tag == "pre":
+        elif tag in ("pre", "xmp"):
             self.pre += 1
 
     def _pop(self) -> None:
-        tag, own = self.open.pop()
+        tag, own, self.veiled = self.open.pop()
         seen = not self.hidden
         self.hidden -= own
         if not seen:
@@ -217,7 +288,7 @@ class _Renderer:
             self._break(tag)
             if tag == "li":
                 self.canvases[-1].mark = ""
-            elif tag == "pre":
+            elif tag in ("pre", "xmp"):
                 self.pre -= 1
 
     def _close_within(self, names: tuple[str, ...], borders: tuple[str, ...]) -> None:
@@ -245,8 +316,8 @@ class _Renderer:
             if self.open[k][0] in stop:
                 return
 
-    def text(self, value: str) -> None:
-        if self.hidden:
+    def text(self, value: str, shown: bool = False) -> None:
+        if self.hidden or (self.veiled and not shown):
             return
         if self.open and self.open[-1][0] in ("table", "tr", "thead", "tbody", "tfoot") and not value.strip():
             return
@@ -282,13 +353,16 @@ def render(page: str | None) -> str:
         if m[1]:
             out.end(tag)
             continue
-        out.start(tag, _attributes(m[3]))
+        attrs = _attributes(m[3])
+        out.start(tag, attrs)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
             inside = page[at : close.start() if close else len(page)]
             at = close.end() if close else len(page)
-            if tag == "style":
+            if tag == "style" and _on_any_screen(attrs.get("media", "")):
                 out.style(inside)
+            elif tag == "xmp":
+                out.text(inside)
             elif tag == "textarea":
                 out.text(html.unescape(inside))
             out.end(tag)

@@ -18,6 +18,17 @@ def test_layout():
     assert "Name        | N\nlonger name | 1" in got and "\n\nthree\nfour\n\n" in got
 
 
+def test_what_a_screen_shows():
+    css = "@media print { .noprint { display: none } } @media (max-width: 600px) { .wide, p { display: none } } @media not print { .n { display: none } } @media screen { .s { display: none } } /* .c { display: none } */ .z { display: none }"
+    page = f"<style>{css}</style><style media=print>.m {{ display: none }}</style>" + "".join(f"<p class={c}>{c}</p>" for c in ("noprint", "wide", "n", "s", "c", "z", "m"))
+    assert H.render(page).split() == ["noprint", "wide", "c", "m"]
+    page = "<style>.v{visibility:hidden} .w{visibility:visible} .b{backface-visibility:hidden}</style><div class=v>no<p style='visibility: visible'>a<i>b</i></p>no<p class=w>c<b class=v>no</b></p>no<img alt=no></div><p class=b>d</p>"
+    assert H.render(page).split() == ["ab", "c", "d"]
+    assert H.render("<div style='display:none'>no<p style='visibility:visible'>no</p></div>a") == "a"
+    assert H.render("x<xmp><b>&amp;  y</b>\nz</xmp>w").split("\n") == ["x", "", "<b>&amp;  y</b>", "z", "", "w"]
+    assert H.render("<xmp hidden>no</xmp>a") == "a"
+
+
 def test_broken_pages():
     assert H.render(None) == "" and H.render("") == ""
     assert H.render("a < b") == "a < b"
