@@ -19,6 +19,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -30,6 +31,8 @@ from .common import table
 SUFFIX = "</w>"
 #: Bytes taken in at a time beyond the lookahead, and words remembered by a worker.
 WINDOW_BYTES, KNOWN_WORDS = 256, 400_000
+#: Words whose ids are hashed and decoded at a time.
+WORDS_AT_ONCE = 2000
 NONE = 1 << 60
 
 #: White space as Unicode has it (fixed by the vocabulary's normalizer).
@@ -86,16 +89,15 @@ def sufficient_lookahead(merges: list[tuple[str, str]], length: dict[str, int])
 
 
 class _Known(dict):
-    """Words met before, with their ids and tokens; forgotten all at once when they are too many."""
+    """Words met before, with their ids; forgotten all at once when they are too many."""
 
     def __init__(self, bpe: Bpe):
         self.bpe = bpe
 
-    def __missing__(self, word: str) -> tuple[str, str]:
+    def __missing__(self, word: str) -> str:
         if len(self) >= KNOWN_WORDS:
             self.clear()
-        ids = self.bpe.tokenize(word.encode())
-        out = self[word] = " ".join(map(str, ids)), " ".join([self.bpe.token[i] for i in ids])
+        out = self[word] = " ".join(map(str, self.bpe.tokenize(word.encode())))
         return out
 
 
@@ -161,25 +163,22 @@ class Bpe:
             return self._merge([self.start[b] for b in word[:-1]] + [self.final[word[-1]]]) if word else []
         return [*self.transduce(word)]
 
-    def found(self, text: str) -> list[tuple[str, str]]:
-        """Of each word its ids and its tokens, each joined by one space; strings of special
-        tokens stand for themselves."""
-        out: list[tuple[str, str]] = []
+    def found(self, text: str) -> Iterator[str]:
+        """Of each word its ids, joined by one space; strings of special tokens have one id."""
         for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
             if k % 2:
-                out.append((str(self.special[part]), part))
+                yield str(self.special[part])
                 continue
             if _HIGH.search(part):
                 plain = _BLANKS.sub(" ", unicodedata.normalize("NFC", part))
                 plain = (plain.translate(_CASE) if _CASED.search(plain) else plain).lower()
             else:
                 plain = _LOW_BLANKS.sub(" ", part).lower()
-            pieces = (_PIECES if _HIGH.search(plain) else _LOW_PIECES).findall(plain)
-            out += map(self.known.__getitem__, pieces)
-        return out
+            for m in (_PIECES if _HIGH.search(plain) else _LOW_PIECES).finditer(plain):
+                yield self.known[m[0]]
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, _ in self.found(text) for i in ids.split(" ")]
+        return [int(i) for ids in self.found(text) for i in ids.split(" ")]
 
     def decode_pieces(self, ids: Iterable[int]) -> Iterator[str]:
         """The decoding of a vocabulary without a decoder: its tokens, joined by one space."""
@@ -214,15 +213,23 @@ def _coded(shared, full: bool):
         for batch in batches:
             counts, digests, decoded, lists = [], [], [], []
             for raw in batch.column(1):
-                pairs = bpe.found(raw.as_py() or "")
-                ids = " ".join([p[0] for p in pairs])
-                counts.append(ids.count(" ") + 1 if ids else 0)
-                digests.append(hashlib.sha256(ids.encode()).hexdigest())
+                text, n = raw.as_py() or "", 0
+                digest, told, gap = hashlib.sha256(), hashlib.sha256(), ""
+                words = bpe.found(text)
                 if full:
-                    lists.append([int(i) for i in ids.split(" ")] if ids else [])
-                    decoded.append("".join(bpe.decode_text(lists[-1])))
-                else:
-                    decoded.append(hashlib.sha256(" ".join([p[1] for p in pairs]).encode()).hexdigest())
+                    lists.append([])
+                while some := " ".join(islice(words, WORDS_AT_ONCE)):
+                    ids = [int(i) for i in some.split(" ")]
+                    n += len(ids)
+                    digest.update((gap + some).encode())
+                    if full:
+                        lists[-1] += ids
+                    else:
+                        told.update((gap + "".join(bpe.decode_pieces(ids))).encode())
+                    gap = " "
+                counts.append(n)
+                digests.append(digest.hexdigest())
+                decoded.append("".join(bpe.decode_text(lists[-1])) if full else told.hexdigest())
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             names = ["__id", "n_tokens", "ids_sha256", "decoded_text" if full else "decoded_sha256"]
             if full:

@@ -1,7 +1,10 @@
+import hashlib
 import json
 import random
+from types import SimpleNamespace
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -96,3 +99,22 @@ def test_query_and_odd_rows(spark, sf_dir, mine, theirs):
     out = sorted(((r.doc_id, r.n_tokens, r.decoded_text) for r in B.encode_documents(rows).collect()), key=repr)
     assert out == sorted([(None, 0, ""), (1, 0, ""), (1, 2, "hi there ")], key=repr)
     assert B.encode_documents(rows.filter("false")).count() == 0
+
+
+def test_decoded_digest_is_made_from_the_ids(theirs, monkeypatch):
+    with open(PATH, encoding="utf-8") as f:
+        bpe = B.Bpe(f.read())
+    monkeypatch.setattr(B, "load", lambda file: bpe)
+    monkeypatch.setattr(B, "WORDS_AT_ONCE", 3, raising=False)
+    texts = ["", " ", "one two <|endoftext|> three, four's five " * 3, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["__id", "__text"])
+    run = lambda: next(B._coded(SimpleNamespace(value=""), False)([batch])).to_pylist()
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    before = run()
+    for r, text in zip(before, texts):
+        ids = theirs.encode(text or "", add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), sha(" ".join(map(str, ids))))
+        assert r["decoded_sha256"] == sha(theirs.decode(ids, skip_special_tokens=False))
+    bpe.token[bpe.encode("three")[0]] = "wrong"  # after its word has been met
+    after = run()
+    assert after[2]["ids_sha256"] == before[2]["ids_sha256"] and after[2]["decoded_sha256"] != before[2]["decoded_sha256"]
