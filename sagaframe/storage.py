@@ -1,20 +1,30 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, and joins of checked size."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a side of a join is broadcast.
+BROADCAST_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it has none (tests), a temporary folder."""
+    """The session's ``spark.checkpoint.dir``, or the directory set by ``setCheckpointDir``.
+
+    Where neither is set, a session within one process gets a temporary folder; a cluster has no
+    folder that could stand in, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get()
@@ -25,3 +35,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_checked(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``small``, marked for broadcast only if a count (of at most ``rows`` and one) shows it small."""
+    return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small

@@ -24,16 +24,89 @@ def test_ingest_takes_changes_only(spark, tmp_path):
     assert sorted(r.text for r in spark.read.parquet(chunks).filter("file_path LIKE '%chapter2%'").collect()) == ["乙：三", "乙：四"]
 
 
+def _rows(spark, path, *columns):
+    return sorted(tuple(map(str, r)) for r in spark.read.parquet(path).filter("file_path IS NOT NULL").select(*columns).collect())
+
+
+_BOM = "\ufeff"
+
+
 def test_stream_equals_batch(spark, tmp_path):
-    src = tmp_path / "data" / "7"
-    src.mkdir(parents=True)
-    for k in range(3):
-        (src / f"chapter{k}_dialogue.txt").write_text(f"## S\n甲：line {k}\n", encoding="utf-8")
-    q = ingest.ingest_stream(spark, str(tmp_path / "data"), S.CHAPTERS, str(tmp_path / "t"), str(tmp_path / "c"), str(tmp_path / "cp"))
-    assert q.awaitTermination(60) and q.exception() is None
-    ingest.ingest_batch(S.scan(spark, str(tmp_path / "data")), str(tmp_path / "t2"), str(tmp_path / "c2"))
-    a, b = (sorted(map(tuple, spark.read.parquet(str(tmp_path / x)).collect())) for x in ("c", "c2"))
-    assert a == b and len(a) == 3
+    """Files of several lines and scenes, with CRLF, a byte-order mark, and blank ones; edits come as new paths."""
+    texts = {
+        ("7", 0): "# T - 第1章：X\n## S\n甲：z first\n甲：a second\n---\n乙：二\n",
+        ("7", 1): _BOM + "## A\r\n甲：一\r\n乙：二\r\n## B\r\n丙：三\r\n",
+        ("八", 2): "乙：no heading\n\n乙：more\n",
+        ("八", 3): "  \r\n \n",
+        ("9", 4): "甲：" + "long line\n乙：" * 400,
+    }
+    data, names = tmp_path / "data", ["file_path", "task_id", "pos", "title", "text", "id"]
+    track, chunks = str(tmp_path / "t"), str(tmp_path / "c")
+
+    def stream():
+        q = ingest.ingest_stream(spark, str(data), S.CHAPTERS, track, chunks, str(tmp_path / "cp"))
+        assert q.awaitTermination(120) and q.exception() is None
+
+    def write(folder, found):
+        for (task, k), text in found.items():
+            (data / folder / task).mkdir(parents=True, exist_ok=True)
+            (data / folder / task / f"chapter{k}_dialogue.txt").write_text(text, encoding="utf-8", newline="")
+
+    write("first", texts)
+    stream()
+    ingest.ingest_batch(S.scan(spark, str(data), blank=True), str(tmp_path / "t2"), str(tmp_path / "c2"))
+    assert _rows(spark, chunks, *names) == _rows(spark, str(tmp_path / "c2"), *names)
+    ledger_columns = ["file_path", "task_id", "content_hash", "chunks"]
+    assert _rows(spark, track, *ledger_columns) == _rows(spark, str(tmp_path / "t2"), *ledger_columns)
+    by_file = {}
+    for r in spark.read.parquet(chunks).orderBy("pos").collect():
+        by_file.setdefault(r.file_path, []).append(r.text)
+    assert by_file["7/chapter0_dialogue.txt"][-2:] == ["甲：z first\n甲：a second", "乙：二"]
+    assert by_file["7/chapter1_dialogue.txt"] == ["甲：一\n乙：二", "丙：三"]
+    assert {r.file_path: r.chunks for r in spark.read.parquet(track).collect()}["八/chapter3_dialogue.txt"] == 0
+    # edits: one file changes, one comes again unchanged, one loses its last chunk; the rest is not touched
+    kept = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "c" / "task_id=7").glob("*.parquet")}
+    write("second", {("八", 2): " \n", ("八", 3): "丁：四\n", ("9", 4): texts["9", 4]})
+    stream()
+    assert _rows(spark, chunks, "file_path", "text")[-1] == ("八/chapter3_dialogue.txt", "丁：四")
+    assert {p.name: p.stat().st_mtime_ns for p in (tmp_path / "c" / "task_id=7").glob("*.parquet")} == kept
+    write("third", {("八", 3): "\n"})
+    stream()
+    assert not [r for r in _rows(spark, chunks, "file_path") if r[0].startswith("八")]
+    assert ingest.ingested(spark, chunks).filter("task_id = '八'").isEmpty()
+
+
+def test_dry_run_and_enriched_run(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    files = spark.createDataFrame([("1/chapter1_dialogue.txt", "1", "## S\nuser：hello helper\n")], "file_path string, task_id string, content string")
+    track, chunks = str(tmp_path / "t"), str(tmp_path / "c")
+    assert ingest.ingest_batch(files, track, chunks, dry_run=True).first().chunks == 1
+    assert not (tmp_path / "t").exists() and not (tmp_path / "c").exists()
+    ingest.ingest_batch(files, track, chunks, aliases=M.aliases(spark), embed=lambda c: c.withColumn("vector", F.array(F.length("text").cast("float"))))
+    row = ingest.ingested(spark, chunks, enriched=True, vectors=True).first()
+    assert row.characters == ["user"] and row.entities == ["Assistant", "User"] and row.vector == [17.0]
+    assert ingest.ingest_batch(files, track, chunks) is None
+
+
+def test_empty_table_replaces_nothing(spark, tmp_path):
+    import pytest
+
+    path = str(tmp_path / "t")
+    S.replace_table(spark.range(3), path)
+    with pytest.raises(ValueError):
+        S.replace_table(spark.range(0), path)
+    assert spark.read.parquet(path).count() == 3
+    S.replace_table(spark.read.parquet(path).filter("id > 0"), path)
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_folder_recursion(spark, tmp_path):
+    for where in ("a", "a/b"):
+        (tmp_path / where).mkdir(exist_ok=True)
+        (tmp_path / where / "chapter1_dialogue.txt").write_text("甲：x\n", encoding="utf-8")
+    assert S.scan(spark, str(tmp_path / "a")).count() == 2
+    assert S.scan(spark, str(tmp_path / "a"), recursive=False).count() == 1
 
 
 def test_snapshot_round_trip(spark, sf_dir, tmp_path):
