@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 #: A word is a run of characters other than space, \t, \n, \v, \f and \r.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
@@ -19,32 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: the session's ``spark.checkpoint.dir``.
-
-    Only where the session has none (tests, one machine) a temporary folder is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    own = "file://" + tempfile.mkdtemp(prefix="spark-")
-    spark.sparkContext.setCheckpointDir(own)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts the lineage, so that a lost executor costs a read and not a recomputation, and
     lets several consumers share one costly computation.
     """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, label)
 
 
 def join_checked(big: DataFrame, small: DataFrame, on: list[str] | str, how: str = "left") -> DataFrame:

@@ -4,68 +4,73 @@ Three combining stages, each of which groups by the digest *and* the whole text,
 texts that share a digest never meet:
 
 1. local: the map side of the first aggregation collapses copies within a task;
-2. salted: the partial groups meet under (digest, salt, text), the salt being the input
-   partition, so that a text held by a third of all rows is spread over many tasks;
-3. global: the salt winners, at most ``salts`` rows a text, meet under (digest, text).
+2. salted: the partial groups meet under (digest, salt, text), the salt being a block of
+   ``BLOCK_ROWS`` rows of an input partition, so that a text held by a third of all rows is
+   spread over many tasks. A salted group keeps its rows but for the text, at most
+   ``BLOCK_ROWS``, and gets a number when it is written;
+3. global: the salted groups, without their rows, meet under (digest, text).
+
+The verdict goes back to each salted group by its number, so no digest decides anything and the
+rows of a text that is held very often are never gathered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
+#: Rows of an input partition that share a salt: 2 to this power.
+BLOCK_BITS = 16
+BLOCK_ROWS = 1 << BLOCK_BITS
 
-def _identity(text: Column, digest) -> list[Column]:
-    """Columns that identify a content when the text itself is no longer carried."""
-    return [digest(text).alias("__digest"), F.md5(text).alias("__check"), F.length(text).alias("__len")]
 
+def salted_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bits: int = BLOCK_BITS, digest=None) -> DataFrame:
+    """Stages 1 and 2: ``(__uid, __key, __sha, __text, __best, __n, __rows)``, a row per text and salt, written once."""
+    key = (digest or (lambda c: F.sha2(c, 256)))(F.col("__text"))
+    others = F.struct(*[F.col(c) for c in docs.columns if c != text_col], F.col(text_col).isNull().alias("__null"))
+    salt = F.shiftrightunsigned(F.monotonically_increasing_id(), block_bits)
+    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), others.alias("__row"), salt.alias("__salt"))
+    salted = rows.withColumn("__key", key).groupBy("__key", "__salt", "__text").agg(F.max("__id").alias("__best"), F.count(F.lit(1)).alias("__n"), F.collect_list("__row").alias("__rows"))
+    sha = F.sha2("__text", 256) if digest else F.col("__key")
+    return materialize(salted.select(F.monotonically_increasing_id().alias("__uid"), "__key", sha.alias("__sha"), "__text", "__best", "__n", "__rows"), "salted")
 
-def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, digest=None) -> DataFrame:
-    """One row per distinct text: digest columns, ``keep_id`` (largest id) and ``group_size``."""
-    digest = digest or (lambda c: F.sha2(c, 256))
-    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    salted = (
-        rows.select("__id", "__text", digest(F.col("__text")).alias("__key"), (F.spark_partition_id() % salts).alias("__salt"))
-        .groupBy("__key", "__salt", "__text")
-        .agg(F.max("__id").alias("__id"), F.count(F.lit(1)).alias("__n"))
-    )
-    winners = salted.groupBy("__key", "__text").agg(F.max("__id").alias("keep_id"), F.sum("__n").alias("group_size"))
-    return winners.select(*_identity(F.col("__text"), digest), "keep_id", "group_size")
 
+def verdicts(salted: DataFrame) -> DataFrame:
+    """Stage 3: ``(__uid, __keep, __size)`` of every salted group, whole texts compared."""
+    groups = salted.groupBy("__key", "__text").agg(F.max("__best").alias("__keep"), F.sum("__n").alias("__size"), F.collect_list("__uid").alias("__uids"))
+    return groups.select("__keep", "__size", F.explode("__uids").alias("__uid"))
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, digest=None) -> DataFrame:
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bits: int = BLOCK_BITS, digest=None, only_kept: bool = False) -> DataFrame:
     """Add ``keep_id``, ``group_size``, ``kept`` and ``text_sha256`` to every row of ``docs``.
 
-    Texts are equal when their bytes are; a null text counts as empty. Of equal texts the
-    row with the largest id stays. A null id never wins over a number; where all ids of a
-    group are null, ``keep_id`` is null and all its rows stay. Rows that repeat id and text
+    Texts are equal when their bytes are, however long; a null text counts as empty. Of equal
+    texts the row with the largest id stays. A null id never wins over a number; where all ids
+    of a group are null, ``keep_id`` is null and all its rows stay. Rows that repeat id and text
     count in ``group_size`` and share the verdict. Columns of the input are kept, those with
-    the names of the added columns are replaced. An empty table gives an empty result.
+    the names of the added columns are replaced. An empty table gives an empty result. With
+    ``only_kept`` only the rows that stay are returned.
     """
-    digest = digest or (lambda c: F.sha2(c, 256))
-    groups = content_groups(docs, id_col, text_col, salts, digest).withColumnsRenamed({"keep_id": "__keep", "group_size": "__size"})
     added = ("keep_id", "group_size", "kept", "text_sha256")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select("*", *_identity(text, digest), F.sha2(text, 256).alias("__sha"))
-    joined = rows.join(groups, ["__digest", "__check", "__len"])
-    return joined.select(
-        *[c for c in docs.columns if c not in added],
-        F.col("__keep").alias("keep_id"),
-        F.col("__size").alias("group_size"),
-        F.col("__keep").eqNullSafe(F.col(id_col)).alias("kept"),
-        F.col("__sha").alias("text_sha256"),
-    )
-
-
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns of ``docs``."""
-    marked = exact_dedup(docs.select(id_col, text_col), id_col, text_col, salts)
-    stays = marked.filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    rows = docs.withColumn("__sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    same = rows[id_col].eqNullSafe(stays["__id"]) & (rows["__sha"] == stays["__sha"])
-    return rows.join(stays, same, "left_semi").select(*docs.columns)
+    salted = salted_groups(docs, id_col, text_col, block_bits, digest)
+    told = salted.drop("__key", "__n").join(verdicts(salted), "__uid")
+    if only_kept:
+        told = told.filter(F.col("__best").eqNullSafe(F.col("__keep")))
+    rows = told.select("__sha", "__text", "__keep", "__size", F.explode("__rows").alias("__row"))
+    stays = F.col("__keep").eqNullSafe(F.col("__row")[id_col])
+    if only_kept:
+        rows = rows.filter(stays)
+    own = [(F.when(~F.col("__row.__null"), F.col("__text")) if c == text_col else F.col("__row")[c]).alias(c) for c in docs.columns if c not in added]
+    return rows.select(*own, F.col("__keep").alias("keep_id"), F.col("__size").alias("group_size"), stays.alias("kept"), F.col("__sha").alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with the columns of ``docs``; nulls, repeats and empty tables as in ``exact_dedup``."""
+    renamed = docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__t"), F.struct(*[c for c in docs.columns if c != text_col]).alias("__o"))
+    kept = exact_dedup(renamed, "__i", "__t", only_kept=True)
+    return kept.select(*[(F.col("__t") if c == text_col else F.col("__o")[c]).alias(c) for c in docs.columns])
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

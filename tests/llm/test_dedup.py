@@ -31,7 +31,7 @@ def test_texts_are_compared_whatever_the_digest(spark, digest):
     keep = {}
     for k, t in rows:
         keep[t] = max(keep.get(t, -1), k)
-    got = X.exact_dedup(docs, salts=3, digest=digest).collect()
+    got = X.exact_dedup(docs, block_bits=3, digest=digest).collect()
     assert {(r.doc_id, r.keep_id) for r in got} == {(k, keep[t]) for k, t in rows}
     assert all(r.group_size == sum(t == r.text for _, t in rows) for r in got)
 
@@ -46,6 +46,15 @@ def test_exact_odd_rows(spark):
     assert X.exact_dedup(docs.filter("false")).count() == 0
 
 
+def test_hot_text_is_spread_over_salts(spark):
+    rows = spark.range(0, 60_000, 1, 6).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 5000)).alias("text"))
+    salted = X.salted_groups(rows, block_bits=10)
+    assert salted.filter("__text = 'hot'").count() >= 60 and salted.agg(F.max(F.size("__rows"))).first()[0] <= 1024
+    got = X.exact_dedup(rows, block_bits=10)
+    assert got.count() == 60_000 and got.filter("text = 'hot'").select("keep_id", "group_size").distinct().collect() == [(59_997, 20_000)]
+    assert X.drop_copies(rows).count() == got.filter("kept").count() == 1 + rows.filter("text <> 'hot'").select("text").distinct().count()
+
+
 def plain_cut(rows, window):
     """rows: (id, text), judged on the input in order of id."""
     seen, out = set(), {}
