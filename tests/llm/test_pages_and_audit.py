@@ -1,5 +1,8 @@
+import gzip
+import hashlib
 from html.parser import HTMLParser
 
+import pytest
 from pyspark.sql import functions as F
 
 from sagaframe.llm import html_text as H
@@ -79,35 +82,74 @@ def test_html_odd_rows(spark):
     assert H.extract_text(rows.filter("false")).count() == 0
 
 
-def test_audit_finds_what_differs(spark, monkeypatch):
-    monkeypatch.setattr(W, "RANGE", 64)
-    monkeypatch.setattr(W, "FANOUT", 2)
+def _leaves(spark, rows):
+    return W.lay_out(spark.createDataFrame(rows, "file int, page_id int, record string"), "file", "page_id", ["page_id"])
+
+
+@pytest.mark.parametrize("block", [300, W.BLOCK])
+def test_audit_finds_what_differs(spark, block):
     rows = [(f, k, "r" * (k % 40) + str(k)) for f in range(3) for k in range(60)]
-    a = W.lay_out(spark.createDataFrame(rows, "file int, page_id int, record string"), "file", ["page_id"])
-    b = a.filter("NOT (file = 1 AND page_id = 7)").withColumn("record", F.expr("CASE WHEN file = 2 AND page_id IN (3, 59) THEN concat(record, '!') ELSE record END"))
-    extra = spark.createDataFrame([(2, 999, "new", 10**6)], "file int, page_id int, record string, offset long")
-    b = b.unionByName(extra)
-    got = {(r.file, r.record_id, r.kind) for r in W.audit(a, b).collect()}
+    other = [(f, k, r + "!" * (f == 2 and k in (3, 59))) for f, k, r in rows if (f, k) != (1, 7)] + [(2, 999, "new")]
+    a, b = _leaves(spark, rows), _leaves(spark, other)
+    got = {(r.file, r.record_id, r.kind) for r in W.audit(a, b, block).collect()}
     assert got == {(1, 7, "missing"), (2, 3, "changed"), (2, 59, "changed"), (2, 999, "extra")}
-    assert W.audit(a, a).count() == 0
-    assert W.audit(a.filter("false"), a.filter("false")).count() == 0
-    whole = W.audit(a, a.filter("file <> 0")).collect()
+    assert W.audit(a, a, block).count() == 0
+    assert W.audit(a.filter("false"), a.filter("false"), block).count() == 0
+    whole = W.audit(a, a.filter("file <> 0"), block).collect()
     assert len(whole) == 60 and {r.kind for r in whole} == {"missing"}
 
 
+def test_one_lost_record_is_one_row_and_prunes_the_rest(spark):
+    rows = [(0, k, f"record {k} " + "x" * (k * 7 % 50)) for k in range(3000)]
+    a, b = _leaves(spark, rows), _leaves(spark, [r for r in rows if r[1] != 1234])
+    assert a.filter("record_id = 1235").first().offset > b.filter("record_id = 1235").first().offset
+    assert [(r.record_id, r.kind, r.offset_b) for r in W.audit(a, b).collect()] == [(1234, "missing", -1)]
+    side = lambda df, r: df.withColumn("replica", F.lit(r))
+    levels = W.trees(side(a, "a").unionByName(side(b, "b")))
+    files, bad = W.suspects(levels)
+    assert len(levels) >= 3 and files.count() == 1 and bad.count() < 400
+
+
 def test_audit_odd_rows(spark):
-    kind = "file int, page_id int, record string, offset long, hash int"
-    a = spark.createDataFrame([(0, 1, None, 0, 1), (0, 2, "x", 9, 1), (0, 2, "x", 9, 1), (None, 3, "y", 0, 1)], kind)
-    b = spark.createDataFrame([(0, 1, "z", 0, 1), (0, 2, "x", 9, 1)], kind)
-    # a repeated record changes the tree but not the set of records
-    assert [(r.record_id, r.kind, r.length_a, r.length_b) for r in W.audit(a, b).collect()] == [(1, "changed", -1, 1)]
+    kind = "file int, record_id int, offset long, length long, hash string, kind int"
+    a = spark.createDataFrame([(0, 1, 0, None, None, 1), (0, 2, 9, 1, "x", 1), (0, 2, 9, 1, "x", 1), (None, 3, 0, 1, "y", 1), (1, None, 0, 1, "p", 1), (1, None, 5, 1, "q", 1)], kind)
+    b = spark.createDataFrame([(0, 1, 0, 1, "z", 1), (0, 2, 9, 1, "x", 1), (1, None, 0, 1, "q", 1), (1, None, 5, 1, "p", 1)], kind)
+    got = {(r.file, r.record_id, r.kind, r.length_a, r.length_b) for r in W.audit(a, b).collect()}
+    # of two equal records one is lost; the other file has its records in another order
+    assert got == {(0, 1, "changed", -1, 1), (0, 2, "missing", 1, -1), (1, None, "reordered", -1, -1)}
 
 
 def test_warc_files_round_trip(spark, sf_dir, tmp_path):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").filter("page_id < 20")
-    records = pages.select(W.warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
-    W.write_warc(records, str(tmp_path / "w"))
-    back = {r.uri: r.body for r in W.read_warc(spark, str(tmp_path / "w")).collect()}
-    assert len(back) == pages.select("url").distinct().count()
-    for r in pages.collect():
-        assert back[r.url] == r.html
+    rows = pages.select("page_id", F.lit(0).alias("file"), W.warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
+    W.write_warc(rows.coalesce(1).sortWithinPartitions("page_id"), str(tmp_path / "w"), ["file"])
+    back = W.read_warc(spark, str(tmp_path / "w"), bodies=True).collect()
+    assert sorted((r.uri, r.body.decode()) for r in back) == sorted((r.url, r.html) for r in pages.collect())
+    laid = W.lay_out(rows, "file", "page_id", ["page_id"]).collect()
+    assert sorted((r.offset, r.length, r.hash) for r in back) == sorted((r.offset, r.length, r.hash) for r in laid)
+
+
+def _record(body, ident="1", length=None):
+    head = b"WARC/1.1\r\nWARC-Record-ID: <urn:uuid:%s>\r\nContent-Length: %d\r\n\r\n" % (ident.encode(), len(body) if length is None else length)
+    return head + body
+
+
+def test_records_end_by_their_length(spark, tmp_path):
+    inner = b"a\r\n\r\nWARC/1.1\r\nWARC-Type: none\r\n\r\nb\r\n\r\n"
+    records = [_record(inner), _record(b"\xff\x00bytes"), _record(b""), _record(b"cut", length=10), _record(b"after"), b"WARC/1.1\r\nno length", _record(b"last", length=99)]
+    data = b"".join(r + b"\r\n\r\n" for r in records)
+    assert [r for *_, r in W.split_warc(data)] == records
+    assert [data[at : at + len(r)] for at, _, r in W.split_warc(data)] == records
+    assert [r for *_, r in W.split_warc(b"\r\n\r\njunk" + data)][-7:] == records
+    assert list(W.split_warc(b"")) == []
+    (tmp_path / "plain.warc").write_bytes(data)
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(gzip.compress(r + b"\r\n\r\n") for r in records))
+    (tmp_path / "one.warc.gz").write_bytes(gzip.compress(data))
+    (tmp_path / "broken.warc.gz").write_bytes(gzip.compress(records[0] + b"\r\n\r\n") + gzip.compress(data * 50)[:60])
+    (tmp_path / "empty.warc").write_bytes(b"")
+    found = {}
+    for r in W.read_warc(spark, str(tmp_path)).orderBy("offset").collect():
+        found.setdefault(r.path.rsplit("/", 1)[1], []).append(r.hash)
+    want = [hashlib.sha256(r).hexdigest() for r in records]
+    assert found["plain.warc"] == found["members.warc.gz"] == found["one.warc.gz"] == want
+    assert found["broken.warc.gz"][0] == want[0] and "empty.warc" not in found
