@@ -31,6 +31,8 @@ from .common import table
 SUFFIX = "</w>"
 #: Bytes taken in at a time beyond the lookahead, and words remembered by a worker.
 WINDOW_BYTES, KNOWN_WORDS = 256, 400_000
+#: Longer words are not remembered, so that what a worker remembers is bounded.
+KNOWN_LETTERS = 64
 #: Words whose ids are hashed and decoded at a time.
 WORDS_AT_ONCE = 2000
 NONE = 1 << 60
@@ -89,7 +91,7 @@ def sufficient_lookahead(merges: list[tuple[str, str]], length: dict[str, int])
 
 
 class _Known(dict):
-    """Words met before, with their ids; forgotten all at once when they are too many."""
+    """What the transducer has told of words met before; forgotten all at once when they are too many."""
 
     def __init__(self, bpe: Bpe):
         self.bpe = bpe
@@ -97,7 +99,9 @@ class _Known(dict):
     def __missing__(self, word: str) -> str:
         if len(self) >= KNOWN_WORDS:
             self.clear()
-        out = self[word] = " ".join(map(str, self.bpe.tokenize(word.encode())))
+        out = " ".join(map(str, self.bpe.transduce(word.encode())))
+        if len(word) <= KNOWN_LETTERS:
+            self[word] = out
         return out
 
 
@@ -136,33 +140,31 @@ class Bpe:
         return ids
 
     def transduce(self, word: Iterable[int]) -> Iterator[int]:
-        """Token ids of one word, given as bytes; a token is emitted once nothing can change it."""
+        """Token ids of one word, given as bytes; a token is emitted once nothing can change it.
+
+        Every word is encoded here. The state is the window: the bytes whose tokens are not
+        settled yet, the lookahead among them."""
         window: list[int] = []
-        source, ended = iter(word), False
-        ahead = next(source, None)
-        room = self.lookahead + WINDOW_BYTES
+        source = iter(word)
+        ahead, room = next(source, None), self.lookahead + WINDOW_BYTES
         while ahead is not None or window:
-            while ahead is not None and len(window) < room:
-                byte, ahead = ahead, next(source, None)
-                window.append(self.start[byte] if ahead is not None else self.final[byte])
-            ended = ahead is None
-            taken = 0
+            if ahead is not None:
+                taken = [ahead, *islice(source, room - len(window) - 1)]
+                ahead = next(source, None)
+                window += map(self.start.__getitem__, taken[:-1])
+                window.append((self.final if ahead is None else self.start)[taken[-1]])
+            stable = len(window) if ahead is None else len(window) - self.lookahead
+            done = 0
             for i in self._merge(window):
-                size = self.length[self.token[i]]
-                if not ended and taken + size > len(window) - self.lookahead:
+                done += self.length[self.token[i]]
+                if done > stable:
+                    done -= self.length[self.token[i]]
                     break
-                taken += size
                 yield i
-            window = window[taken:]
-            if not taken:  # a token longer than the window allows to settle
+            window = window[done:]
+            if len(window) >= room:  # a token longer than the window allows to settle
                 room += WINDOW_BYTES
 
-    def tokenize(self, word: bytes) -> list[int]:
-        """Token ids of one word; what the window takes in at once needs no stream."""
-        if len(word) <= self.lookahead + WINDOW_BYTES:
-            return self._merge([self.start[b] for b in word[:-1]] + [self.final[word[-1]]]) if word else []
-        return [*self.transduce(word)]
-
     def found(self, text: str) -> Iterator[str]:
         """Of each word its ids, joined by one space; strings of special tokens have one id."""
         for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
@@ -180,26 +182,44 @@ class Bpe:
     def encode(self, text: str) -> list[int]:
         return [int(i) for ids in self.found(text) for i in ids.split(" ")]
 
-    def decode_pieces(self, ids: Iterable[int]) -> Iterator[str]:
-        """The decoding of a vocabulary without a decoder: its tokens, joined by one space."""
-        gap = ""
-        for i in ids:
-            yield gap + self.token[i]
-            gap = " "
-
-    def decode_text(self, ids: Iterable[int]) -> Iterator[str]:
-        """Readable text: bytes go through a UTF-8 state machine, a word's end becomes a space."""
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        for i in ids:
-            token = self.token[i]
-            if token in self.special:
-                yield machine.decode(b"", True) + token
-                machine.reset()
-                continue
-            ends = token.endswith(SUFFIX)
-            out = machine.decode(bytes(self.byte[c] for c in (token.removesuffix(SUFFIX) if ends else token)))
-            yield out + " " if ends else out
-        yield machine.decode(b"", True)
+    def decode(self, ids: Iterable[int], readable: bool = False) -> str:
+        machine = Decoder(self, readable)
+        return machine.push(ids) + machine.end()
+
+
+class Decoder:
+    """Incremental decoding: ids go in one after another, text comes out as soon as it is settled.
+
+    The vocabulary has no decoder of its own, so its decoding shows every token, one space apart;
+    the state is whether a token has come. A ``readable`` decoding turns tokens to bytes and these
+    to text, a word's end into a space; the state is the bytes of one unfinished character.
+    """
+
+    def __init__(self, bpe: Bpe, readable: bool = False):
+        self.bpe, self.readable, self.gap = bpe, readable, ""
+        self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def push(self, ids: Iterable[int]) -> str:
+        if self.readable:
+            return "".join(map(self._text, ids))
+        out = " ".join(map(self.bpe.token.__getitem__, ids))
+        if out:
+            out, self.gap = self.gap + out, " "
+        return out
+
+    def _text(self, i: int) -> str:
+        token = self.bpe.token[i]
+        if token in self.bpe.special:
+            return self.end() + token
+        ends = token.endswith(SUFFIX)
+        out = self.utf8.decode(bytes(map(self.bpe.byte.__getitem__, token.removesuffix(SUFFIX) if ends else token)))
+        return out + " " if ends else out
+
+    def end(self) -> str:
+        """What an unfinished character leaves."""
+        out = self.utf8.decode(b"", True)
+        self.utf8.reset()
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -213,23 +233,23 @@ def _coded(shared, full: bool):
         for batch in batches:
             counts, digests, decoded, lists = [], [], [], []
             for raw in batch.column(1):
-                text, n = raw.as_py() or "", 0
-                digest, told, gap = hashlib.sha256(), hashlib.sha256(), ""
-                words = bpe.found(text)
-                if full:
-                    lists.append([])
+                n, gap, machine, shown, all_ids = 0, "", Decoder(bpe, readable=full), [], []
+                digest, told, words = hashlib.sha256(), hashlib.sha256(), bpe.found(raw.as_py() or "")
                 while some := " ".join(islice(words, WORDS_AT_ONCE)):
-                    ids = [int(i) for i in some.split(" ")]
-                    n += len(ids)
                     digest.update((gap + some).encode())
+                    gap, ids = " ", [int(i) for i in some.split(" ")]
+                    n += len(ids)
+                    text = machine.push(ids)
                     if full:
-                        lists[-1] += ids
+                        all_ids += ids
+                        shown.append(text)
                     else:
-                        told.update((gap + "".join(bpe.decode_pieces(ids))).encode())
-                    gap = " "
+                        told.update(text.encode())
                 counts.append(n)
                 digests.append(digest.hexdigest())
-                decoded.append("".join(bpe.decode_text(lists[-1])) if full else told.hexdigest())
+                decoded.append("".join([*shown, machine.end()]) if full else told.hexdigest())
+                if full:
+                    lists.append(all_ids)
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             names = ["__id", "n_tokens", "ids_sha256", "decoded_text" if full else "decoded_sha256"]
             if full:
@@ -250,7 +270,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``(id, n_tokens, ids_sha256, …)`` for every row: with ``full`` the ids and the decoded
     text, else only the digest of the decoding.
 
-    A null or blank text has no tokens. Ids that are null or repeat are kept as they are;
+    A null or blank text has no tokens; a text may be of any length, and beyond the text itself and
+    (with ``full``) its ids little is held. Ids that are null or repeat are kept as they are;
     further columns are ignored; an empty table gives no rows. ``path`` names the tokenizer
     file, which the driver reads and broadcasts: its size does not depend on the data.
     """

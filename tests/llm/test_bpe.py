@@ -29,7 +29,7 @@ def theirs():
 def same(mine, theirs, text):
     ids = theirs.encode(text, add_special_tokens=False).ids
     assert mine.encode(text) == ids
-    assert "".join(mine.decode_pieces(ids)) == theirs.decode(ids, skip_special_tokens=False)
+    assert mine.decode(ids) == theirs.decode(ids, skip_special_tokens=False)
 
 
 ODD = ["", "  ", "<|endoftext|>a<|startoftext|>", "ΑΣ ΣΑΣ", "İIıſ", "a\x1cb\x85c d　e", "é", "don't WE'LL '’s x²½ ٣ 漢字かな 😀", "﻿x\x00y"]
@@ -78,10 +78,26 @@ def test_lookahead_suffices_for_small_merge_lists(monkeypatch):
             assert [*bpe.transduce(word)] == whole
 
 
-def test_decoding_to_text_is_incremental(mine):
+def test_decoding_is_incremental(mine, theirs):
     text = "héllo wörld 😀 <|endoftext|>"
-    assert "".join(mine.decode_text(mine.encode(text))) == "héllo wörld 😀 <|endoftext|>"
-    assert "".join(mine.decode_text(mine.encode("𐍈")[:1])).endswith("�")
+    ids = mine.encode(text)
+    assert mine.decode(ids, readable=True) == text
+    assert mine.decode(mine.encode("𐍈")[:1], readable=True).endswith("�")
+    for readable, want in ((True, text), (False, theirs.decode(ids, skip_special_tokens=False))):
+        machine = B.Decoder(mine, readable)
+        parts = [machine.push([i]) for i in ids] + [machine.end()]
+        assert "".join(parts) == want and machine.push([]) == ""
+
+
+def test_every_word_goes_through_the_transducer(monkeypatch):
+    with open(PATH, encoding="utf-8") as f:
+        bpe = B.Bpe(f.read())
+    seen, plain = [], bpe.transduce
+    monkeypatch.setattr(bpe, "transduce", lambda word: seen.append(word) or plain(word))
+    long = "x" * 5000 + "yz" * 3000
+    bpe.encode(f"one two {long} two")
+    assert seen == [b"one", b"two", long.encode()]
+    assert bpe.encode(long) == bpe._merge([bpe.start[x] for x in long.encode()[:-1]] + [bpe.final[ord("z")]]) and len(seen) == 4
 
 
 def test_query_and_odd_rows(spark, sf_dir, mine, theirs):
