@@ -11,11 +11,12 @@ Every window of ``WINDOW`` words is an edge of the graph, from its first to its
   edges still meet and no task holds the seed. The rest pass seed by seed in order of their
   coordinates (document, position). The first
   coordinate of an edge is its source; every later edge with the same words points to it.
-* Runs of edges that follow their source along one diagonal (same source document, same
-  distance) are nonbranching paths: a branch is where the source or the distance changes.
-  Paths that adjoin compact to maximal spans by one window per document (the coordinates
-  say which path goes on, so no rounds of joins are needed), and a join with the documents
-  cuts the spans from them.
+* Edges that follow their source along one diagonal (same source document, same distance) form
+  nonbranching paths. A join of the nodes where short paths end with the nodes where short paths
+  of the same diagonal begin tells which nodes are passed through: they compact away. What is
+  left are the first and last nodes of maximal spans, joined in order of their place.
+* The source coordinates of a span lead to the words it repeats, and a join with the documents
+  compares both before it cuts the span.
 
 Edges are first compared by a 64-bit hash of the seed with a 40-bit hash of the whole window,
 at the same offset from the seed. This misses no repeat but may join windows that differ, so
@@ -286,12 +287,20 @@ def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def repeated_spans(paths: DataFrame, window: int = WINDOW) -> DataFrame:
     """Compact short paths along their diagonal: maximal spans ``(doc, start, end, src_doc, src_start)``.
 
-    A path goes on in the next one of its document if the edges adjoin and the source does.
+    A node that as many paths of the diagonal enter as leave is within a span. Of the others, those
+    that more paths leave begin spans and those that more enter end them; the n-th beginning of a
+    diagonal belongs to its n-th end.
     """
-    order = Window.partitionBy("doc").orderBy("start")
-    adjoins = (F.col("start") == F.lag("end").over(order) - (window - 1)) & (F.col("src_doc") == F.lag("src_doc").over(order)) & (F.col("src_start") - F.col("start") == F.lag(F.col("src_start") - F.col("start")).over(order))
-    marked = paths.withColumn("head", (~F.coalesce(adjoins, F.lit(False))).cast("int")).withColumn("span", F.sum("head").over(order))
-    return marked.groupBy("doc", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("src_doc", "start").alias("src_doc"), F.min("src_start").alias("src_start")).drop("span")
+    diagonal = ["doc", "src_doc", "shift"]
+    rows = paths.select("doc", "src_doc", (F.col("start") - F.col("src_start")).alias("shift"), "start", (F.col("end") - (window - 1)).alias("stop"))
+    leave = rows.groupBy(*diagonal, F.col("start").alias("node")).agg(F.count(F.lit(1)).alias("leave"))
+    enter = rows.groupBy(*diagonal, F.col("stop").alias("node")).agg(F.count(F.lit(1)).alias("enter"))
+    joined = leave.join(enter, [*diagonal, "node"], "full").withColumn("more", F.coalesce("leave", F.lit(0)) - F.coalesce("enter", F.lit(0))).filter("more <> 0")
+    ends = materialize(joined.select(*diagonal, "node", (F.col("more") > 0).alias("begins"), F.explode(F.sequence(F.lit(1), F.abs("more")))).drop("col"), "nodes")
+    place = F.row_number().over(Window.partitionBy(*diagonal).orderBy("node")).alias("place")
+    first = ends.filter("begins").select(*diagonal, F.col("node").alias("start"), place)
+    last = ends.filter("NOT begins").select(*diagonal, (F.col("node") + (window - 1)).alias("end"), place)
+    return first.join(last, [*diagonal, "place"]).select("doc", "start", "end", "src_doc", (F.col("start") - F.col("shift")).alias("src_start"))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,10 +407,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``(id, n_words, n_removed, kept, kept_sha256)`` for every row of ``docs``.
 
     ``kept`` holds the words that no later copy of a window covers, joined by one space.
-    A null text has no words. Rows without an id are neither searched nor cut. Rows that
+    Ids are integers (TypeError for others): of two documents the one with the smaller id comes
+    first. A null text has no words, and a text may be of any length. Rows without an id are neither searched nor cut. Rows that
     repeat an id count as one document: windows at the same position are one window, and each
     row is cut alike. Texts shorter than a window are never cut. Empty tables give no rows.
     """
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} must be an integer column")
     texts = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("binary").alias("__text"))
     spans = materialize(repeated_spans(repeated_paths(docs, id_col, text_col, window, seed), window), "spans")
     compared = materialize(compared_spans(spans, texts), "compared")
