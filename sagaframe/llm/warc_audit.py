@@ -166,7 +166,8 @@ def _cut(rows: DataFrame, level: int, block: int) -> DataFrame:
 
 def trees(leaves: DataFrame, block: int = BLOCK) -> list[DataFrame]:
     """The leaves and the nodes of each level, ``(replica, file, key, hash, run, …)``; ``run`` is a row's node one level up."""
-    out = [materialize(_cut(leaves.withColumn("key", F.xxhash64("record_id", "hash")), 0, block), "leaves")]
+    leaves = materialize(leaves.withColumn("key", F.xxhash64("record_id", "hash")), "leaves")  # read once, used twice
+    out = [materialize(_cut(leaves, 0, block), "leaves")]
     for level in range(1, 60 // FANOUT_BITS):
         nodes = out[-1].groupBy("replica", "file", F.col("run").alias("key")).agg(*_digest())
         out.append(materialize(_cut(nodes, level, block), "merkle"))
@@ -233,16 +234,17 @@ def replicas(pages: DataFrame) -> DataFrame:
     fate = F.conv(F.substring(F.md5(F.col("page_id").cast("string")), 1, 6), 16, 10).cast("int") % 101
     changed = F.when(F.length(body) == 0, F.replace(text, F.lit("2024-01-01T"), F.lit("2024-01-02T"))).otherwise(F.concat(F.expr("left(record, length(record) - 1)"), F.when(F.expr("right(record, 1) = '!'"), "?").otherwise("!")))
     harmed = F.when(fate == 0, changed).when(fate == 1, F.expr("left(record, length(record) - 7)")).when(fate != 2, text)
-    rows = pages.filter("page_id IS NOT NULL").select("page_id", "html", F.floor(F.col("page_id") / PAGES_PER_FILE).alias("file"), warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
+    pages = pages.filter("page_id IS NOT NULL").select("page_id", "url", "html", F.floor(F.col("page_id") / PAGES_PER_FILE).alias("file"))
+    rows = pages.repartition("file").withColumn("record", warc_record(F.col("page_id"), F.col("url"), F.col("html")))
     both = F.explode(F.array(F.struct(F.lit("a").alias("replica"), text.alias("record")), F.struct(F.lit("b").alias("replica"), harmed.alias("record"))))
-    return rows.repartition("file").select("file", "page_id", both.alias("x")).select("x.replica", "file", "page_id", "x.record").filter("record IS NOT NULL")
+    return rows.select("file", "page_id", both.alias("x")).select("x.replica", "file", "page_id", "x.record").filter("record IS NOT NULL")
 
 
 def op7_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write two replicas of all pages as WARC files, read them back and audit them."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     root = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_warc(replicas(pages).sortWithinPartitions("replica", "file", "page_id", F.md5("record")), root, ["replica", "file"])
+    write_warc(replicas(pages).sortWithinPartitions("replica", "file", "page_id", F.xxhash64("record")), root, ["replica", "file"])
     sides = [read_warc(spark, f"{root}/replica={r}").withColumn("file", F.regexp_extract("path", r"/file=(\d+)/", 1).cast("long")) for r in "ab"]
     found = materialize(audit(*sides), "found")
     ids = pages.filter("page_id IS NOT NULL").select("page_id", page_uuid(F.col("page_id")).alias("record_id")).distinct()
