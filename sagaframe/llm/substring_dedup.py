@@ -18,7 +18,7 @@ Every window of ``WINDOW`` words is an edge of the graph, from its first to its
 * The source coordinates of a span lead to the words it repeats, and a join with the documents
   compares both before it cuts the span.
 
-Edges are first compared by a 64-bit hash of the seed with a 40-bit hash of the whole window,
+Edges are first compared by a 64-bit hash of the seed with a 64-bit hash of the whole window,
 at the same offset from the seed. This misses no repeat but may join windows that differ, so
 no span is cut before a 128-bit digest of its words equals that of its source's words. The
 windows of a span that fails are looked up in all documents by their words.
@@ -39,7 +39,7 @@ from .common import materialize, table
 
 WINDOW, SEED = 20, 5
 #: Bytes of a window's hash that travel.
-HASH_BYTES = 5
+HASH_BYTES = 8
 #: Words that are hashed together, and words whose hashes are remembered.
 CHUNK_WORDS, KNOWN_WORDS = 200_000, 300_000
 #: Hashes of windows of failed spans that are looked up in one pass over the documents.
@@ -98,11 +98,11 @@ def _edge_keys(seeds: np.ndarray, offset: np.ndarray, whole: np.ndarray) -> np.n
     return key * np.uint64(0x9E3779B97F4A7C15)
 
 
-def super_edges(h: np.ndarray, lengths: np.ndarray, window: int, seed: int, hot: np.ndarray | None = None) -> tuple:
+def super_edges(h: np.ndarray, lengths: np.ndarray, window: int, seed: int, hot: np.ndarray | None = None, hash_bytes: int = HASH_BYTES) -> tuple:
     """Paths of edges with one minimizer: (seed, text, position, content hash, payload offsets, payload).
 
     ``h`` holds the word hashes of several texts one after another. A payload is a byte, the
-    seed's distance from the first window, then HASH_BYTES for each window. Edges of the
+    seed's distance from the first window, then ``hash_bytes`` for each window. Edges of the
     seeds in ``hot`` (sorted) make a path each, with a key in which offset and hash are mixed.
     """
     begins = np.concatenate(([0], np.cumsum(lengths)))
@@ -124,18 +124,18 @@ def super_edges(h: np.ndarray, lengths: np.ndarray, window: int, seed: int, hot:
         fresh |= split
         key = np.where(split, _edge_keys(key, at - first, whole), key)
     head = np.flatnonzero(fresh)
-    header = HASH_BYTES * head + np.arange(len(head))
-    payload = np.empty(HASH_BYTES * len(first) + len(head), dtype=np.uint8)
+    header = hash_bytes * head + np.arange(len(head))
+    payload = np.empty(hash_bytes * len(first) + len(head), dtype=np.uint8)
     body = np.ones(len(payload), dtype=bool)
     body[header] = False
     payload[header] = (at[head] - first[head]).astype(np.uint8)
-    payload[body] = whole.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].ravel()
+    payload[body] = whole.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :hash_bytes].ravel()
     step = np.arange(len(first)) - np.repeat(head, np.diff(np.append(head, len(first))))
     same = np.add.reduceat(whole * _MULTIPLIERS[step], head) + payload[header]
     return key[head], text[head], first[head] - begins[text[head]], same, np.append(header, len(payload)), payload
 
 
-def _settle(seeds: np.ndarray, doc: np.ndarray, pos: np.ndarray, same: np.ndarray, offsets: np.ndarray, payload: np.ndarray) -> tuple:
+def _settle(seeds: np.ndarray, doc: np.ndarray, pos: np.ndarray, same: np.ndarray, offsets: np.ndarray, payload: np.ndarray, hash_bytes: int = HASH_BYTES) -> tuple:
     """Pre-aggregate: a path that an earlier one of the batch equals needs no comparison.
 
     Such a row keeps, in place of its hashes, the marker SETTLED, its number of edges and its
@@ -157,29 +157,29 @@ def _settle(seeds: np.ndarray, doc: np.ndarray, pos: np.ndarray, same: np.ndarra
     out[into] = payload[into + shift]
     told = np.flatnonzero(done)
     record = np.zeros(len(told), dtype=_SETTLED)
-    record["mark"], record["edges"] = SETTLED, (old[told] - 1) // HASH_BYTES
+    record["mark"], record["edges"] = SETTLED, (old[told] - 1) // hash_bytes
     record["doc"], record["pos"] = doc[source[told]], pos[source[told]]
     out[fresh[:-1][told][:, None] + np.arange(SETTLED_BYTES)] = record.view(np.uint8).reshape(len(told), SETTLED_BYTES)
     own = doc.astype(np.uint64) * _MULTIPLIERS[0] + pos.astype(np.uint64) * _MULTIPLIERS[1]
     return np.where(done, own, seeds), fresh.astype(np.int32), out
 
 
-def _edges_of(window: int, seed: int, hot: np.ndarray | None = None, counted: int = 0):
+def _edges_of(window: int, seed: int, hot: np.ndarray | None = None, counted: int = 0, hash_bytes: int = HASH_BYTES):
     """Give the settled and unsettled paths, or with ``counted`` the edges of one unsettled path in so many, by seed."""
     names = ["seed", "doc", "pos", "path"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> Iterator[pa.RecordBatch]:
             h = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
-            found = super_edges(h, np.array([len(p) for p in parts], dtype=np.int64), window, seed, hot)
+            found = super_edges(h, np.array([len(p) for p in parts], dtype=np.int64), window, seed, hot, hash_bytes)
             if found:
                 seeds, text, pos, same, offsets, payload = found
                 doc = np.array(ids, dtype=np.int64)[text]
-                seeds, offsets, payload = _settle(seeds, doc, pos, same, offsets, payload)
+                seeds, offsets, payload = _settle(seeds, doc, pos, same, offsets, payload, hash_bytes)
                 if counted:
                     drawn = (doc.astype(np.uint64) * _MULTIPLIERS[5] + pos.astype(np.uint64) * _MULTIPLIERS[6]) >> np.uint64(40)
                     pick = (drawn % np.uint64(counted) == 0) & (payload[offsets[:-1]] != SETTLED)
-                    edges = (np.diff(offsets)[pick].astype(np.int64) - 1) // HASH_BYTES
+                    edges = (np.diff(offsets)[pick].astype(np.int64) - 1) // hash_bytes
                     yield pa.RecordBatch.from_arrays([pa.array(seeds[pick].view(np.int64)), pa.array(edges)], names=["seed", "edges"])
                     return
                 path = pa.Array.from_buffers(pa.binary(), len(seeds), [None, pa.py_buffer(offsets), pa.py_buffer(payload)])
@@ -200,7 +200,7 @@ def _edges_of(window: int, seed: int, hot: np.ndarray | None = None, counted: in
     return run
 
 
-def _sources(window: int):
+def _sources(window: int, hash_bytes: int = HASH_BYTES):
     """Rows come in order of (seed, doc, pos). Give the runs of edges that have an earlier source."""
     names = ["doc", "start", "end", "src_doc", "src_start"]
 
@@ -228,12 +228,12 @@ def _sources(window: int):
             twin = np.concatenate(([False], seed[1:] == seed[:-1]))
             many = twin | np.concatenate((twin[1:], [True])) | (seed == known[0][-1] if len(known[0]) else False)
             rows = np.flatnonzero(many)
-            counts = (stop[rows] - begin[rows] - 1) // HASH_BYTES
+            counts = (stop[rows] - begin[rows] - 1) // hash_bytes
             row = np.repeat(rows, counts)
             step = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
             wide = np.zeros((len(row), 8), dtype=np.uint8)
-            base = begin[row] + 1 + HASH_BYTES * step
-            for k in range(HASH_BYTES):
+            base = begin[row] + 1 + hash_bytes * step
+            for k in range(hash_bytes):
                 wide[:, k] = data[base + k]
             hashed = wide.view("<u8").ravel()
             offset = data[begin[row]].astype(np.int64) - step
@@ -259,29 +259,29 @@ def _sources(window: int):
     return run
 
 
-def hot_seeds(raw: DataFrame, window: int, seed: int, hot_edges: int = HOT_EDGES, counted: int = COUNTED_SHARE) -> np.ndarray:
+def hot_seeds(raw: DataFrame, window: int, seed: int, hot_edges: int = HOT_EDGES, counted: int = COUNTED_SHARE, hash_bytes: int = HASH_BYTES) -> np.ndarray:
     """Seeds with about ``hot_edges`` unsettled edges or more, the largest HOT_SEEDS of them.
 
     The count is of one path in ``counted``. It decides only how edges are laid out, so that an
     error in it changes no result.
     """
-    counts = raw.mapInArrow(_edges_of(window, seed, None, counted), "seed long, edges long").groupBy("seed").agg(F.sum("edges").alias("edges"))
+    counts = raw.mapInArrow(_edges_of(window, seed, None, counted, hash_bytes), "seed long, edges long").groupBy("seed").agg(F.sum("edges").alias("edges"))
     most = counts.filter(F.col("edges") * counted >= hot_edges).orderBy(F.desc("edges"), "seed").limit(HOT_SEEDS)
     return np.sort(np.array([r.seed for r in most.collect()], dtype=np.int64).view(np.uint64))
 
 
-def edge_paths(raw: DataFrame, window: int, seed: int, hot_edges: int = HOT_EDGES, counted: int = COUNTED_SHARE) -> DataFrame:
+def edge_paths(raw: DataFrame, window: int, seed: int, hot_edges: int = HOT_EDGES, counted: int = COUNTED_SHARE, hash_bytes: int = HASH_BYTES) -> DataFrame:
     """All paths ``(seed, doc, pos, path)``, those of hot seeds split into their edges."""
-    hot = hot_seeds(raw, window, seed, hot_edges, counted)
-    return raw.mapInArrow(_edges_of(window, seed, hot), "seed long, doc long, pos int, path binary")
+    hot = hot_seeds(raw, window, seed, hot_edges, counted, hash_bytes)
+    return raw.mapInArrow(_edges_of(window, seed, hot, 0, hash_bytes), "seed long, doc long, pos int, path binary")
 
 
-def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED, hot_edges: int = HOT_EDGES, counted: int = COUNTED_SHARE) -> DataFrame:
+def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED, hot_edges: int = HOT_EDGES, counted: int = COUNTED_SHARE, hash_bytes: int = HASH_BYTES) -> DataFrame:
     """Short paths ``(doc, start, end, src_doc, src_start)`` of edges that also start earlier."""
     raw = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"))
-    edges = edge_paths(raw, window, seed, hot_edges, counted)
+    edges = edge_paths(raw, window, seed, hot_edges, counted, hash_bytes)
     laid = edges.repartition("seed").sortWithinPartitions("seed", "doc", "pos")
-    return laid.mapInArrow(_sources(window), "doc long, start int, end int, src_doc long, src_start int")
+    return laid.mapInArrow(_sources(window, hash_bytes), "doc long, start int, end int, src_doc long, src_start int")
 
 
 def repeated_spans(paths: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -403,7 +403,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED, hash_bytes: int = HASH_BYTES) -> DataFrame:
     """``(id, n_words, n_removed, kept, kept_sha256)`` for every row of ``docs``.
 
     ``kept`` holds the words that no later copy of a window covers, joined by one space.
@@ -415,7 +415,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"{id_col} must be an integer column")
     texts = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("binary").alias("__text"))
-    spans = materialize(repeated_spans(repeated_paths(docs, id_col, text_col, window, seed), window), "spans")
+    paths = materialize(repeated_paths(docs, id_col, text_col, window, seed, hash_bytes=hash_bytes), "paths")
+    spans = materialize(repeated_spans(paths, window), "spans")
     compared = materialize(compared_spans(spans, texts), "compared")
     sure, failed = compared.filter("equal").drop("equal"), compared.filter("NOT equal").drop("equal")
     if not failed.isEmpty():

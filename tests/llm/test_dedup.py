@@ -127,7 +127,7 @@ def windows_that_collide():
     order = np.argsort(low)
     for k in np.flatnonzero(low[order[1:]] == low[order[:-1]]):
         a, b = (start + [left[x // n], right[x % n]] for x in (int(order[k]), int(order[k + 1])))
-        found = [S.super_edges(hashes(w), np.array([S.WINDOW]), S.WINDOW, S.SEED) for w in (a, b)]
+        found = [S.super_edges(hashes(w), np.array([S.WINDOW]), S.WINDOW, S.SEED, None, 5) for w in (a, b)]
         if a != b and found[0][0][0] == found[1][0][0] and bytes(found[0][5][:6]) == bytes(found[1][5][:6]):
             return a, b
     raise AssertionError("no collision found")
@@ -137,10 +137,27 @@ def test_windows_of_one_hash_are_told_apart(spark):
     a, b = windows_that_collide()
     rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(["x", *b, "y"])), (4, " ".join(["z", *a]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: (r.kept, r.n_words, r.n_removed) for r in S.remove_repeats(docs).collect()}
+    got = {r.doc_id: (r.kept, r.n_words, r.n_removed) for r in S.remove_repeats(docs, hash_bytes=5).collect()}
     assert got == plain_cut(rows, S.WINDOW) and got[2][2] == 0 and got[3][2] == S.WINDOW
 
 
+@pytest.mark.parametrize("hash_bytes", [1, 2])
+def test_weak_hashes_change_no_result(spark, hash_bytes):
+    """By 8 or 16 bits many windows with one seed are taken for equal; their words tell them apart."""
+    rng = random.Random(11)
+    phrases = [[f"p{rng.randrange(10**6)}" for _ in range(6)] for _ in range(3)]
+    rows = [(k, " ".join([f"a{rng.randrange(4)}" for _ in range(20)] + rng.choice(phrases) + [f"b{rng.randrange(40)}" for _ in range(20)])) for k in range(60)]
+    rows += [(k + 100, rows[rng.randrange(60)][1] + " end") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.kept, r.n_words, r.n_removed) for r in S.remove_repeats(docs, hash_bytes=hash_bytes).collect()}
+    assert got == plain_cut(rows, S.WINDOW)
+
+
+def test_ids_must_be_integers(spark):
+    with pytest.raises(TypeError):
+        S.remove_repeats(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
 def test_look_up_in_several_passes(spark):
     rows = [(k, " ".join(f"w{j}" for j in range(k % 3, 40 + k % 3))) for k in range(6)]
     raw = spark.createDataFrame(rows, "__id long, __text string").selectExpr("__id", "cast(__text AS binary) AS __text")
