@@ -8,6 +8,7 @@ around them, lists with their marks and depth, and tables with aligned columns.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Iterator
@@ -18,13 +19,17 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.DOTALL)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)|[^<]++|<", re.DOTALL)
+#: The rest of a tag, by which quotes still have a partner in the page.
+_REST = {q: re.compile("(?:" + "|".join([f"[^>{''.join(q)}]++", *(f"{c}[^{c}]*+{c}" for c in q)]) + ")*+") for q in ("", '"', "'", "\"'")}
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _CSS_NOISE = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|<!--|-->", re.DOTALL)
 _CSS_PART = re.compile(r"([^{};]*)([{};]|\Z)")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
-_UNSEEN_STYLE = re.compile(r"(?<![\w-])(?:display\s*:\s*none|content-visibility\s*:\s*hidden)", re.IGNORECASE)
-_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(visible|initial|hidden|collapse)", re.IGNORECASE)
+_DECLARED = re.compile(r"(?<![\w-])(display|visibility|content-visibility)\s*:\s*([\w-]+)\s*(!\s*important)?", re.IGNORECASE)
+#: Levels to which lists are indented and tables in tables aligned, columns that spans may take, and
+#: the width to which columns are padded: beyond these, text is kept but not laid out.
+DEEPEST, WIDEST_SPAN, WIDEST_COLUMN = 30, 200, 200
 
 # Names and nesting rules of HTML (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -99,10 +104,14 @@ def _screen_rules(css: str) -> Iterator[tuple[str, str]]:
         yield from close()
 
 
-def _veils(declarations: str) -> bool | None:
-    """Whether declarations hide by visibility, or show; None if they say neither."""
-    found = _VISIBILITY.findall(declarations)
-    return found[-1].lower() in ("hidden", "collapse") if found else None
+def _declared(declarations: str) -> dict[str, tuple[bool, str]]:
+    """For each property that matters, whether its declaration is important, and the value: the last counts."""
+    out: dict[str, tuple[bool, str]] = {}
+    for name, value, important in _DECLARED.findall(declarations):
+        name, mine = name.lower(), (bool(important), value.lower())
+        if name not in out or mine[0] >= out[name][0]:
+            out[name] = mine
+    return out
 
 
 class _Canvas:
@@ -136,26 +145,42 @@ class _Canvas:
 
 class _Table:
     def __init__(self) -> None:
-        self.rows: list[list[tuple[list[str], int]]] = []
+        self.rows: list[list[tuple[int, int, list[str]]]] = []  # column, columns spanned, lines
+        self.next = 0
+        self.taken: dict[int, int] = {}  # column, and the last row that a cell from above reaches into it
+
+    def row(self) -> None:
+        self.rows.append([])
+        self.next = 0
+
+    def cell(self, columns: int, rows: int) -> None:
+        if not self.rows:
+            self.row()
+        row = len(self.rows) - 1
+        while self.taken.get(self.next, -1) >= row:
+            self.next += 1
+        columns = max(1, min(columns, WIDEST_SPAN - self.next))
+        self.rows[-1].append((self.next, columns, []))
+        if rows > 1:
+            self.taken.update({c: row + rows - 1 for c in range(self.next, min(self.next + columns, WIDEST_SPAN))})
+        self.next += columns
 
     def lines(self) -> list[str]:
         """Cells padded to their column's width; a cell of several lines makes the row higher."""
         width: list[int] = []
         for row in self.rows:
-            at = 0
-            for cell, span in row:
+            for at, span, cell in row:
                 width += [0] * (at + span - len(width))
                 if span == 1:
-                    width[at] = max(width[at], max(map(len, cell), default=0))
-                at += span
+                    width[at] = min(max(width[at], max(map(len, cell), default=0)), WIDEST_COLUMN)
         out = []
         for row in self.rows:
-            for k in range(max((len(cell) for cell, _ in row), default=0)):
-                parts, at = [], 0
-                for cell, span in row:
-                    room = sum(width[at : at + span]) + 3 * (span - 1)
-                    parts.append((cell[k] if k < len(cell) else "").ljust(room))
-                    at += span
+            for k in range(max((len(cell) for *_, cell in row), default=0)):
+                parts, done = [], 0
+                for at, span, cell in row:
+                    parts += [" " * width[c] for c in range(done, at)]
+                    parts.append((cell[k] if k < len(cell) else "").ljust(sum(width[at : at + span]) + 3 * (span - 1)))
+                    done = at + span
                 out.append(" | ".join(parts).rstrip(" "))
         return out
 
@@ -166,16 +191,15 @@ class _Renderer:
         self.hidden = 0
         self.veiled = False  # hidden by visibility, which an element within can undo
         self.canvases = [_Canvas()]
-        self.tables: list[_Table] = []
+        self.tables: list[_Table | None] = []  # None: too deep to be aligned
+        self.places: dict[str, list[int]] = {}  # where in the stack each element's open tags are
         self.lists: list[list] = []  # kind, next number
         self.pre = 0
-        self.unseen_tags: set[str] = set()
-        self.unseen_marks: set[str] = set()
-        self.veils: dict[str, tuple[int, bool]] = {}  # selector, and its last rule's place and visibility
-        self.rules = 0
+        self.rules: dict[str, dict[str, tuple[bool, int, str]]] = {}  # selector and property: important, place, value
+        self.n_rules = 0
 
     def _indent(self) -> str:
-        return "  " * len(self.lists)
+        return "  " * min(len(self.lists), DEEPEST)
 
     def _break(self, tag: str) -> None:
         canvas = self.canvases[-1]
@@ -185,40 +209,42 @@ class _Renderer:
             canvas.blank = True
 
     def style(self, css: str) -> None:
-        """Remember the plain selectors (tag, .class, #id) that a style sheet hides, or shows by visibility."""
+        """Remember what a style sheet's plain selectors (tag, .class, #id) say of what is seen."""
         for selectors, declarations in _screen_rules(css):
-            none, veils = _UNSEEN_STYLE.search(declarations), _veils(declarations)
-            if not none and veils is None:
-                continue
-            for selector in (x.strip() for x in selectors.split(",")):
-                mark = re.fullmatch(r"[.#][\w-]+", selector)
-                if not mark and not re.fullmatch(r"[a-zA-Z][\w-]*", selector):
+            found = _declared(declarations)
+            self.n_rules += 1
+            for selector in (x.strip() for x in selectors.split(",")) if found else ():
+                if not re.fullmatch(r"[.#]?[a-zA-Z_-][\w-]*", selector):
                     continue
-                selector = selector if mark else selector.lower()
-                if none:
-                    (self.unseen_marks if mark else self.unseen_tags).add(selector)
-                if veils is not None:
-                    self.veils[selector] = (self.rules, veils)
-            self.rules += 1
-
-    def _is_veiled(self, tag: str, attrs: dict[str, str]) -> bool:
-        """By its own style, else by its id, its classes, its tag; else as its parent is."""
-        own = _veils(attrs.get("style", "")) if attrs else None
-        if own is not None or not self.veils:
-            return self.veiled if own is None else own
-        classes = [self.veils[m] for c in attrs.get("class", "").split() if (m := "." + c) in self.veils]
-        for found in ([self.veils.get("#" + attrs.get("id", ""))], classes, [self.veils.get(tag)]):
-            if found := [x for x in found if x]:
-                return max(found)[1]
-        return self.veiled
-
-    def _is_hidden(self, tag: str, attrs: dict[str, str]) -> bool:
-        if tag in UNSEEN or tag in self.unseen_tags or "hidden" in attrs or (tag == "dialog" and "open" not in attrs):
+                known = self.rules.setdefault(selector if selector[0] in ".#" else selector.lower(), {})
+                for name, (important, value) in found.items():
+                    if name not in known or important >= known[name][0]:
+                        known[name] = (important, self.n_rules, value)
+
+    def _styled(self, tag: str, attrs: dict[str, str]) -> dict[str, str]:
+        """An element's own declarations: important ones first, then by style, id, class and tag, the last first."""
+        if not self.rules and "style" not in attrs:
+            return {}
+        found = [(0, self.rules.get(tag)), *((1, self.rules.get("." + c)) for c in attrs.get("class", "").split()), (2, self.rules.get("#" + attrs.get("id", "")))]
+        ranked = [(name, (v[0], rank, v[1]), v[2]) for rank, rule in found if rule for name, v in rule.items()]
+        ranked += [(name, (important, 3, 0), value) for name, (important, value) in _declared(attrs.get("style", "")).items()]
+        best: dict[str, tuple] = {}
+        for name, key, value in ranked:
+            if name not in best or key >= best[name][0]:
+                best[name] = (key, value)
+        return {name: value for name, (_, value) in best.items()}
+
+    def _is_veiled(self, styled: dict[str, str]) -> bool:
+        """By its own declaration, else as its parent is."""
+        value = styled.get("visibility")
+        return value in ("hidden", "collapse") if value in ("visible", "initial", "hidden", "collapse") else self.veiled
+
+    def _is_hidden(self, tag: str, attrs: dict[str, str], styled: dict[str, str]) -> bool:
+        if tag in UNSEEN or styled.get("content-visibility") == "hidden":
             return True
-        if not attrs:
-            return False
-        marks = {"." + c for c in attrs.get("class", "").split()} | {"#" + attrs.get("id", "")}
-        return bool(_UNSEEN_STYLE.search(attrs.get("style", "")) or marks & self.unseen_marks)
+        if "display" in styled:
+            return styled["display"] == "none"
+        return "hidden" in attrs or (tag == "dialog" and "open" not in attrs)
 
     def start(self, tag: str, attrs: dict[str, str]) -> None:
         if self.open and self.open[-1][0] == "head" and tag not in IN_HEAD:
@@ -229,54 +255,58 @@ class _Renderer:
             self._close_within(*IMPLIED[tag])
         if tag in ("td", "th") and self.tables and not any(t in ("tr", "table") for t, *_ in reversed(self.open[-1:])):
             self.start("tr", {})
-        hidden = self._is_hidden(tag, attrs)
+        styled = self._styled(tag, attrs)
+        hidden = self._is_hidden(tag, attrs, styled)
         if tag in VOID:
             if not hidden and not self.hidden:
                 if tag in ("br", "hr"):
                     self.canvases[-1].end_line(self._indent(), keep=tag == "br" and bool(self.canvases[-1].now))
-                elif tag == "img" and attrs.get("alt") and not self._is_veiled(tag, attrs):
+                elif tag == "img" and attrs.get("alt") and not self._is_veiled(styled):
                     self.text(attrs["alt"], shown=True)
             return
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, hidden, self.veiled))
-        self.veiled = self._is_veiled(tag, attrs)
+        self.veiled = self._is_veiled(styled)
         self.hidden += hidden
         if self.hidden:
             return
         if tag in BLOCK:
             self._break(tag)
         if tag == "table":
-            self.tables.append(_Table())
-        elif tag == "tr" and self.tables:
-            self.tables[-1].rows.append([])
-        elif tag in ("td", "th") and self.tables:
-            if not self.tables[-1].rows:
-                self.tables[-1].rows.append([])
-            span = attrs.get("colspan", "1")
-            self.tables[-1].rows[-1].append(([], min(int(span), 1000) if span.isdecimal() and int(span) else 1))
+            self.tables.append(_Table() if len(self.tables) < DEEPEST else None)
+        elif tag == "tr" and self.tables and self.tables[-1]:
+            self.tables[-1].row()
+        elif tag in ("td", "th") and self.tables and self.tables[-1]:
+            spans = [attrs.get(x, "1") for x in ("colspan", "rowspan")]
+            self.tables[-1].cell(*(int(x) if re.fullmatch(r"[1-9][0-9]{0,8}", x) else 1 for x in spans))
             self.canvases.append(_Canvas())
         elif tag in ("ul", "ol", "menu", "dir"):
             first = attrs.get("start", "1")
             self.lists.append(["ol" if tag == "ol" else "ul", int(first) if re.fullmatch(r"-?\d{1,9}", first) else 1])
         elif tag == "li":
             kind = self.lists[-1] if self.lists else ["ul", 1]
-            self.canvases[-1].mark = "  " * max(len(self.lists) - 1, 0) + (f"{kind[1]}. " if kind[0] == "ol" else "- ")
+            self.canvases[-1].mark = "  " * min(max(len(self.lists) - 1, 0), DEEPEST) + (f"{kind[1]}. " if kind[0] == "ol" else "- ")
             kind[1] += 1
         elif tag in ("pre", "xmp"):
             self.pre += 1
 
     def _pop(self) -> None:
         tag, own, self.veiled = self.open.pop()
+        self.places[tag].pop()
         seen = not self.hidden
         self.hidden -= own
         if not seen:
             return
-        if tag in ("td", "th") and self.tables and len(self.canvases) > 1:
+        if tag in ("td", "th") and self.tables and self.tables[-1] and len(self.canvases) > 1:
             canvas = self.canvases.pop()
             canvas.end_line()
-            self.tables[-1].rows[-1][-1][0].extend(canvas.lines)
+            self.tables[-1].rows[-1][-1][2].extend(canvas.lines)
+        elif tag in ("td", "th") and self.tables:
+            self._break("tr")
         elif tag == "table" and self.tables:
-            canvas = self.canvases[-1]
-            for line in self.tables.pop().lines():
+            canvas, table = self.canvases[-1], self.tables.pop()
+            canvas.end_line(self._indent())
+            for line in table.lines() if table else ():
                 canvas.now.append(line)
                 canvas.end_line(self._indent())
             canvas.blank = True
@@ -291,14 +321,15 @@ class _Renderer:
             elif tag in ("pre", "xmp"):
                 self.pre -= 1
 
+    def _innermost(self, names: tuple[str, ...]) -> int:
+        return max((at[-1] for n in names if (at := self.places.get(n))), default=-1)
+
     def _close_within(self, names: tuple[str, ...], borders: tuple[str, ...]) -> None:
         """Close the outermost of the named elements that is open within the innermost border."""
-        found = None
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] in names:
-                found = k
-            elif self.open[k][0] in borders:
-                break
+        if self._innermost(names) < 0:
+            return
+        border = self._innermost(borders)
+        found = min((at[k] for n in names if (at := self.places.get(n)) and (k := bisect.bisect_right(at, border)) < len(at)), default=None)
         while found is not None and len(self.open) > found:
             self._pop()
 
@@ -308,13 +339,10 @@ class _Renderer:
                 self.start("br", {})
             return
         stop = () if tag in ("table", "body", "html") else ("table",) if tag in ("tr", "td", "th", "thead", "tbody", "tfoot", "caption") else ("td", "th", "table")
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                while len(self.open) > k:
-                    self._pop()
-                return
-            if self.open[k][0] in stop:
-                return
+        found = self._innermost((tag,))
+        if found > self._innermost(tuple(x for x in stop if x != tag)):
+            while len(self.open) > found:
+                self._pop()
 
     def text(self, value: str, shown: bool = False) -> None:
         if self.hidden or (self.veiled and not shown):
@@ -340,23 +368,31 @@ class _Renderer:
 
 
 def render(page: str | None) -> str:
-    """The visible text of a page; of a null or empty page, an empty text."""
+    """The visible text of a page; of a null or empty page, an empty text. The time is in proportion to the page."""
     out, at, page = _Renderer(), 0, page or ""
+    paired = "\"'"  # quotes that may still have a partner
     while at < len(page):
-        m = _TOKEN.match(page, at)
+        m = _MARKUP.match(page, at)
         at = m.end()
         if m[2] is None:
             if m[0][:2] not in ("<!", "<?"):
                 out.text(html.unescape(m[0]))
             continue
-        tag = m[2].lower()
+        begin, stop = at, _REST[paired].match(page, at).end()
+        while page[stop : stop + 1] in ('"', "'"):  # a quote that is never closed is like any other character
+            paired = paired.replace(page[stop], "")
+            stop = _REST[paired].match(page, stop).end()
+        if stop == len(page):  # a tag that the page cuts off
+            out.text(html.unescape(page[m.start() :]))
+            break
+        at, rest, tag = stop + 1, page[begin:stop], m[2].lower()
         if m[1]:
             out.end(tag)
             continue
-        attrs = _attributes(m[3])
+        attrs = _attributes(rest)
         out.start(tag, attrs)
         if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
             inside = page[at : close.start() if close else len(page)]
             at = close.end() if close else len(page)
             if tag == "style" and _on_any_screen(attrs.get("media", "")):
@@ -366,7 +402,7 @@ def render(page: str | None) -> str:
             elif tag == "textarea":
                 out.text(html.unescape(inside))
             out.end(tag)
-        elif m[3].endswith("/") and tag in ("svg", "math"):
+        elif rest.endswith("/") and tag in ("svg", "math"):
             out.end(tag)
     return out.finish()
 
@@ -379,7 +415,7 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """``(id, text)`` for every row of ``pages``.
 
-    A null or empty page gives an empty text. Broken and cut-off pages are rendered as far as
+    A null or empty page gives an empty text; the time for a page is in proportion to its length. Broken and cut-off pages are rendered as far as
     they go: open elements end with the page, an unclosed tag is text. Ids may be null or
     repeat; further columns are ignored; an empty table gives no rows.
     """

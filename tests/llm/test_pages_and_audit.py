@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -153,3 +154,40 @@ def test_records_end_by_their_length(spark, tmp_path):
     want = [hashlib.sha256(r).hexdigest() for r in records]
     assert found["plain.warc"] == found["members.warc.gz"] == found["one.warc.gz"] == want
     assert found["broken.warc.gz"][0] == want[0] and "empty.warc" not in found
+
+
+def test_cascade_and_visibility():
+    cases = {
+        "<style>@media print{.x{display:none}}</style><p class=x>a": "a",
+        "<style>.x{display:none}.x{display:block}</style><p class=x>a": "a",
+        "<style>.x{display:none!important}.x{display:block}</style><p class=x>a<p>b": "b",
+        "<style>p{display:none}#k{display:block}</style><p id=k>a<p>b": "a",
+        "<style>#k{display:none}</style><p id=k style='display:inline'>a": "a",
+        "<style>[x]{display:none}.s{display:block}</style><p hidden class=s>a<p hidden>b": "a",
+        "<style>.v{visibility:hidden}</style><p class=v>a<b style='visibility:visible'>b</b>c": "b",
+        "<style>.v{visibility:hidden}.v{visibility:visible}</style><p class=v>a": "a",
+        "<p style='content-visibility:hidden'>a<p>b": "b",
+    }
+    assert {page: H.render(page) for page in cases} == cases
+
+
+def test_cells_that_span_rows():
+    assert H.render("<table><tr><td rowspan=2>A<td>b<tr><td>c<tr><td>d<td>e</table>") == "A | b\n  | c\nd | e"
+    assert H.render("<table><tr><td rowspan=3 colspan=2>A<td>b<tr><td>c<tr><td>d<td rowspan=x>e</table>") == "A   | b\n |  | c\n |  | d | e"
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a href="x ', "<div>", "<ul><li>x", "<p>", "<a '>' ", "<table><tr><td>x", "<tr><td rowspan=9999>x", "</div>", "<td colspan=1000>x"])
+def test_hostile_pages_take_time_in_proportion(unit):
+    took = []
+    for size in (50_000, 200_000):
+        began = time.process_time()
+        H.render(unit * (size // len(unit)))
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.5 and took[1] < 5
+
+
+def test_deep_and_wide_layout_keeps_the_text():
+    assert H.render("<table><tr><td>x" * 100).count("x") == 100
+    assert H.render("<ul><li>y" * 100).count("y") == 100
+    assert H.render("<table><tr>" + "<td>z" * 500 + "</table>").count("z") == 500
+    assert len(H.render("<table><tr><td>" + "w" * 5000 + "<tr><td>a<td>b</table>")) < 6000
