@@ -25,6 +25,7 @@ NAME_RULES = [
 LONGEST_NAME = 15
 
 TOKEN = r"[\p{L}\p{N}]{2,}"
+HAN = r"\p{IsHan}"
 
 
 def strip(text: Column) -> Column:
@@ -37,8 +38,13 @@ def lines(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Terms of two or more letters or digits, in small letters."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    """Terms in small letters: runs of two or more letters or digits, and for a run of Han
+    characters, which has no blanks between words, each two neighbours."""
+    low = F.lower(text)
+    plain = lambda x: F.regexp_extract_all(x, F.lit(TOKEN), F.lit(0))
+    runs = F.regexp_extract_all(low, F.lit(HAN + "{2,}"), F.lit(0))
+    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
+    return F.when(low.rlike(HAN), F.concat(plain(F.regexp_replace(low, HAN, " ")), pairs)).otherwise(plain(low))
 
 
 def speakers(text: Column) -> Column:

@@ -1,46 +1,116 @@
-"""Sparse retrieval: BM25 with term strings as keys and document frequencies over the whole corpus."""
+"""Sparse retrieval: BM25 with term strings as keys and document frequencies over the whole corpus.
+
+A corpus is tokenised once into a written table of postings; whatever asks for some terms takes
+their postings only, before anything else is computed or shuffled.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import broadcast_checked, written
 
 K1, B = 1.2, 0.75
 
 
 def terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, term, tf, dl)``: counted within each document, so no shuffle is needed."""
+    """``(id, term, tf, dl)``. A document's terms are counted in its own task; the shuffle moves a row for each distinct one."""
     found = docs.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("t")).withColumn("dl", F.size("t").cast("long"))
     return found.select("id", "dl", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Term table ``(term, df, idf)`` and the one-row table ``(n_docs, avg_dl)``."""
-    size = docs.agg(F.count(F.lit(1)).alias("n_docs"), (F.sum(F.size(T.tokens(F.col(text_col)))) / F.count(F.lit(1))).alias("avg_dl"))
+@dataclass
+class Index:
+    """Postings ``(id, term, tf, dl)`` and the one-row table ``(n_docs, avg_dl)``."""
+
+    postings: DataFrame
+    size: DataFrame
+
+    def among(self, asked: DataFrame) -> Index:
+        """The postings of the terms in ``asked(term)`` only; the corpus keeps its size."""
+        vocabulary = broadcast_checked(asked.select("term").distinct())
+        return Index(written(self.postings.join(vocabulary, "term", "left_semi"), "postings"), self.size)
+
+
+def index(docs: DataFrame, id_col: str, text_col: str) -> Index:
+    postings = written(terms(docs, id_col, text_col), "postings")
+    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    # both are single rows
+    size = n.join(F.broadcast(postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total")))).select("n_docs", (F.col("total") / F.col("n_docs")).alias("avg_dl"))
+    return Index(postings, size)
+
+
+def fit(ix: Index) -> tuple[DataFrame, DataFrame]:
+    """Term table ``(term, df, idf)`` of the index's terms, and its size."""
+    df = ix.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = F.col("n_docs") - F.col("df")
-    df = terms(docs, id_col, text_col).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # the second side is a single row
-    return df.join(F.broadcast(size)).select("term", "df", F.ln((n + 0.5) / (F.col("df") + 0.5) + 1).alias("idf")), size
+    return df.join(F.broadcast(ix.size)).select("term", "df", F.ln((n + 0.5) / (F.col("df") + 0.5) + 1).alias("idf")), ix.size
+
+
+def save(model: tuple[DataFrame, DataFrame], path: str) -> None:
+    model[0].write.mode("overwrite").parquet(f"{path}/terms")
+    model[1].write.mode("overwrite").parquet(f"{path}/size")
+
 
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/size")
 
-def weights(docs: DataFrame, model: tuple[DataFrame, DataFrame], id_col: str, text_col: str, k1: float = K1, b: float = B) -> DataFrame:
+
+def vocabulary(known: DataFrame) -> DataFrame:
+    """Number the terms from 0, the most frequent first: sorted by range, counted by partition."""
+    lines = written(known.orderBy(F.desc("df"), "term").withColumn("_m", F.monotonically_increasing_id()), "vocabulary")
+    part = F.shiftright("_m", 33).alias("_part")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    offsets = lines.groupBy(part).agg(F.count(F.lit(1)).alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    numbered = lines.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return numbered.select("term", "df", (F.col("_before") + F.col("_m").bitwiseAND((1 << 33) - 1)).alias("idx"))
+
+
+def pack(postings: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Sparse vectors ``(id, indices, values)``: term numbers in order, with their counts."""
+    entry = F.sort_array(F.collect_list(F.struct("idx", "tf")))
+    rows = postings.join(numbers.select("term", "idx"), "term").groupBy("id").agg(entry.alias("e"))
+    return rows.select("id", F.transform("e", lambda x: x["idx"]).alias("indices"), F.transform("e", lambda x: x["tf"]).alias("values"))
+
+
+def weights(postings: DataFrame, model: tuple[DataFrame, DataFrame], k1: float = K1, b: float = B) -> DataFrame:
     """``(id, term, w)``; terms the model does not know are left out."""
     known, size = model
     tf = F.col("tf")
     w = F.col("idf") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    return terms(docs, id_col, text_col).join(known, "term").join(F.broadcast(size)).select("id", "term", w.alias("w"))
+    return postings.join(known, "term").join(F.broadcast(size)).select("id", "term", w.alias("w"))
 
 
-def lexical(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def norms(postings: DataFrame) -> DataFrame:
+    """``(id, norm)`` of a document's lexical weights."""
+    v = 1 + F.ln("tf")
+    return postings.groupBy("id").agg(F.sqrt(F.sum(v * v)).alias("norm"))
+
+
+def lexical(postings: DataFrame, norm: DataFrame) -> DataFrame:
     """Stand-in for learned term weights: 1 + ln tf, normalised to unit length per document."""
-    raw = terms(docs, id_col, text_col).withColumn("v", 1 + F.ln("tf"))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
-    return raw.join(norm, "id").select("id", "term", (F.col("v") / F.col("n")).alias("w"))
+    return postings.join(norm, "id").select("id", "term", ((1 + F.ln("tf")) / F.col("norm")).alias("w"))
 
 
 def score(queries: DataFrame, postings: DataFrame) -> DataFrame:
-    """``(q, id, score)``: sparse dot products of queries ``(q, term, w)`` with postings."""
-    q = queries.select("q", "term", F.col("w").alias("qw"))
+    """``(q, id, score)``: sparse dot products of queries ``(id, term, w)`` with postings."""
+    q = broadcast_checked(queries.select(F.col("id").alias("q"), "term", F.col("w").alias("qw")))
     return postings.join(q, "term").groupBy("q", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
+
+
+def search(ix: Index, queries: DataFrame, id_col: str, text_col: str, pool: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """BM25 and lexical scores ``(q, id, score)`` of the documents for query texts, those in ``pool(id)`` only if given.
+
+    Terms are weighted by the whole corpus. Only postings of the queries' terms are weighted and joined."""
+    asked = written(terms(queries, id_col, text_col), "asked")
+    hits = ix.among(asked)
+    model = fit(hits)
+    found = hits.postings if pool is None else hits.postings.join(pool.select("id").distinct(), "id", "left_semi")
+    sparse = score(weights(asked, model), weights(found, model))
+    mine = norms(ix.postings.join(found.select("id").distinct(), "id", "left_semi"))
+    return sparse, score(lexical(asked, norms(asked)), lexical(found, mine))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import broadcast_checked, written
 
 LABELS = ["Character", "Faction", "Place", "Item", "Concept", "Event"]
 RELATIONS = ["MOTIVATED_BY", "MEMBER_OF", "OPPOSED_TO", "ORIGINATES_FROM", "LOCATED_AT", "INVOLVED_IN", "LEADS_TO", "CREATED_BY", "TEMPORAL_BEFORE"]
@@ -25,12 +25,14 @@ def undirected(edges: DataFrame) -> DataFrame:
     return out.unionByName(edges.filter("src <> tgt").select(*turned).withColumn("direction", F.lit("in")))
 
 
-def relations_of(edges: DataFrame, nodes: DataFrame, entity: str, relation: str | None = None, limit: int = 20) -> DataFrame:
-    """Edges of an entity, seen from it, with the other end's label; ordered by type and name."""
-    mine = undirected(edges).filter(F.col("src") == entity)
+def relations_of(edges: DataFrame, nodes: DataFrame, entities: DataFrame, relation: str | None = None, limit: int = 20) -> DataFrame:
+    """Edges of each of ``entities(start)``, seen from it, with the other end's label; the first
+    ``limit`` of each by type and name."""
+    mine = undirected(edges).join(broadcast_checked(entities.select(F.col("start").alias("src")).distinct()), "src")
     mine = mine.filter(F.col("rel_type") == relation) if relation else mine
     named = mine.join(nodes.select(F.col("name").alias("tgt"), F.col("label").alias("target_label")), "tgt")
-    return named.select("src", "rel_type", "tgt", "target_label", "direction", "chapter").orderBy("rel_type", "tgt", "direction", F.asc_nulls_last("chapter")).limit(limit)
+    order = Window.partitionBy("src").orderBy("rel_type", "tgt", "direction", F.asc_nulls_last("chapter"))
+    return named.select("src", "rel_type", "tgt", "target_label", "direction", "chapter").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
 def bind(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -47,19 +49,25 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return src.unionByName(tgt)
 
 
-def reach(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
-    """``(start, node, path, hops)`` of every node within ``hops`` undirected edges of a start.
+def steps_of(edges: DataFrame) -> DataFrame:
+    """Edges from both ends, written once."""
+    return written(undirected(edges).select("src", "rel_type", "tgt").distinct(), "steps")
 
-    ``path`` alternates names and relation types. Of the shortest paths the least in that order
+
+def reach(steps: DataFrame, starts: DataFrame, hops: int, backward: bool = False) -> DataFrame:
+    """``(start, node, path, hops)`` of every node within ``hops`` steps of a start.
+
+    ``path`` alternates names and relation types, from the start to the node, or with
+    ``backward`` from the node to the start. Of the shortest paths the least in that order
     is taken: level by level one path is kept for each start and node, as the least path's
-    prefix is the least to its node. The steps and every level are written once, so a level
-    costs one join whatever came before it.
+    parts are the least to their nodes. Every level is written once, so it costs one join
+    whatever came before it.
     """
-    steps = written(undirected(edges).select("src", "rel_type", "tgt").distinct(), "steps")
     level = written(starts.select("start").distinct().select("start", F.col("start").alias("node"), F.array("start").alias("path"), F.lit(0).alias("hops")), "level")
     seen = level
     for k in range(1, hops + 1):
-        grown = level.join(steps, level.node == steps.src).select("start", F.col("tgt").alias("node"), F.concat("path", F.array("rel_type", "tgt")).alias("path"))
+        path = F.concat(F.array("tgt", "rel_type"), "path") if backward else F.concat("path", F.array("rel_type", "tgt"))
+        grown = level.join(steps, level.node == steps.src).select("start", F.col("tgt").alias("node"), path.alias("path"))
         least = grown.groupBy("start", "node").agg(F.min("path").alias("path"))
         level = written(least.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(k)), "level")
         seen = seen.unionByName(level)
@@ -69,22 +77,28 @@ def reach(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 4, banned: DataFrame | None = None) -> DataFrame:
     """``(start, end, path, hops)`` of each pair that a path of at most ``max_hops`` edges links.
 
-    Edges count in both directions. ``banned(name)`` are nodes that no path may touch.
+    Edges count in both directions. ``banned(name)`` are nodes that no path may touch. The search
+    goes half the hops from the starts and the other half from the ends; where both meet, the
+    fewest hops and then the least path win.
     """
     if banned is not None:
         for col in ("src", "tgt"):
             edges = edges.join(banned.select(F.col("name").alias(col)), col, "left_anti")
         for col in ("start", "end"):
             pairs = pairs.join(banned.select(F.col("name").alias(col)), col, "left_anti")
-    pairs = written(pairs.select("start", "end"), "pairs")
-    reached = reach(edges, pairs, max_hops).withColumnRenamed("node", "end")
-    return pairs.join(reached, ["start", "end"]).select("start", "end", "path", F.col("hops").cast("bigint").alias("hops"))
+    pairs, steps = written(pairs.select("start", "end").distinct(), "pairs"), steps_of(edges)
+    there = reach(steps, pairs, max_hops - max_hops // 2)
+    back = reach(steps, pairs.select(F.col("end").alias("start")), max_hops // 2, True).select(F.col("start").alias("end"), "node", F.col("path").alias("rest"), F.col("hops").alias("more"))
+    met = pairs.join(there, "start").join(back, ["end", "node"])
+    whole = F.struct((F.col("hops") + F.col("more")).alias("hops"), F.concat("path", F.slice("rest", 2, F.size("rest"))).alias("path"))
+    best = met.select("start", "end", whole.alias("p")).groupBy("start", "end").agg(F.min("p").alias("p"))
+    return best.select("start", "end", "p.path", F.col("p.hops").cast("bigint").alias("hops"))
 
 
 def neighbours(edges: DataFrame, starts: DataFrame, max_hops: int = 3, limit: int = 15) -> DataFrame:
     """The nearest nodes of each start, with one least shortest chain to each."""
     order = Window.partitionBy("start").orderBy("hops", "end")
-    near = reach(edges, starts, max_hops).filter("hops > 0").select("start", F.col("node").alias("end"), "path", F.col("hops").cast("bigint").alias("hops"))
+    near = reach(steps_of(edges), starts, max_hops).filter("hops > 0").select("start", F.col("node").alias("end"), "path", F.col("hops").cast("bigint").alias("hops"))
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
@@ -92,7 +106,7 @@ def subgraph(edges: DataFrame, start: DataFrame, depth: int = 1, max_nodes: int
     """Nodes and edges of all paths of at most ``depth`` edges from the start. With ``max_nodes``
     the nearest nodes stay, and the edges between them."""
     edges = written(edges, "edges")
-    near = reach(edges, start, depth).select("start", "node", F.col("hops").alias("dist"))
+    near = reach(steps_of(edges), start, depth).select("start", "node", F.col("hops").alias("dist"))
     if max_nodes is not None:
         near = near.withColumn("_r", F.row_number().over(Window.partitionBy("start").orderBy("dist", "node"))).filter(F.col("_r") <= max_nodes).drop("_r")
     a = near.select("start", F.col("node").alias("src"), F.col("dist").alias("da"))
@@ -113,23 +127,29 @@ def timeline(edges: DataFrame, nodes: DataFrame, entities: DataFrame, hops: int
     after it, if there are any; 3: its outgoing edges with a chapter, or, without those, the
     incoming ones (as layer 4).
     """
-    e, edges = entities.select("entity"), written(edges, "edges")
+    e, edges = written(entities.select("entity").distinct(), "entities"), written(edges, "edges")
     events = written(nodes.filter("label = 'Event'").select(F.col("name").alias("item"), F.col("chapter").alias("at")), "events")
-    involved = edges.filter("rel_type = 'INVOLVED_IN'").join(e, F.col("src") == F.col("entity")).join(events, F.col("tgt") == F.col("item")).select("entity", F.lit(1).alias("layer"), F.lit("events").alias("source"), "item", "rel_type", F.col("at").alias("chapter"), F.lit(0).alias("step"))
-    after = edges.filter("rel_type = 'TEMPORAL_BEFORE'").select("src", "tgt")
+    row = lambda layer, source, item, rel, chapter, step: ["entity", F.lit(layer).alias("layer"), F.lit(source).alias("source"), F.col(item).alias("item"), rel.alias("rel_type"), F.col(chapter).alias("chapter"), step.alias("step")]
+    zero, rel = F.lit(0), F.col("rel_type")
+    involved = edges.filter("rel_type = 'INVOLVED_IN'").join(e, F.col("src") == F.col("entity")).join(events, F.col("tgt") == F.col("item"))
+    found = [written(involved.select(*row(1, "events", "tgt", rel, "at", zero)), "layer")]
+    # each layer is computed only for the entities that those before left without rows
+    e = written(e.join(found[0].select("entity").distinct(), "entity", "left_anti"), "entities")
+    after = written(edges.filter("rel_type = 'TEMPORAL_BEFORE'").select("src", "tgt").distinct(), "after")
     level = e.join(events, F.col("entity") == F.col("item")).select("entity", "item")
     chain = [level]
     for _ in range(hops):
-        level = level.join(after, level.item == after.src).select("entity", F.col("tgt").alias("item")).distinct()
+        level = written(level.join(after, level.item == after.src).select("entity", F.col("tgt").alias("item")).distinct(), "level")
         chain.append(level)
     steps = reduce(DataFrame.unionByName, [c.withColumn("step", F.lit(k)) for k, c in enumerate(chain)])
-    more = chain[1].select("entity").distinct()
-    temporal = steps.join(more, "entity", "left_semi").join(events, "item").select("entity", F.lit(2).alias("layer"), F.lit("temporal").alias("source"), "item", F.lit("TEMPORAL_BEFORE").alias("rel_type"), F.col("at").alias("chapter"), "step")
+    temporal = steps.join(chain[1].select("entity").distinct(), "entity", "left_semi").join(events, "item")
+    found.append(temporal.select(*row(2, "temporal", "item", F.lit("TEMPORAL_BEFORE"), "at", F.col("step"))))
+    e = written(e.join(chain[1].select("entity").distinct(), "entity", "left_anti"), "entities")
     dated = edges.filter("chapter IS NOT NULL")
-    out = dated.join(e, F.col("src") == F.col("entity")).select("entity", F.lit(3).alias("layer"), F.lit("outgoing").alias("source"), F.col("tgt").alias("item"), "rel_type", "chapter", F.lit(0).alias("step"))
-    inn = dated.join(e, F.col("tgt") == F.col("entity")).select("entity", F.lit(4).alias("layer"), F.lit("incoming").alias("source"), F.col("src").alias("item"), "rel_type", "chapter", F.lit(0).alias("step"))
-    rows = involved.unionByName(temporal).unionByName(out).unionByName(inn)
-    return rows.withColumn("_first", F.min("layer").over(Window.partitionBy("entity"))).filter("layer = _first").drop("_first")
+    out = written(dated.join(e, F.col("src") == F.col("entity")).select(*row(3, "outgoing", "tgt", rel, "chapter", zero)), "layer")
+    e = e.join(out.select("entity").distinct(), "entity", "left_anti")
+    found += [out, dated.join(e, F.col("tgt") == F.col("entity")).select(*row(4, "incoming", "src", rel, "chapter", zero))]
+    return reduce(DataFrame.unionByName, found)
 
 
 def last_write(df: DataFrame, keys: list[str], order: list[str], overwrite: list[str], keep: list[str] = (), first: list[str] = ()) -> DataFrame:

@@ -2,23 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def dense_scores(queries: DataFrame, points: DataFrame) -> DataFrame:
-    """``(q, id, score)`` of every point for a stated, small set of queries ``(q, embedding)``.
-
-    The queries are given by the caller and broadcast; the points stay where they are."""
-    return points.join(F.broadcast(queries.select("q", F.col("embedding").alias("_q")))).select("q", "id", cosine(F.col("embedding"), F.col("_q")).alias("score"))
+from ..storage import broadcast_checked, written
+
+
+def _blocks(df: DataFrame, id_col: str, vector_col: str, rows: int) -> DataFrame:
+    """Vectors of unit length packed into rows ``(ids, data)`` of at most ``rows`` vectors."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, rows):
+                part = batch.slice(k, rows)
+                v = np.array(part.column(1).to_pylist(), dtype=np.float64)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    v = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(part.schema.field(0).type)), pa.array([v.tobytes()], pa.binary())], names=["ids", "data"])
+
+    found = df.filter(F.col(vector_col).isNotNull()).select(id_col, vector_col)
+    return found.mapInArrow(pack, f"ids array<{kind}>, data binary")
+
+
+def dense_topk(queries: DataFrame, points: DataFrame, k: int, digits: int = 6, block: int = 1024) -> DataFrame:
+    """``(q, id, score, rank)``: the ``k`` points of the largest cosine for each query ``(q, embedding)``, exactly.
+
+    Queries and points ``(id, embedding)`` meet in blocks, each block of points gives its best ``k``
+    for each query of a block, and these are ranked. Ties go by id. The queries are broadcast only if
+    a count shows few blocks; vectors that are null are passed over, zero vectors have no cosine."""
+    kinds = (queries.schema["q"].dataType.simpleString(), points.schema["id"].dataType.simpleString())
+    asked = broadcast_checked(written(_blocks(queries, "q", "embedding", block).toDF("q_ids", "q_data"), "queries"), 64)
+    pairs = _blocks(points, "id", "embedding", block).crossJoin(asked)  # of blocks, not of rows
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, data, q_ids, q_data = (batch.column(c)[row].as_py() for c in range(4))
+                p, q = np.frombuffer(data).reshape(len(ids), -1), np.frombuffer(q_data).reshape(len(q_ids), -1)
+                scores, ids = np.round(q @ p.T, digits), np.array(ids)
+                for who, s in zip(q_ids, scores):
+                    at = np.flatnonzero(s >= (np.partition(s, -k)[-k] if k < len(s) else -np.inf))
+                    at = at[np.lexsort((ids[at], -s[at]))][:k]
+                    yield pa.RecordBatch.from_arrays([pa.array([who] * len(at), batch.schema.field(2).type.value_type), pa.array(ids[at], batch.schema.field(0).type.value_type), pa.array(s[at])], names=["q", "id", "score"])
+
+    found = pairs.select("ids", "data", "q_ids", "q_data").mapInArrow(best, f"q {kinds[0]}, id {kinds[1]}, score double")
+    return top_k(found, k)
 
 
 def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("q",)) -> DataFrame:

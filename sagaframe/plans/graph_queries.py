@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..sources import files
+from ..storage import shared_dir
 from . import model as M
 from .registry import query
 
 
-def _entities(spark, names):
-    return spark.createDataFrame([(n,) for n in names], "entity string")
+def _starts(spark, d):
+    """The entities that traversals start from: every customer whose key is divisible by 100."""
+    return M.table(spark, d, "customer").filter("c_custkey % 100 = 0").select(F.concat(F.lit("C:"), F.col("c_custkey").cast("string")).alias("start"))
 
 
-def _starts(spark, names):
-    return _entities(spark, names).withColumnRenamed("entity", "start")
+_STARTS = "SELECT 'C:' || c_custkey AS start FROM customer WHERE c_custkey % 100 = 0"
 
 
-@query("entity_lookup", "SELECT label, name, description FROM node WHERE name IN ('C:1', 'S:1', 'B:Brand#11', 'N:3')", "node")
+@query("entity_lookup", "SELECT label, name, description FROM node WHERE name IN (SELECT 'N:' || n_nationkey FROM nation UNION ALL SELECT 'C:' || c_custkey FROM customer WHERE c_custkey % 100 = 0)", "node")
 def entity_lookup(spark, d):
-    return M.nodes(spark, d).filter(F.col("name").isin("C:1", "S:1", "B:Brand#11", "N:3")).select("label", "name", "description")
+    wanted = _starts(spark, d).select(F.col("start").alias("name")).unionByName(M.table(spark, d, "nation").select(F.concat(F.lit("N:"), F.col("n_nationkey").cast("string")).alias("name")))
+    return M.nodes(spark, d).join(wanted, "name", "left_semi").select("label", "name", "description")
 
 
 @query("entity_info", "SELECT name, min(label) AS label, arg_min(description, label) AS description FROM node GROUP BY name", "node")
@@ -34,9 +39,9 @@ def all_relations(spark, d):
     return some.join(M.nodes(spark, d).select(F.col("name").alias("tgt"), F.col("label").alias("target_label")), "tgt").select("src", "rel_type", "tgt", "direction", "target_label")
 
 
-@query("relations_of", "SELECT u.src, u.rel_type, u.tgt, n.label AS target_label, u.direction, u.chapter FROM undirected u JOIN node n ON u.tgt = n.name WHERE u.src = 'C:1' ORDER BY u.rel_type, u.tgt, u.direction, u.chapter NULLS LAST LIMIT 20", "undirected", "node")
+@query("relations_of", f"SELECT * EXCLUDE (r) FROM (SELECT u.src, u.rel_type, u.tgt, n.label AS target_label, u.direction, u.chapter, row_number() OVER (PARTITION BY u.src ORDER BY u.rel_type, u.tgt, u.direction, u.chapter NULLS LAST) AS r FROM undirected u JOIN node n ON u.tgt = n.name WHERE u.src IN ({_STARTS})) WHERE r <= 20", "undirected", "node")
 def relations_of(spark, d):
-    return G.relations_of(M.edges(spark, d), M.nodes(spark, d), "C:1")
+    return G.relations_of(M.edges(spark, d), M.nodes(spark, d), _starts(spark, d)).drop("rank")
 
 
 @query("render_relations", "SELECT src, count(*) AS n, string_agg(DISTINCT CASE rel_type WHEN 'MEMBER_OF' THEN '成员' WHEN 'LOCATED_AT' THEN '所在地' WHEN 'MOTIVATED_BY' THEN '信仰/动机' WHEN 'INVOLVED_IN' THEN '参与' ELSE rel_type END, '、' ORDER BY CASE rel_type WHEN 'MEMBER_OF' THEN '成员' WHEN 'LOCATED_AT' THEN '所在地' WHEN 'MOTIVATED_BY' THEN '信仰/动机' WHEN 'INVOLVED_IN' THEN '参与' ELSE rel_type END) AS labels FROM edge WHERE starts_with(src, 'C:') GROUP BY src", "edge")
@@ -96,15 +101,28 @@ def _paths_sql(pairs: str, edges: str, hops: int) -> str:
 _CHAIN = "array_to_string(list_transform(path, lambda x, i: CASE WHEN i % 2 = 0 THEN '-[' || x || ']->' ELSE x END), ' ')"
 
 
-@query("shortest_path", _paths_sql("SELECT 'C:' || c_custkey AS start, 'S:' || c_custkey AS \"end\" FROM customer WHERE c_custkey <= 5", "edge", 3) + f" SELECT p.start, p.\"end\", {_CHAIN} AS chain, hops FROM p JOIN reached r ON p.start = r.start AND p.\"end\" = r.node", "edge")
+@query("shortest_path", _paths_sql("SELECT 'C:' || c_custkey AS start, 'S:' || (c_custkey // 100 % 10 + 1) AS \"end\" FROM customer WHERE c_custkey % 100 = 0", "edge", 3) + f" SELECT p.start, p.\"end\", {_CHAIN} AS chain, hops FROM p JOIN reached r ON p.start = r.start AND p.\"end\" = r.node", "edge")
 def shortest_path(spark, d):
-    key = F.col("c_custkey").cast("string")
-    pairs = M.table(spark, d, "customer").filter("c_custkey <= 5").select(F.concat(F.lit("C:"), key).alias("start"), F.concat(F.lit("S:"), key).alias("end"))
-    return G.shortest_paths(M.edges(spark, d), pairs, 3).select("start", "end", G.chain_text(F.col("path")).alias("chain"), "hops")
+    return G.shortest_paths(M.edges(spark, d), _pairs(spark, d), 3).select("start", "end", G.chain_text(F.col("path")).alias("chain"), "hops")
+
+
+def _pairs(spark, d):
+    shop = F.floor(F.col("c_custkey") / 100) % 10 + 1
+    return M.table(spark, d, "customer").filter("c_custkey % 100 = 0").select(F.concat(F.lit("C:"), F.col("c_custkey").cast("string")).alias("start"), F.concat(F.lit("S:"), shop.cast("string")).alias("end"))
+
+
+_NO_PLACES = "(SELECT * FROM edge WHERE src NOT IN (SELECT name FROM node WHERE label = 'Place') AND tgt NOT IN (SELECT name FROM node WHERE label = 'Place'))"
+
+
+@query("shortest_path_without_places", _paths_sql("SELECT 'C:' || c_custkey AS start, 'S:' || (c_custkey // 100 % 10 + 1) AS \"end\" FROM customer WHERE c_custkey % 100 = 0", _NO_PLACES, 3) + f" SELECT p.start, p.\"end\", {_CHAIN} AS chain, hops FROM p JOIN reached r ON p.start = r.start AND p.\"end\" = r.node", "edge", "node")
+def shortest_path_without_places(spark, d):
+    """No node of a path may be a place."""
+    places = M.nodes(spark, d).filter("label = 'Place'")
+    return G.shortest_paths(M.edges(spark, d), _pairs(spark, d), 3, places).select("start", "end", G.chain_text(F.col("path")).alias("chain"), "hops")
 
 
 _CAUSAL = "(SELECT * FROM edge WHERE rel_type IN ('LEADS_TO', 'MOTIVATED_BY'))"
-_BRAND_PAIRS = "SELECT a.src AS start, max(b.src) AS \"end\" FROM edge a JOIN edge b ON a.tgt = b.tgt WHERE a.rel_type = 'MOTIVATED_BY' AND b.rel_type = 'MOTIVATED_BY' AND a.src IN ('C:1', 'C:2', 'C:3', 'C:4') GROUP BY a.src"
+_BRAND_PAIRS = "SELECT a.src AS start, max(b.src) AS \"end\" FROM edge a JOIN edge b ON a.tgt = b.tgt WHERE a.rel_type = 'MOTIVATED_BY' AND b.rel_type = 'MOTIVATED_BY' AND a.src IN (STARTS) GROUP BY a.src".replace("STARTS", _STARTS)
 
 
 def _causal(spark, d):
@@ -115,17 +133,14 @@ def _causal(spark, d):
 def causal_path(spark, d):
     """From characters to the last one with the same motive."""
     m = M.edges(spark, d).filter("rel_type = 'MOTIVATED_BY'").select("src", "tgt")
-    some = m.filter(F.col("src").isin("C:1", "C:2", "C:3", "C:4")).select(F.col("src").alias("start"), "tgt")
+    some = m.join(_starts(spark, d), F.col("src") == F.col("start")).select("start", "tgt")
     pairs = some.join(m, "tgt").groupBy("start").agg(F.max("src").alias("end"))
     return G.shortest_paths(_causal(spark, d), pairs, 4).select("start", "end", G.chain_text(F.col("path")).alias("chain"), "hops")
 
 
-_FEW = "SELECT unnest(['C:1', 'C:2', 'C:3']) AS start"
-
-
-@query("causal_neighbors", _paths_sql(_FEW, _CAUSAL, 3) + f" SELECT start, node AS \"end\", {_CHAIN} AS chain, hops FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hops, node) AS k FROM reached WHERE hops > 0) WHERE k <= 15", "edge")
+@query("causal_neighbors", _paths_sql(_STARTS, _CAUSAL, 3) + f" SELECT start, node AS \"end\", {_CHAIN} AS chain, hops FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hops, node) AS k FROM reached WHERE hops > 0) WHERE k <= 15", "edge")
 def causal_neighbors(spark, d):
-    return G.neighbours(_causal(spark, d), _starts(spark, ["C:1", "C:2", "C:3"])).select("start", "end", G.chain_text(F.col("path")).alias("chain"), "hops")
+    return G.neighbours(_causal(spark, d), _starts(spark, d)).select("start", "end", G.chain_text(F.col("path")).alias("chain"), "hops")
 
 
 @query("render_path", _paths_sql("SELECT src AS start, tgt AS \"end\" FROM edge WHERE rel_type = 'MOTIVATED_BY'", "(SELECT * FROM edge WHERE rel_type = 'MOTIVATED_BY')", 1) + f" SELECT p.start, {_CHAIN} AS chain FROM p JOIN reached r ON p.start = r.start AND p.\"end\" = r.node", "edge")
@@ -135,12 +150,12 @@ def render_path(spark, d):
 
 
 _SUB = "(SELECT * FROM edge WHERE rel_type IN ('INVOLVED_IN', 'TEMPORAL_BEFORE', 'LEADS_TO'))"
-_DIST = _paths_sql(_FEW, _SUB, 2) + ", near AS (SELECT start, node, hops FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hops, node) AS k FROM reached) WHERE k <= 20)"
+_DIST = _paths_sql(_STARTS, _SUB, 2) + ", near AS (SELECT start, node, hops FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hops, node) AS k FROM reached) WHERE k <= 20)"
 
 
 def _subgraph(spark, d):
     some = M.edges(spark, d).filter(F.col("rel_type").isin("INVOLVED_IN", "TEMPORAL_BEFORE", "LEADS_TO"))
-    return G.subgraph(some, _starts(spark, ["C:1", "C:2", "C:3"]), 2, 20)
+    return G.subgraph(some, _starts(spark, d), 2, 20)
 
 
 @query("subgraph_nodes", _DIST + " SELECT start, node, hops::INT AS dist FROM near", "edge")
@@ -159,7 +174,7 @@ def subgraph_by_type(spark, d):
     return _subgraph(spark, d)[0].join(labels, "node").groupBy("start", "label").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("node")), ",").alias("names"))
 
 
-_TIME = """WITH ent AS (SELECT src AS entity FROM edge WHERE rel_type = 'MEMBER_OF' UNION SELECT 'O:' || o_orderkey FROM orders WHERE o_orderkey <= 500 UNION SELECT 'S:' || s_suppkey FROM supplier),
+_TIME = """WITH ent AS (SELECT src AS entity FROM edge WHERE rel_type = 'MEMBER_OF' UNION SELECT 'O:' || o_orderkey FROM orders UNION SELECT 'S:' || s_suppkey FROM supplier),
     tb AS (SELECT src, tgt FROM edge WHERE rel_type = 'TEMPORAL_BEFORE'),
     walk AS (SELECT entity, entity AS item, 0 AS step FROM ent JOIN node ON entity = name WHERE label = 'Event' UNION ALL SELECT entity, tgt, step + 1 FROM walk JOIN tb ON item = src WHERE step < 5),
     l AS (SELECT entity, 1 AS layer, 'events' AS source, tgt AS item, rel_type, n.chapter, 0 AS step FROM ent JOIN edge ON entity = src JOIN node n ON tgt = n.name AND n.label = 'Event' WHERE rel_type = 'INVOLVED_IN'
@@ -171,7 +186,7 @@ _TIME = """WITH ent AS (SELECT src AS entity FROM edge WHERE rel_type = 'MEMBER_
 
 def _timeline(spark, d):
     e = M.edges(spark, d).filter("rel_type = 'MEMBER_OF'").select(F.col("src").alias("entity"))
-    o = M.table(spark, d, "orders").filter("o_orderkey <= 500").select(F.concat(F.lit("O:"), F.col("o_orderkey").cast("string")).alias("entity"))
+    o = M.table(spark, d, "orders").select(F.concat(F.lit("O:"), F.col("o_orderkey").cast("string")).alias("entity"))
     s = M.table(spark, d, "supplier").select(F.concat(F.lit("S:"), F.col("s_suppkey").cast("string")).alias("entity"))
     return G.timeline(M.edges(spark, d), M.nodes(spark, d), e.unionByName(o).unionByName(s).distinct())
 
@@ -369,17 +384,18 @@ def type_histogram(spark, d):
 
 @query("snapshot_manifest", "SELECT (SELECT count(*) FROM node) AS nodes, (SELECT count(*) FROM edge) AS relationships, (SELECT count(*) FROM embeddings) AS points", "node", "edge")
 def snapshot_manifest(spark, d):
-    kinds = [(M.nodes(spark, d), "nodes"), (M.edges(spark, d), "relationships"), (M.table(spark, d, "embeddings"), "points")]
-    rows = None
-    for df, kind in kinds:
-        one = df.select(F.lit(kind).alias("k"))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows.agg(*[F.count_if(F.col("k") == kind).alias(kind) for _, kind in kinds])
+    """The manifest of a snapshot that is written here."""
+    path = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+    files.export_snapshot(M.nodes(spark, d), M.edges(spark, d), M.table(spark, d, "embeddings"), path)
+    manifest = files.import_snapshot(spark, path, {})["manifest"]
+    return manifest.agg(*[F.max(F.when(F.col("part") == part, F.col("n"))).alias(part) for part in ("nodes", "relationships", "points")])
 
 
 @query("snapshot_import", f"SELECT rel_type, count(*) AS kept FROM edge WHERE src IN {_KNOWN} AND tgt IN {_KNOWN} GROUP BY rel_type", "edge", "node")
 def snapshot_import(spark, d):
-    """Edges through JSON and back, bound to the nodes that exist."""
-    kind = "struct<src: string, rel_type: string, tgt: string, chapter: int>"
-    back = M.edges(spark, d).select(F.to_json(F.struct("*")).alias("j")).select(F.from_json("j", kind).alias("e")).select("e.*")
-    return G.bind(back, _known(spark, d)).groupBy("rel_type").agg(F.count(F.lit(1)).alias("kept"))
+    """Edges written to a snapshot and read back, bound to the nodes that exist."""
+    path = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+    nodes, edges = _known(spark, d), M.edges(spark, d)
+    files.export_snapshot(nodes, edges, M.table(spark, d, "embeddings"), path)
+    back = files.import_snapshot(spark, path, {"nodes": nodes.schema, "relationships": edges.schema})
+    return G.bind(back["relationships"], back["nodes"]).groupBy("rel_type").agg(F.count(F.lit(1)).alias("kept"))

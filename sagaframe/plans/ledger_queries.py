@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aliases as A
 from ..operators import evaluation, ledger
+from ..sources.files import read_or_empty, replace_table
+from ..storage import broadcast_checked, shared_dir
 from . import model as M
 from .registry import query
 
@@ -28,10 +32,13 @@ def incremental_plan(spark, d):
 
 @query("tracking_roundtrip", f"SELECT file_path, content_hash FROM tracking WHERE file_path NOT IN (SELECT file_path FROM {_CHANGED}) UNION ALL SELECT file_path, content_hash FROM {_CHANGED}", "file", "tracking")
 def tracking_roundtrip(spark, d):
-    """The ledger after a run over the changed files."""
-    old = M.tracking(spark, d)
+    """The ledger, written, brought up to date by a run over the changed files, and read back."""
+    path, kind = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}", "file_path string, content_hash string"
+    replace_table(M.tracking(spark, d).select("file_path", "content_hash"), path)
+    old = read_or_empty(spark, path, kind)
     done = ledger.changed(M.files(spark, d), old).select("file_path", "content_hash")
-    return ledger.track(old.select("file_path", "content_hash"), done)
+    replace_table(ledger.track(old, done), path)
+    return read_or_empty(spark, path, kind)
 
 
 @query("tracking_status", "SELECT count(*) AS files, sum(entities)::BIGINT AS entities, sum(relations)::BIGINT AS relations, count(DISTINCT task_id) AS tasks FROM tracking", "tracking")
@@ -87,11 +94,13 @@ def testsets(spark, d):
     return rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), ids.alias("ids"))
 
 
-@query("load_questions", "SELECT pos, b.item_id, text FROM (SELECT item_id, (row_number() OVER (ORDER BY item_id) - 1)::INT AS pos FROM (SELECT unnest(range(0, 400, 3)) AS item_id)) s JOIN benchmark b ON s.item_id = b.item_id")
+@query("load_questions", "SELECT pos, b.item_id, text FROM (SELECT item_id, (row_number() OVER (ORDER BY item_id DESC) - 1)::INT AS pos FROM benchmark WHERE item_id % 3 = 0) s JOIN benchmark b ON s.item_id = b.item_id")
 def load_questions(spark, d):
     """The questions of a list of ids, in its order; unknown ids are passed over."""
-    listed = spark.range(1).select(F.posexplode(F.sequence(F.lit(0), F.lit(399), F.lit(3))).alias("pos", "id"))
-    return M.table(spark, d, "benchmark").join(F.broadcast(listed), F.col("item_id") == F.col("id")).select("pos", "item_id", "text")
+    items = M.table(spark, d, "benchmark")
+    ids = F.sort_array(F.collect_list("item_id"), asc=False)  # a test set is a list of a file
+    listed = items.filter("item_id % 3 = 0").agg(F.concat(ids, F.array(F.lit(-1).cast("bigint"))).alias("ids")).select(F.posexplode("ids").alias("pos", "item_id"))
+    return items.join(broadcast_checked(listed), "item_id").select("pos", "item_id", "text")
 
 
 _GRADE = "(SELECT doc_id, quality::DOUBLE AS f, toxic::DOUBLE AS c, CASE WHEN doc_id % 10 = 0 THEN 1.0 ELSE round((quality + toxic) / 2.0, 4) END AS total FROM labels)"

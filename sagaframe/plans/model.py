@@ -141,6 +141,14 @@ def cache(spark: SparkSession, d: str) -> DataFrame:
     return known.unionByName(lost).select("content_hash", (seq % 5 != 0).alias("raw"), F.concat(F.lit("payload "), seq.cast("string")).alias("payload"))
 
 
+def sql_tokens(text: str) -> str:
+    """DuckDB's list of the terms of a text, as ``functions.text.tokens`` gives them."""
+    low = f"lower({text})"
+    plain = f"regexp_extract_all(regexp_replace({low}, '\\p{{Han}}', ' ', 'g'), '[\\p{{L}}\\p{{N}}]{{2,}}')"
+    pairs = f"flatten(list_transform(regexp_extract_all({low}, '\\p{{Han}}{{2,}}'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2))))"
+    return f"list_concat({plain}, {pairs})"
+
+
 CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "node": ((), """
         SELECT 'Place' AS label, 'R:' || r_regionkey AS name, r_name AS description, NULL::INT AS chapter FROM region
@@ -202,7 +210,7 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT content_hash, seq % 5 <> 0 AS raw, 'payload ' || seq AS payload FROM (
           SELECT content_hash, min(seq) AS seq FROM file WHERE seq % 3 <> 0 GROUP BY content_hash
           UNION ALL SELECT md5(content_hash || 'gone'), seq FROM file WHERE seq % 20 = 0)"""),
-    "token": ((), r"SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]{2,}')) AS term FROM documents"),
+    "token": ((), f"SELECT doc_id, unnest({sql_tokens('text')}) AS term FROM documents"),
     "tf": (("token",), "SELECT doc_id, term, count(*) AS tf FROM token GROUP BY doc_id, term"),
     "len": (("token",), "SELECT doc_id, count(*) AS dl FROM token GROUP BY doc_id"),
     "stats": (("len",), "SELECT (SELECT count(*) FROM documents) AS n_docs, (SELECT sum(dl) FROM len)::DOUBLE / (SELECT count(*) FROM documents) AS avg_dl"),

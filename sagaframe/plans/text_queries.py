@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import aliases as A
 from ..operators import bm25, documents, vectors
+from ..storage import shared_dir
 from . import model as M
 from .registry import query
 
@@ -265,10 +268,10 @@ def normalize_fuzzy(spark, d):
     return A.resolve_fuzzy(name_uses(spark, d), M.aliases(spark)).select("name", "canonical")
 
 
-@query("resolve_fulltext", """WITH use AS (SELECT DISTINCT name, unnest(regexp_extract_all(lower(name), '[\\p{L}\\p{N}]{2,}')) AS term FROM (SELECT n_name || ' of ' || r_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey)),
-    word AS (SELECT name AS node, unnest(regexp_extract_all(lower(description), '[\\p{L}\\p{N}]{2,}')) AS term FROM node WHERE label IN ('Place', 'Item')),
+@query("resolve_fulltext", """WITH use AS (SELECT DISTINCT name, unnest(TOKENS_OF_NAME) AS term FROM (SELECT n_name || ' of ' || r_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey)),
+    word AS (SELECT name AS node, unnest(TOKENS_OF_DESCRIPTION) AS term FROM node WHERE label IN ('Place', 'Item')),
     hit AS (SELECT u.name, node, count(DISTINCT u.term) AS score FROM use u JOIN word ON u.term = word.term GROUP BY u.name, node)
-    SELECT name, arg_min(node, (-score, node)) AS node, max(score) AS score FROM hit GROUP BY name""", "node")
+    SELECT name, arg_min(node, (-score, node)) AS node, max(score) AS score FROM hit GROUP BY name""".replace("TOKENS_OF_NAME", M.sql_tokens("name")).replace("TOKENS_OF_DESCRIPTION", M.sql_tokens("description")), "node")
 def resolve_fulltext(spark, d):
     """Each name goes to the graph node whose description shares most of its terms."""
     nodes = M.nodes(spark, d).filter("label IN ('Place', 'Item')").select(F.col("name").alias("node"), F.explode(T.tokens(F.col("description"))).alias("term"))
@@ -319,7 +322,11 @@ def alias_merge(spark, d):
 
 @query("alias_split", f"SELECT scope, entity_type, count(*) AS n, count(DISTINCT key) AS keys FROM {_ENTRIES} GROUP BY scope, entity_type")
 def alias_split(spark, d):
-    return _entries(spark, d).groupBy("scope", "entity_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("keys"))
+    """The dictionary, split by scope and type, read back from its folders."""
+    path = f"{shared_dir(spark)}/aliases-{uuid.uuid4().hex}"
+    A.write_split(_entries(spark, d), path)
+    back = A.read_split(spark, path, "key string, canonical string, alias string, scope string, entity_type string")
+    return back.groupBy("scope", "entity_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("keys"))
 
 
 @query("alias_add", "SELECT 'k' || p_partkey AS key, p_name AS canonical FROM part WHERE p_partkey >= 97")
@@ -380,6 +387,10 @@ def tokenize(spark, d):
     return docs(spark, d).select("doc_id", F.size(t).cast(LONG).alias("n"), F.size(F.array_distinct(t)).cast(LONG).alias("distinct_terms")).filter("n > 0")
 
 
+def index(spark, d):
+    return bm25.index(docs(spark, d), "doc_id", "text")
+
+
 @query("bm25_tf", "SELECT doc_id, term, tf FROM tf", "tf")
 def bm25_tf(spark, d):
     return bm25.terms(docs(spark, d), "doc_id", "text").select(F.col("id").alias("doc_id"), "term", "tf")
@@ -387,47 +398,43 @@ def bm25_tf(spark, d):
 
 @query("bm25_fit", "SELECT term, df, round(idf, 6) AS idf FROM df", "df")
 def bm25_fit(spark, d):
-    return bm25.fit(docs(spark, d), "doc_id", "text")[0].select("term", "df", F.round("idf", 6).alias("idf"))
+    return bm25.fit(index(spark, d))[0].select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-@query("bm25_vocab", "SELECT term, row_number() OVER (ORDER BY df DESC, term) - 1 AS idx FROM df ORDER BY df DESC, term LIMIT 1000", "df")
+@query("bm25_vocab", "SELECT term, row_number() OVER (ORDER BY df DESC, term) - 1 AS idx FROM df", "df")
 def bm25_vocab(spark, d):
-    """The 1000 most frequent terms with their numbers: a report, not a table of all terms."""
-    top = bm25.fit(docs(spark, d), "doc_id", "text")[0].orderBy(F.desc("df"), "term").limit(1000)
-    return top.select("term", (F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1).cast(LONG).alias("idx"))
+    return bm25.vocabulary(bm25.fit(index(spark, d))[0]).select("term", "idx")
 
 
 @query("bm25_weights", "SELECT doc_id, term, round(w, 6) AS w FROM weight", "weight")
 def bm25_weights(spark, d):
-    return bm25.weights(docs(spark, d), bm25.fit(docs(spark, d), "doc_id", "text"), "doc_id", "text").select(F.col("id").alias("doc_id"), "term", F.round("w", 6).alias("w"))
+    ix = index(spark, d)
+    return bm25.weights(ix.postings, bm25.fit(ix)).select(F.col("id").alias("doc_id"), "term", F.round("w", 6).alias("w"))
 
 
-@query("bm25_roundtrip", "SELECT count(*) AS terms, sum(df)::BIGINT AS postings, round(sum(idf), 3) AS idf_sum FROM df", "df")
+@query("bm25_roundtrip", "SELECT term, df, round(idf, 6) AS idf, n_docs, round(avg_dl, 6) AS avg_dl FROM df CROSS JOIN stats", "df", "stats")
 def bm25_roundtrip(spark, d):
-    return bm25.fit(docs(spark, d), "doc_id", "text")[0].agg(F.count(F.lit(1)).alias("terms"), F.sum("df").alias("postings"), F.round(F.sum("idf"), 3).alias("idf_sum"))
+    """The fitted model, saved and loaded again."""
+    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    bm25.save(bm25.fit(index(spark, d)), path)
+    known, size = bm25.load(spark, path)
+    return known.join(F.broadcast(size)).select("term", "df", F.round("idf", 6).alias("idf"), "n_docs", F.round("avg_dl", 6).alias("avg_dl"))
 
 
-@query("sparse_pack", "SELECT doc_id, count(*) AS n, sum(tf)::BIGINT AS total FROM tf GROUP BY doc_id", "tf")
+@query("sparse_pack", "SELECT doc_id, string_agg(idx, ' ' ORDER BY idx) AS indices, string_agg(tf, ' ' ORDER BY idx) AS tfs FROM tf JOIN (SELECT term, row_number() OVER (ORDER BY df DESC, term) - 1 AS idx FROM df) v ON tf.term = v.term GROUP BY doc_id", "df")
 def sparse_pack(spark, d):
-    packed = bm25.terms(docs(spark, d), "doc_id", "text").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("m"))
-    values = F.map_values("m")
-    return packed.select(F.col("id").alias("doc_id"), F.size(F.map_keys("m")).cast(LONG).alias("n"), F.aggregate(values, F.lit(0).cast(LONG), lambda a, x: a + x).alias("total"))
-
-
-def question_weights(spark, d, limit: int | None = None):
-    """Benchmark items as queries, weighted with the documents' model."""
-    items = M.table(spark, d, "benchmark").select("item_id", "text")
-    items = items.filter(F.col("item_id") < limit) if limit else items
-    return bm25.weights(items, bm25.fit(docs(spark, d), "doc_id", "text"), "item_id", "text").select(F.col("id").alias("q"), "term", "w")
+    ix = index(spark, d)
+    packed = bm25.pack(ix.postings, bm25.vocabulary(bm25.fit(ix)[0]))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+    return packed.select(F.col("id").alias("doc_id"), text("indices").alias("indices"), text("values").alias("tfs"))
 
 
-_QUESTION = """(SELECT q, t.term, idf * (n * 2.2) / (n + 1.2 * (1 - 0.75 + 0.75 * l / avg_dl)) AS w FROM (SELECT item_id AS q, term, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{2,}')) AS term FROM benchmark) GROUP BY 1, 2) t
-    JOIN (SELECT item_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{2,}')) AS l FROM benchmark) s ON t.q = s.item_id JOIN df ON t.term = df.term CROSS JOIN stats)"""
+_QUESTION = """(SELECT q, t.term, idf * (n * 2.2) / (n + 1.2 * (1 - 0.75 + 0.75 * l / avg_dl)) AS w FROM (SELECT item_id AS q, term, count(*) AS n FROM (SELECT item_id, unnest(TOKENS) AS term FROM benchmark) GROUP BY 1, 2) t
+    JOIN (SELECT item_id, len(TOKENS) AS l FROM benchmark) s ON t.q = s.item_id JOIN df ON t.term = df.term CROSS JOIN stats)""".replace("TOKENS", M.sql_tokens("text"))
 _BM25 = f"(SELECT q, doc_id AS id, sum(weight.w * x.w) AS score FROM weight JOIN {_QUESTION} x ON weight.term = x.term GROUP BY q, doc_id)"
 
 
 @query("sparse_topk", f"SELECT q, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, id) AS r FROM {_BM25}) WHERE r <= 5", "weight")
 def sparse_topk(spark, d):
-    postings = bm25.weights(docs(spark, d), bm25.fit(docs(spark, d), "doc_id", "text"), "doc_id", "text")
-    scored = bm25.score(question_weights(spark, d), postings).withColumn("score", F.round("score", 6))
-    return vectors.top_k(scored, 5).select("q", "id", "score")
+    scored = bm25.search(index(spark, d), M.table(spark, d, "benchmark"), "item_id", "text")[0]
+    return vectors.top_k(scored.withColumn("score", F.round("score", 6)), 5).select("q", "id", "score")

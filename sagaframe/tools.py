@@ -36,7 +36,7 @@ class Memory:
         """The entity's own row and its relations; no rows for an unknown entity."""
         name = self._canonical(entity)
         own = self.nodes.filter(F.col("name") == name).orderBy("label").limit(1)
-        rel = G.relations_of(self.edges, self.nodes, name, relation, limit)
+        rel = G.relations_of(self.edges, self.nodes, self._start(entity), relation, limit).drop("rank")
         none = lambda *c: [F.lit(None).cast("string").alias(x) for x in c]
         head = own.select(F.col("name").alias("src"), *none("rel_type", "tgt"), F.col("label").alias("target_label"), *none("direction"), "chapter", "description")
         return head.unionByName(rel.withColumn("description", F.lit(None).cast("string")))
@@ -86,16 +86,13 @@ class Memory:
                     break
         spark = pool.sparkSession
         asked = spark.createDataFrame([(0, query)], "id int, text string")
-        model = bm25.fit(self.chunks, "id", "text")
-        q = bm25.weights(asked, model, "id", "text").withColumnRenamed("id", "q")
-        lex = bm25.lexical(asked, "id", "text").withColumnRenamed("id", "q")
-        found = [("bm25", bm25.score(q, bm25.weights(pool, model, "id", "text"))), ("lexical", bm25.score(lex, bm25.lexical(pool, "id", "text")))]
+        sparse, lexical = bm25.search(bm25.index(self.chunks, "id", "text"), asked, "id", "text", pool)
+        found = [("bm25", sparse), ("lexical", lexical)]
         if self.points is not None and self.embed is not None:
             probe = spark.createDataFrame([(0, self.embed(query))], "q int, embedding array<float>")
-            found.insert(0, ("dense", vectors.dense_scores(probe, self.points.join(pool.select("id"), "id", "left_semi"))))
+            found.insert(0, ("dense", vectors.dense_topk(probe, self.points.join(pool.select("id"), "id", "left_semi"), candidates).select("q", "id", "score")))
         best = vectors.best_per_id(vectors.fuse(found, [candidates] * len(found)))
-        terms = F.array(*[F.lit(t) for t in {*query.lower().split()}]) if query.split() else F.array().cast("array<string>")
-        texts = best.select("q", "id").join(pool, "id").withColumn("score", vectors.overlap_score(terms, T.tokens(F.col("text"))))
+        texts = best.select("q", "id").join(pool, "id").withColumn("score", vectors.overlap_score(T.tokens(F.lit(query)), T.tokens(F.col("text"))))
         top = vectors.top_k(texts, limit)
         return top.orderBy("event_order", "id") if sort_by == "time" else top.orderBy("rank")
 
