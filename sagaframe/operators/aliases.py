@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import broadcast_checked
+
 TYPES = ["Character", "Faction", "Place", "Item", "Concept", "Event"]
 FUZZY_CUTOFF = 0.7
 
@@ -51,42 +53,45 @@ def lint(entries: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def resolve(names: DataFrame, entries: DataFrame, name_col: str = "name", fold_case: bool = False) -> DataFrame:
+def resolve(names: DataFrame, entries: DataFrame, name_col: str = "name", fold_case: bool = False, told: bool = False) -> DataFrame:
     """Add ``canonical``: of the alias that equals the name, else, with ``fold_case``, of one that
-    equals it in small letters, else the name itself."""
+    equals it in small letters, else the name itself. ``told`` adds whether an alias was found."""
     exact = entries.groupBy("alias").agg(F.min("canonical").alias("_exact"))
-    out = names.join(F.broadcast(exact), F.col(name_col) == F.col("alias"), "left").drop("alias")
+    out = names.join(broadcast_checked(exact), F.col(name_col) == F.col("alias"), "left").drop("alias")
     found = [F.col("_exact")]
     if fold_case:
         loose = entries.groupBy(F.lower("alias").alias("_low")).agg(F.min("canonical").alias("_loose"))
-        out = out.join(F.broadcast(loose), F.lower(name_col) == F.col("_low"), "left")
+        out = out.join(broadcast_checked(loose), F.lower(name_col) == F.col("_low"), "left")
         found.append(F.col("_loose"))
-    return out.withColumn("canonical", F.coalesce(*found, F.col(name_col))).drop("_exact", "_low", "_loose")
+    hit = F.coalesce(*found) if len(found) > 1 else found[0]
+    out = out.withColumn("canonical", F.coalesce(hit, F.col(name_col)))
+    return (out.withColumn("told", hit.isNotNull()) if told else out).drop("_exact", "_low", "_loose")
+
+
+def _likeness(name: pd.Series, other: pd.Series) -> pd.Series:
+    return pd.Series([difflib.SequenceMatcher(None, b, a).ratio() for a, b in zip(name, other)])
 
 
 def resolve_fuzzy(names: DataFrame, entries: DataFrame, name_col: str = "name", type_col: str | None = None, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
     """As ``resolve`` with ``fold_case``; a name without an alias goes to the closest canonical name,
-    among those of its type if there are any. The dictionary is configuration of bounded size."""
-    known = resolve(names, entries, name_col, True)
-    pairs = [(r[0], r[1]) for r in entries.select("canonical", "entity_type").distinct().orderBy("canonical", "entity_type").collect()]
-    every = list(dict.fromkeys(c for c, _ in pairs))
-
-    @F.pandas_udf("string")
-    def closest(name: pd.Series, kind: pd.Series) -> pd.Series:
-        seen: dict = {}
-
-        def one(n, t):
-            if (n, t) not in seen:
-                same = [c for c, k in pairs if k == t]
-                hit = difflib.get_close_matches(n, same or every, n=1, cutoff=cutoff) if n else []
-                seen[n, t] = hit[0] if hit else n
-            return seen[n, t]
-
-        return pd.Series([one(n, t) for n, t in zip(name, kind)], dtype=object)
-
-    kind = F.col(type_col) if type_col else F.lit(None).cast("string")
-    taken = F.lower(name_col).isin([a[0] for a in entries.select(F.lower("alias")).distinct().collect()])
-    return known.withColumn("canonical", F.when(taken, F.col("canonical")).otherwise(closest(F.col(name_col), kind)))
+    among those of its type if there are any.
+
+    Each distinct name is compared once, and only with names whose length and letters allow the
+    cutoff: two strings cannot be more alike than the letters they share."""
+    known = resolve(names, entries, name_col, True, told=True).withColumn("_kind", F.col(type_col) if type_col else F.lit(None).cast("string"))
+    dictionary = entries.select("canonical", "entity_type").distinct()
+    kinds = dictionary.select(F.col("entity_type").alias("_kind"), F.lit(True).alias("_typed")).distinct()
+    rest = known.filter("NOT told").select(F.col(name_col).alias("_name"), "_kind").distinct().join(broadcast_checked(kinds), "_kind", "left")
+    letters = lambda c: F.array_distinct(F.split(c, ""))
+    n, m = F.length("_name"), F.length("canonical")
+    near = (2 * F.least(n, m) >= cutoff * (n + m)) & (F.col("_typed").isNull() | (F.col("_kind") == F.col("entity_type")))
+    pairs = rest.join(broadcast_checked(dictionary), near).select("_name", "_kind", "canonical").distinct()
+    pairs = pairs.filter(F.size(F.array_intersect(letters(F.col("_name")), letters(F.col("canonical")))) > 0)
+    scored = pairs.withColumn("r", F.pandas_udf(_likeness, "double")("_name", "canonical")).filter(F.col("r") >= cutoff)
+    best = scored.groupBy("_name", "_kind").agg(F.max_by("canonical", F.struct("r", "canonical")).alias("_close"))
+    joined = known.join(broadcast_checked(best), (F.col(name_col) == F.col("_name")) & known["_kind"].eqNullSafe(best["_kind"]), "left")
+    canonical = F.when(F.col("told"), F.col("canonical")).otherwise(F.coalesce("_close", F.col("canonical"))).alias("canonical")
+    return joined.select(*names.columns, canonical)
 
 
 def all_names(entries: DataFrame) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aliases as A
-from ..operators import evaluation, ledger
+from ..operators import documents, evaluation, ledger
 from ..sources.files import read_or_empty, replace_table
 from ..storage import broadcast_checked, shared_dir
+from ..streaming import ingest
 from . import model as M
 from .registry import query
 
@@ -22,12 +23,33 @@ def changed_files(spark, d):
     return ledger.changed(M.files(spark, d), M.tracking(spark, d)).select("file_path", "reason")
 
 
-@query("incremental_plan", f"SELECT task_id, reason, count(*) AS files, sum(greatest(1, ceil(length(text) / 1500.0)))::BIGINT AS chunks FROM {_CHANGED} c JOIN documents ON seq = doc_id GROUP BY task_id, reason", "file", "tracking")
+@query("incremental_plan", f"WITH todo AS {_CHANGED}, piece AS (SELECT file_path, 1::BIGINT AS pos, NULL::VARCHAR AS title, text FROM todo JOIN documents ON seq = doc_id), {M.sql_chunks('piece', 'c')} SELECT task_id, reason, count(*) AS files, sum(n)::BIGINT AS chunks FROM todo JOIN (SELECT file_path, count(*) AS n FROM c GROUP BY file_path) k ON todo.file_path = k.file_path GROUP BY task_id, reason", "file", "tracking")
 def incremental_plan(spark, d):
-    """A dry run: what would be chunked again, by task."""
-    todo = ledger.changed(M.files(spark, d), M.tracking(spark, d)).select(F.col("seq").alias("doc_id"), "task_id", "reason")
-    sizes = M.table(spark, d, "documents").select("doc_id", F.greatest(F.lit(1), F.ceil(F.length("text") / 1500)).alias("n"))
-    return todo.join(sizes, "doc_id").groupBy("task_id", "reason").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("chunks"))
+    """A dry run: what would be chunked again, and into how many chunks, by task."""
+    todo = ledger.changed(M.files(spark, d), M.tracking(spark, d)).select(F.col("seq").alias("doc_id"), "file_path", "task_id", "reason")
+    one = F.lit(1).cast("bigint").alias("pos"), F.lit(None).cast("string").alias("title")
+    pieces = todo.join(M.table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("file_path", "task_id", *one, "text")
+    sizes = documents.chunk_documents(pieces).groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
+    return todo.join(sizes, "file_path").groupBy("task_id", "reason").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("chunks"))
+
+
+_AGAIN = "(SELECT file_path, task_id, content || CASE WHEN regexp_extract(task_id, '^\\d+')::INT % 3 = 0 THEN chr(10) || '## edit' || chr(10) || 'user：edited' || chr(10) ELSE chr(10) END AS content FROM dialogue)"
+_AGAIN_SCENE = [M.CTE[t][1].replace("FROM dialogue)", f"FROM {_AGAIN})").replace("FROM line)", "FROM again_line)") for t in ("line", "scene")]
+
+
+@query("ingest_run", f"WITH again_line AS ({_AGAIN_SCENE[0]}), again_scene AS ({_AGAIN_SCENE[1]}), {M.sql_chunks('again_scene', 'c')} SELECT c.file_path, pos, title, md5(text) AS text_hash, md5(content) AS content_hash FROM c JOIN {_AGAIN} a ON c.file_path = a.file_path", "dialogue")
+def ingest_run(spark, d):
+    """Dialogues as files, taken in by the stream; then a third comes edited and a third as it was, and the stream runs again."""
+    root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    number = F.regexp_extract("task_id", r"^\d+", 0).cast("int")
+    first = M.dialogues(spark, d)
+    again = first.filter(number % 3 < 2).withColumn("content", F.when(number % 3 == 0, F.concat("content", F.lit("\n## edit\nuser：edited"))).otherwise(F.col("content")))
+    for some in (first, again):
+        some.select(F.col("content").alias("value"), F.col("task_id").alias("task"), F.substring_index("file_path", "/", -1).alias("name")).write.mode("append").partitionBy("task", "name").text(f"{root}/files")
+        run = ingest.ingest_stream(spark, f"{root}/files", "part-*", f"{root}/ledger", f"{root}/chunks", f"{root}/state", layout=r"task=([^/]+)/name=([^/]+)/[^/]+$")
+        run.awaitTermination()
+    tracked = read_or_empty(spark, f"{root}/ledger", ingest.TRACKING).select("file_path", "content_hash")
+    return ingest.ingested(spark, f"{root}/chunks").join(tracked, "file_path").select("file_path", "pos", "title", F.md5("text").alias("text_hash"), "content_hash")
 
 
 @query("tracking_roundtrip", f"SELECT file_path, content_hash FROM tracking WHERE file_path NOT IN (SELECT file_path FROM {_CHANGED}) UNION ALL SELECT file_path, content_hash FROM {_CHANGED}", "file", "tracking")

@@ -149,7 +149,32 @@ def sql_tokens(text: str) -> str:
     return f"list_concat({plain}, {pairs})"
 
 
+def sql_chunks(piece: str, name: str, merge: bool = True, most: int = 1500, overlap: int = 100) -> str:
+    """DuckDB tables that end in ``name(file_path, pos, title, text)``: the chunks of ``piece(file_path, pos, title, text)``,
+    line by line and then piece by piece. They are recursive, as each cut depends on the one before."""
+    strip = lambda x: f"regexp_replace({x}, '^[\\s\\x{{3000}}\\x{{A0}}]+|[\\s\\x{{3000}}\\x{{A0}}]+$', '', 'g')"
+    tail = f"list_filter(range(1, len(held) + 1), lambda k: list_sum(list_transform(held[-k:], lambda x: length(x) + 1)) <= {overlap})"
+    cut = f"""{name}_line AS MATERIALIZED (SELECT file_path, pos, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i, len(ls) AS n FROM (SELECT *, string_split(text, chr(10)) AS ls FROM {piece} WHERE length(text) > {most})),
+        {name}_walk AS (SELECT file_path, pos, 0::BIGINT AS i, max(n) AS n, []::VARCHAR[] AS held, 0::BIGINT AS size, NULL::VARCHAR AS out FROM {name}_line GROUP BY file_path, pos
+          UNION ALL SELECT file_path, pos, i, n, list_append(kept, line), coalesce(list_sum(list_transform(kept, lambda x: length(x) + 1)), 0)::BIGINT + length(line) + 1, CASE WHEN cut THEN array_to_string(held, chr(10)) END
+          FROM (SELECT *, CASE WHEN cut THEN held[len(held) - len({tail}) + 1 :] ELSE held END AS kept
+            FROM (SELECT w.file_path, w.pos, l.i, w.n, held, line, len(held) > 0 AND size + length(line) + 1 > {most} AND (regexp_matches({strip("line")}, '^[^：]+：.') OR size > {most} * 0.8) AS cut
+                  FROM {name}_walk w JOIN {name}_line l ON w.file_path = l.file_path AND w.pos = l.pos AND l.i = w.i + 1))),
+        {name}_cut AS (SELECT p.file_path, row_number() OVER (PARTITION BY p.file_path ORDER BY p.pos, i) AS pos, title, text FROM (
+            SELECT file_path, pos, i, {strip("out")} AS text FROM {name}_walk WHERE out IS NOT NULL UNION ALL SELECT file_path, pos, n + 1, {strip("array_to_string(held, chr(10))")} FROM {name}_walk WHERE i = n
+            UNION ALL SELECT file_path, pos, 0, text FROM {piece} WHERE length(text) <= {most}) q JOIN (SELECT file_path, pos, title FROM {piece}) p ON q.file_path = p.file_path AND q.pos = p.pos WHERE text <> '')"""
+    if not merge:
+        return cut + f", {name} AS (SELECT * FROM {name}_cut)"
+    return cut + f""", {name}_join AS (SELECT file_path, pos, title, text, NULL::VARCHAR AS done_text, NULL::VARCHAR AS done_title, false AS done FROM {name}_cut WHERE pos = 1
+          UNION ALL SELECT file_path, pos, title, CASE WHEN fits THEN old || chr(10) || chr(10) || text ELSE text END, CASE WHEN NOT fits THEN old END, CASE WHEN NOT fits THEN old_title END, NOT fits
+          FROM (SELECT c.*, j.text AS old, j.title AS old_title, j.title IS NOT DISTINCT FROM c.title AND length(j.text) + length(c.text) + 1 <= {most} AS fits FROM {name}_join j JOIN {name}_cut c ON j.file_path = c.file_path AND c.pos = j.pos + 1)),
+        {name} AS (SELECT file_path, row_number() OVER (PARTITION BY file_path ORDER BY pos, last) AS pos, title, {strip("text")} AS text FROM (
+            SELECT file_path, pos, 0 AS last, done_title AS title, done_text AS text FROM {name}_join WHERE done
+            UNION ALL SELECT file_path, pos, 1, title, text FROM {name}_join WHERE (file_path, pos) IN (SELECT file_path, max(pos) FROM {name}_cut GROUP BY file_path)))"""
+
+
 CTE: dict[str, tuple[tuple[str, ...], str]] = {
+    "nothing": ((), "SELECT 1 AS one"),
     "node": ((), """
         SELECT 'Place' AS label, 'R:' || r_regionkey AS name, r_name AS description, NULL::INT AS chapter FROM region
         UNION ALL SELECT 'Place', 'N:' || n_nationkey, n_name, NULL FROM nation

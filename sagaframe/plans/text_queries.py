@@ -82,13 +82,16 @@ def content_hash(spark, d):
     return M.table(spark, d, "documents").select("doc_id", F.md5("text").alias("content_hash"))
 
 
-@query("split_large")
+_DOC_PIECES = "SELECT doc_id::VARCHAR AS file_path, 1::BIGINT AS pos, NULL::VARCHAR AS title, text FROM documents"
+
+
+@query("split_large", f"WITH piece AS ({_DOC_PIECES}), {M.sql_chunks('piece', 'c', merge=False)} SELECT file_path, pos, length(text)::INT AS n_chars, md5(text) AS text_hash FROM c", "nothing")
 def split_large(spark, d):
     docs = M.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_path"), F.lit("docs").alias("task_id"), F.lit(1).cast(LONG).alias("pos"), F.lit(None).cast("string").alias("title"), "text")
     return documents.chunk_documents(docs, merge=False).select("file_path", "pos", F.length("text").alias("n_chars"), F.md5("text").alias("text_hash"))
 
 
-@query("merge_chunks")
+@query("merge_chunks", f"WITH {M.sql_chunks('scene', 'c')} SELECT file_path, pos, title, length(text)::INT AS n_chars, md5(text) AS text_hash FROM c", "scene")
 def merge_chunks(spark, d):
     scenes = documents.split_scenes(M.dialogues(spark, d))
     return documents.chunk_documents(scenes).select("file_path", "pos", "title", F.length("text").alias("n_chars"), F.md5("text").alias("text_hash"))

@@ -59,12 +59,19 @@ class Memory:
         return G.shortest_paths(causal, pair, hops).withColumn("chain", G.chain_text(F.col("path")))
 
     def compare_entities(self, a: str, b: str) -> DataFrame:
-        """Relation types that both have, and that only one of them has."""
-        both = G.undirected(self.edges)
-        x, y = (both.filter(F.col("src") == self._canonical(n)).select("rel_type").distinct() for n in (a, b))
-        x, y = x.withColumn("a", F.lit(True)), y.withColumn("b", F.lit(True))
-        side = F.when(F.col("a") & F.col("b"), "shared").when(F.col("a"), "only_a").otherwise("only_b")
-        return x.join(y, "rel_type", "full").select("rel_type", side.alias("side")).orderBy("side", "rel_type")
+        """Side by side ``(kind, key, left_value, right_value, side)``: properties that either has, cut
+        to 50 characters, and the relation types that both have or only one of them. An entity that
+        is not found has ``-`` everywhere; no rows if neither is."""
+        left, right = self._canonical(a), self._canonical(b)
+        own = self.nodes.filter(F.col("name").isin(left, right)).groupBy("name").agg(F.min(F.struct("label", "description", F.col("chapter").cast("string").alias("chapter"))).alias("p"))
+        props = F.map_filter(F.create_map(*[x for c in ("label", "description", "chapter") for x in (F.lit(c), F.col(f"p.{c}"))]), lambda k, v: v.isNotNull())
+        rows = own.select("name", F.lit("property").alias("kind"), F.explode(props).alias("key", "value"))
+        kinds = G.undirected(self.edges).filter(F.col("src").isin(left, right)).select(F.col("src").alias("name"), F.lit("relation").alias("kind"), F.col("rel_type").alias("key"), F.lit("yes").alias("value")).distinct()
+        value = lambda n: F.max(F.when(F.col("name") == n, F.substring("value", 1, 50)))
+        both = rows.unionByName(kinds).groupBy("kind", "key").agg(value(left).alias("l"), value(right).alias("r"))
+        side = F.when(F.col("l").isNotNull() & F.col("r").isNotNull(), "shared").when(F.col("r").isNull(), "only_a").otherwise("only_b")
+        cell = lambda c: F.coalesce(F.col(c), F.lit("-"))
+        return both.select("kind", "key", cell("l").alias("left_value"), cell("r").alias("right_value"), side.alias("side")).orderBy("kind", "key")
 
     def explore_subgraph(self, entity: str, depth: int = 1, max_nodes: int = 20, edge_types: str | None = None) -> tuple[DataFrame, DataFrame]:
         if not 1 <= depth <= 3 or max_nodes < 1:
@@ -76,6 +83,8 @@ class Memory:
     def search_memory(self, query: str, characters: list[str] | None = None, sort_by: str = "relevance", limit: int = 5, candidates: int = 6) -> DataFrame:
         """Chunks by the fused channels, reranked. With characters, chunks that mention them; if
         there are none, chunks in which they speak; if there are none, all chunks."""
+        if not 1 <= limit <= 20 or sort_by not in ("relevance", "time"):
+            raise ValueError("limit must be 1 to 20 and sort_by relevance or time")
         pool = self.chunks
         if characters:
             names = F.array(*[F.lit(n) for c in characters for n in {c, self._canonical(c)}])
@@ -98,7 +107,8 @@ class Memory:
 
 
 def render(df: DataFrame, most: int = 50) -> str:
-    """A Markdown table of a result's first rows."""
-    rows = df.limit(most).collect()
+    """A Markdown table of a result's first rows, with a line that says so if there are more."""
+    rows = df.limit(most + 1).collect()
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
-    return "\n".join([head, *("| " + " | ".join("-" if v is None else str(v) for v in r) + " |" for r in rows)])
+    lines = [head, *("| " + " | ".join("-" if v is None else str(v) for v in r) + " |" for r in rows[:most])]
+    return "\n".join(lines + [f"(the first {most} rows)"] * (len(rows) > most))

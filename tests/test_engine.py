@@ -127,7 +127,47 @@ def test_tools(spark, sf_dir):
     assert memory.lookup_knowledge("C:1").filter("rel_type = 'MEMBER_OF'").count() == 1
     assert memory.lookup_knowledge("nobody").count() == 0
     assert memory.find_connection("C:1", "C:2").count() == 1
+    table = {(r.kind, r.key): (r.left_value, r.right_value, r.side) for r in memory.compare_entities("C:1", "nobody").collect()}
+    assert table["property", "label"] == ("Character", "-", "only_a") and all(v[1] == "-" for v in table.values())
     assert memory.compare_entities("C:1", "C:2").filter("side = 'shared'").count() >= 2
+    assert memory.compare_entities("nobody", "no one").count() == 0
+    assert memory.trace_causality("C:1").count() >= 1 and memory.trace_causality("C:1", "nobody").count() == 0
+    assert {r.layer for r in Memory(M.nodes(spark, sf_dir), M.edges(spark, sf_dir), M.aliases(spark)).get_timeline("C:1").collect()} <= {1, 3}
+    for wrong in (lambda: memory.search_memory("x", limit=21), lambda: memory.search_memory("x", sort_by="size"), lambda: memory.find_connection("a", "b", 9)):
+        try:
+            wrong()
+            raise AssertionError("not refused")
+        except ValueError:
+            pass
+    assert render(memory.nodes.select("name").orderBy("name"), 3).endswith("(the first 3 rows)")
     assert memory.explore_subgraph("C:1", 1, 20, "MEMBER_OF, ")[0].count() == 2
     found = memory.search_memory("the and of", ["user"], limit=3)
     assert 0 < found.count() <= 3 and render(found.select("id")).count("\n") >= 2
+
+
+def test_search_is_a_plain_search(spark):
+    """Chunks by the share of the question's terms among the best of both channels."""
+    import math
+    import re
+    from collections import Counter
+
+    texts = {k: " ".join(f"w{(k * j) % 17}" for j in range(1, 3 + k % 9)) for k in range(60)}
+    rows = [(str(k), t, ["A"] if k % 2 else ["B"], [], k) for k, t in texts.items()]
+    chunks = spark.createDataFrame(rows, "id string, text string, characters array<string>, entities array<string>, event_order long")
+    question = "w3 w5 w8 w3"
+    found = Memory(spark.createDataFrame([("Character", "A", None, None)], "label string, name string, description string, chapter int"), None, M.aliases(spark), chunks).search_memory(question, ["A"], limit=4)
+    terms = {k: Counter(re.findall(r"\w{2,}", t)) for k, t in texts.items()}
+    avg, n = sum(sum(c.values()) for c in terms.values()) / 60, 60
+    df = Counter(w for c in terms.values() for w in c)
+    idf = {w: math.log((n - d + 0.5) / (d + 0.5) + 1) for w, d in df.items()}
+    weight = lambda c: {w: idf[w] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * sum(c.values()) / avg)) for w, f in c.items() if w in idf}
+    lex = lambda c: {w: (1 + math.log(f)) / math.sqrt(sum((1 + math.log(x)) ** 2 for x in c.values())) for w, f in c.items()}
+    q, pool = Counter(question.split()), [k for k in texts if k % 2]
+    best = set()
+    for form in (weight, lex):
+        a = form(q)
+        scores = {k: sum(v * a[w] for w, v in form(terms[k]).items() if w in a) for k in pool}
+        best |= {k for k in sorted(scores, key=lambda k: (-scores[k], str(k)))[:6] if scores[k] > 0}
+    share = {k: len(set(q) & set(terms[k])) / len(set(q)) for k in best}
+    want = sorted(best, key=lambda k: (-share[k], str(k)))[:4]
+    assert [int(r.id) for r in found.collect()] == want

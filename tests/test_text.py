@@ -71,3 +71,72 @@ def test_folding():
     tail = D.fold_chunks([(None, "\n".join(["a" * 40] * 60))], merge=False)
     assert tail[0][1][-81:] == tail[1][1][:81]  # whole lines up to the overlap are carried on
     assert D.fold_chunks([]) == []
+
+
+def test_terms_of_han_text(spark):
+    from pyspark.sql import functions as F
+
+    from sagaframe.functions import text as T
+    from sagaframe.plans.model import sql_tokens
+    from tests.oracle import duckdb
+
+    texts = ["旅行者 said: hello派蒙x9", "风", "ab 风起地 c", "Ünïcode ok", "", "蒙德城蒙德"]
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(T.tokens(F.col("t"))).collect()]
+    assert got[0] == ["said", "hello", "x9", "旅行", "行者", "派蒙"] and got[2] == ["ab", "风起", "起地"] and got[1] == got[4] == []
+    con = duckdb.connect()
+    assert [con.execute(f"SELECT {sql_tokens('?::VARCHAR')}", [t, t]).fetchone()[0] for t in texts] == got
+
+
+def test_fuzzy_names_match_brute_force(spark, sf_dir):
+    import difflib
+
+    from sagaframe.operators import aliases as A
+    from sagaframe.plans import model as M
+    from sagaframe.plans import text_queries as Q
+
+    entries = M.aliases(spark)
+    rows = entries.collect()
+    names = [r.name for r in Q.name_uses(spark, sf_dir).collect()] + ["Usr", "asistant", "Tionn", "HEIT", "menté", "Eau", "hands", "x", "Syst em", "Onse"]
+    exact, loose = {}, {}
+    for r in rows:
+        exact[r.alias] = min(r.canonical, exact.get(r.alias, r.canonical))
+        loose[r.alias.lower()] = min(r.canonical, loose.get(r.alias.lower(), r.canonical))
+
+    def plain(name, kind=None):
+        if name in exact or name.lower() in loose:
+            return exact.get(name, loose.get(name.lower()))
+        same = sorted({r.canonical for r in rows if r.entity_type == kind})
+        close = difflib.get_close_matches(name, same or sorted({r.canonical for r in rows}), n=1, cutoff=0.7) if name else []
+        return close[0] if close else name
+
+    typed = spark.createDataFrame([(n, k) for n in dict.fromkeys(names) for k in (None, "Place", "Event", "Odd")], "name string, kind string")
+    got = {(r.name, r.kind): r.canonical for r in A.resolve_fuzzy(typed, entries, type_col="kind").collect()}
+    assert got == {(r.name, r.kind): plain(r.name, r.kind) for r in typed.collect()} and len(set(got.values()) - set(names)) > 3
+    assert {r.canonical for r in A.resolve_fuzzy(spark.createDataFrame([("Usr",)], "name string"), entries).collect()} == {plain("Usr")}
+
+
+def test_dense_topk_by_blocks(spark):
+    import numpy as np
+
+    from sagaframe.operators import vectors
+
+    rng = np.random.default_rng(1)
+    v = rng.integers(-3, 4, (60, 4)).astype(float)
+    v[0] = [1, 0, 0, 0]
+    points = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v) if x.any()] + [(99, None)], "id long, embedding array<float>").repartition(3)
+    asked = points.filter("id % 10 = 0").selectExpr("id AS q", "embedding")
+    got = {(r.q, r.id): r.score for r in vectors.dense_topk(asked, points, 5, block=7).collect()}
+    unit = {k: x / np.linalg.norm(x) for k, x in enumerate(v) if x.any()}
+    want = {}
+    for q in [k for k in unit if k % 10 == 0]:
+        s = {k: round(float(unit[q] @ x), 6) for k, x in unit.items()}
+        want |= {(q, k): s[k] for k in sorted(s, key=lambda k: (-s[k], k))[:5]}
+    assert got == want
+
+
+def test_vocabulary_numbers(spark):
+    from sagaframe.operators import bm25
+
+    known = spark.createDataFrame([(f"t{k}", k % 7) for k in range(500)], "term string, df long").repartition(6)
+    got = [(r.term, r.df) for r in bm25.vocabulary(known).orderBy("idx").collect()]
+    assert got == sorted(got, key=lambda x: (-x[1], x[0])) and {r.idx for r in bm25.vocabulary(known).collect()} == set(range(500))
