@@ -3,6 +3,11 @@
 Stages are (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame.
 Every stage but the last returns the columns of ``documents``. ``run`` writes each stage's
 result as Parquet in the shared folder and reads it back for the next one.
+
+In every stage a null text counts as an empty one, a text may be of any length, further columns
+go along whatever their names, and an empty table gives an empty one. Rows without an id stay in
+all stages, but where they repeat a text that a row with an id has. Rows that repeat an id and
+text are copies of each other that no stage tells apart: they stay or go together.
 """
 
 from __future__ import annotations
