@@ -34,6 +34,23 @@ def join_checked(big: DataFrame, small: DataFrame, on: list[str] | str, how: str
     return big.join(small, on, how)
 
 
+#: A key with more rows than this, and than a thousandth of all, is a hub.
+HUB = 1000
+
+
+def join_spread(rows: DataFrame, told: DataFrame, key: str, values: list[str], total: int) -> DataFrame:
+    """Join ``values`` of ``told(key, values, n)``, one row a key, to ``rows``, of which ``n`` have the key and ``total`` any.
+
+    The rows of a hub are not brought together: there can be a thousand hubs at most, whatever
+    ``total`` is, so what is told of them is broadcast. Only the rows of other keys are shuffled."""
+    hub = F.col("n") > max(HUB, total // HUB)
+    hubs = told.filter(hub).select(key, F.struct(*values).alias("__hub"))
+    marked = rows.join(F.broadcast(hubs), key, "left")
+    near = marked.filter("__hub IS NULL").drop("__hub").join(told.filter(~hub).select(key, *values), key)
+    far = marked.filter("__hub IS NOT NULL").select(*rows.columns, *[F.col("__hub")[v].alias(v) for v in values])
+    return near.select(*far.columns).unionByName(far)
+
+
 def words_of(text: Column) -> Column:
     """Words of a text, in order; null counts as empty."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda x: x != "")

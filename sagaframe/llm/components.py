@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_spread, materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """Add ``m``, the least of ``a`` and its neighbours, to ``edges(a, b)``; a hub's links stay where they are."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return join_spread(edges, materialize(least, "least"), "a", ["m"], total)
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Link every larger neighbour of a node to the node's smallest neighbour."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _with_least(both, 2 * total).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    marked = _with_least(edges, total)
+    moved = marked.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(marked.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,7 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     now = state(links)
     while now[0]:
-        links = materialize(_small_star(_large_star(links)), "edges")
+        large = materialize(_large_star(links, now[0]), "large")
+        links = materialize(_small_star(large, now[0]), "edges")
         before, now = now, state(links)
         if before == now:
             break

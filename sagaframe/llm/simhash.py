@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_checked, materialize, table
+from .common import join_checked, join_spread, materialize, table
 from .components import components
 
 MAX_BITS = 4
@@ -249,21 +249,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``(id, fingerprint, component_id)`` for every row of ``docs``.
 
     A null text counts as empty; texts without a word have fingerprint 0 and are linked by
-    it like any other. Rows that repeat an id or a text are all returned. ``component_id`` is
+    it like any other; of a long text all shingles are hashed. Rows that repeat an id or a text are all returned. ``component_id`` is
     the smallest id of the component, ignoring null ids (null where all are). An empty table
     gives an empty result; further columns of the input are ignored.
     """
     raw = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("__text"))
     kind = docs.schema[id_col].dataType.simpleString()
     marked = materialize(raw.mapInArrow(_fingerprints, f"__id {kind}, fp long"), "fingerprints")
-    classes = materialize(marked.groupBy("fp").agg(F.min("__id").alias("least")), "classes")
+    classes = materialize(marked.groupBy("fp").agg(F.min("__id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
     links = materialize(hamming_links(classes.select("fp"), max_node), "links")
     roots = components(links).select(F.col("node").alias("fp"), "root")
-    rooted = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.join(roots, "fp", "left").select("fp", "least", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "least")
+    n_classes, n_rows = rooted.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    # a component of very many fingerprints, or a text of very many rows, does not meet in one task
+    named = join_spread(rooted, least, "root", ["component_id"], n_classes).select("fp", "component_id", F.col("rows").alias("n"))
+    told = join_spread(marked, materialize(named, "named"), "fp", ["component_id"], n_rows)
+    return told.select(F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
