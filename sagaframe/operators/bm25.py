@@ -1,14 +1,14 @@
 """Sparse retrieval: BM25 with term strings as keys and document frequencies over the whole corpus.
 
-A corpus is tokenised once into a written table of postings; whatever asks for some terms takes
-their postings only, before anything else is computed or shuffled.
+A corpus is tokenised once into a written table, with each document's length and norm computed in
+its own row. Whatever asks for some terms takes these only, before anything is counted or shuffled.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -17,39 +17,56 @@ from ..storage import broadcast_checked, written
 K1, B = 1.2, 0.75
 
 
-def terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, term, tf, dl)``. A document's terms are counted in its own task; the shuffle moves a row for each distinct one."""
-    found = docs.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("t")).withColumn("dl", F.size("t").cast("long"))
-    return found.select("id", "dl", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+def _norm(sorted_terms: Column) -> Column:
+    """Length of the vector of 1 + ln tf, from a document's terms in order: runs of equal terms are counted."""
+    add = lambda a: F.when(a["run"] > 0, (1 + F.ln(a["run"])) * (1 + F.ln(a["run"]))).otherwise(F.lit(0.0))
+    start = F.struct(F.lit("").alias("term"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+
+    def step(a: Column, x: Column) -> Column:
+        same = a["term"] == x
+        return F.struct(x.alias("term"), F.when(same, a["run"] + 1).otherwise(F.lit(1.0)).alias("run"), F.when(same, a["sum"]).otherwise(a["sum"] + add(a)).alias("sum"))
+
+    return F.aggregate(sorted_terms, start, step, lambda a: F.sqrt(a["sum"] + add(a)))
+
+
+def tokenised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, t, dl, norm)``: a document's terms in order, their number and the norm of their lexical weights."""
+    found = docs.select(F.col(id_col).alias("id"), F.array_sort(T.tokens(F.col(text_col))).alias("t"))
+    return found.select("id", "t", F.size("t").cast("long").alias("dl"), _norm(F.col("t")).alias("norm"))
+
+
+def counted(rows: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """Postings ``(id, term, tf, dl, norm)`` of tokenised documents, with ``among(term)`` of these terms only.
+
+    A document's terms are counted in its own task; the shuffle moves a row for each distinct one."""
+    each = rows.select("id", "dl", "norm", F.explode("t").alias("term"))
+    if among is not None:
+        each = each.join(broadcast_checked(among.select("term").distinct()), "term", "left_semi")
+    return each.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"), F.first("norm").alias("norm"))
 
 
 @dataclass
 class Index:
-    """Postings ``(id, term, tf, dl)`` and the one-row table ``(n_docs, avg_dl)``."""
+    """Tokenised documents and the one-row table ``(n_docs, avg_dl)``."""
 
-    postings: DataFrame
+    docs: DataFrame
     size: DataFrame
 
-    def among(self, asked: DataFrame) -> Index:
-        """The postings of the terms in ``asked(term)`` only; the corpus keeps its size."""
-        vocabulary = broadcast_checked(asked.select("term").distinct())
-        return Index(written(self.postings.join(vocabulary, "term", "left_semi"), "postings"), self.size)
+    def postings(self, among: DataFrame | None = None) -> DataFrame:
+        return written(counted(self.docs, among), "postings")
 
 
 def index(docs: DataFrame, id_col: str, text_col: str) -> Index:
-    postings = written(terms(docs, id_col, text_col), "postings")
-    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    # both are single rows
-    size = n.join(F.broadcast(postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total")))).select("n_docs", (F.col("total") / F.col("n_docs")).alias("avg_dl"))
-    return Index(postings, size)
+    rows = written(tokenised(docs, id_col, text_col), "tokenised")
+    return Index(rows, rows.agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("dl") / F.count(F.lit(1))).alias("avg_dl")))
 
 
-def fit(ix: Index) -> tuple[DataFrame, DataFrame]:
-    """Term table ``(term, df, idf)`` of the index's terms, and its size."""
-    df = ix.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def fit(postings: DataFrame, size: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Term table ``(term, df, idf)`` of the postings' terms in a corpus of the given size."""
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = F.col("n_docs") - F.col("df")
     # the second side is a single row
-    return df.join(F.broadcast(ix.size)).select("term", "df", F.ln((n + 0.5) / (F.col("df") + 0.5) + 1).alias("idf")), ix.size
+    return df.join(F.broadcast(size)).select("term", "df", F.ln((n + 0.5) / (F.col("df") + 0.5) + 1).alias("idf")), size
 
 
 def save(model: tuple[DataFrame, DataFrame], path: str) -> None:
@@ -86,15 +103,9 @@ def weights(postings: DataFrame, model: tuple[DataFrame, DataFrame], k1: float =
     return postings.join(known, "term").join(F.broadcast(size)).select("id", "term", w.alias("w"))
 
 
-def norms(postings: DataFrame) -> DataFrame:
-    """``(id, norm)`` of a document's lexical weights."""
-    v = 1 + F.ln("tf")
-    return postings.groupBy("id").agg(F.sqrt(F.sum(v * v)).alias("norm"))
-
-
-def lexical(postings: DataFrame, norm: DataFrame) -> DataFrame:
+def lexical(postings: DataFrame) -> DataFrame:
     """Stand-in for learned term weights: 1 + ln tf, normalised to unit length per document."""
-    return postings.join(norm, "id").select("id", "term", ((1 + F.ln("tf")) / F.col("norm")).alias("w"))
+    return postings.select("id", "term", ((1 + F.ln("tf")) / F.col("norm")).alias("w"))
 
 
 def score(queries: DataFrame, postings: DataFrame) -> DataFrame:
@@ -107,10 +118,8 @@ def search(ix: Index, queries: DataFrame, id_col: str, text_col: str, pool: Data
     """BM25 and lexical scores ``(q, id, score)`` of the documents for query texts, those in ``pool(id)`` only if given.
 
     Terms are weighted by the whole corpus. Only postings of the queries' terms are weighted and joined."""
-    asked = written(terms(queries, id_col, text_col), "asked")
-    hits = ix.among(asked)
-    model = fit(hits)
-    found = hits.postings if pool is None else hits.postings.join(pool.select("id").distinct(), "id", "left_semi")
-    sparse = score(weights(asked, model), weights(found, model))
-    mine = norms(ix.postings.join(found.select("id").distinct(), "id", "left_semi"))
-    return sparse, score(lexical(asked, norms(asked)), lexical(found, mine))
+    asked = written(counted(tokenised(queries, id_col, text_col)), "asked")
+    hits = ix.postings(asked)
+    model = fit(hits, ix.size)
+    found = hits if pool is None else hits.join(pool.select("id").distinct(), "id", "left_semi")
+    return score(weights(asked, model), weights(found, model)), score(lexical(asked), lexical(found))

@@ -394,40 +394,46 @@ def index(spark, d):
     return bm25.index(docs(spark, d), "doc_id", "text")
 
 
+def fitted(spark, d):
+    """All postings and the model fitted on them."""
+    ix = index(spark, d)
+    postings = ix.postings()
+    return postings, bm25.fit(postings, ix.size)
+
+
 @query("bm25_tf", "SELECT doc_id, term, tf FROM tf", "tf")
 def bm25_tf(spark, d):
-    return bm25.terms(docs(spark, d), "doc_id", "text").select(F.col("id").alias("doc_id"), "term", "tf")
+    return bm25.counted(bm25.tokenised(docs(spark, d), "doc_id", "text")).select(F.col("id").alias("doc_id"), "term", "tf")
 
 
 @query("bm25_fit", "SELECT term, df, round(idf, 6) AS idf FROM df", "df")
 def bm25_fit(spark, d):
-    return bm25.fit(index(spark, d))[0].select("term", "df", F.round("idf", 6).alias("idf"))
+    return fitted(spark, d)[1][0].select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("bm25_vocab", "SELECT term, row_number() OVER (ORDER BY df DESC, term) - 1 AS idx FROM df", "df")
 def bm25_vocab(spark, d):
-    return bm25.vocabulary(bm25.fit(index(spark, d))[0]).select("term", "idx")
+    return bm25.vocabulary(fitted(spark, d)[1][0]).select("term", "idx")
 
 
 @query("bm25_weights", "SELECT doc_id, term, round(w, 6) AS w FROM weight", "weight")
 def bm25_weights(spark, d):
-    ix = index(spark, d)
-    return bm25.weights(ix.postings, bm25.fit(ix)).select(F.col("id").alias("doc_id"), "term", F.round("w", 6).alias("w"))
+    return bm25.weights(*fitted(spark, d)).select(F.col("id").alias("doc_id"), "term", F.round("w", 6).alias("w"))
 
 
 @query("bm25_roundtrip", "SELECT term, df, round(idf, 6) AS idf, n_docs, round(avg_dl, 6) AS avg_dl FROM df CROSS JOIN stats", "df", "stats")
 def bm25_roundtrip(spark, d):
     """The fitted model, saved and loaded again."""
     path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
-    bm25.save(bm25.fit(index(spark, d)), path)
+    bm25.save(fitted(spark, d)[1], path)
     known, size = bm25.load(spark, path)
     return known.join(F.broadcast(size)).select("term", "df", F.round("idf", 6).alias("idf"), "n_docs", F.round("avg_dl", 6).alias("avg_dl"))
 
 
 @query("sparse_pack", "SELECT doc_id, string_agg(idx, ' ' ORDER BY idx) AS indices, string_agg(tf, ' ' ORDER BY idx) AS tfs FROM tf JOIN (SELECT term, row_number() OVER (ORDER BY df DESC, term) - 1 AS idx FROM df) v ON tf.term = v.term GROUP BY doc_id", "df")
 def sparse_pack(spark, d):
-    ix = index(spark, d)
-    packed = bm25.pack(ix.postings, bm25.vocabulary(bm25.fit(ix)[0]))
+    postings, (known, _) = fitted(spark, d)
+    packed = bm25.pack(postings, bm25.vocabulary(known))
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
     return packed.select(F.col("id").alias("doc_id"), text("indices").alias("indices"), text("values").alias("tfs"))
 
