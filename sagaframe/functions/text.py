@@ -26,6 +26,8 @@ LONGEST_NAME = 15
 
 TOKEN = r"[\p{L}\p{N}]{2,}"
 HAN = r"\p{IsHan}"
+#: Code points among which all Han characters are: a test of plain ranges, which is quick.
+MAY_BE_HAN = r"[\x{2E80}-\x{FAFF}\x{16FE0}-\x{3FFFF}]"
 
 
 def strip(text: Column) -> Column:
@@ -44,7 +46,7 @@ def tokens(text: Column) -> Column:
     plain = lambda x: F.regexp_extract_all(x, F.lit(TOKEN), F.lit(0))
     runs = F.regexp_extract_all(low, F.lit(HAN + "{2,}"), F.lit(0))
     pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
-    return F.when(low.rlike(HAN), F.concat(plain(F.regexp_replace(low, HAN, " ")), pairs)).otherwise(plain(low))
+    return F.when(text.rlike(MAY_BE_HAN), F.concat(plain(F.regexp_replace(low, HAN, " ")), pairs)).otherwise(plain(low))
 
 
 def speakers(text: Column) -> Column:

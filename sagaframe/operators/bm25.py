@@ -31,7 +31,7 @@ def _norm(sorted_terms: Column) -> Column:
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, t, dl, norm)``: a document's terms in order, their number and the norm of their lexical weights."""
-    found = docs.select(F.col(id_col).alias("id"), F.array_sort(T.tokens(F.col(text_col))).alias("t"))
+    found = docs.select(F.col(id_col).alias("id"), F.sort_array(T.tokens(F.col(text_col))).alias("t"))
     return found.select("id", "t", F.size("t").cast("long").alias("dl"), _norm(F.col("t")).alias("norm"))
 
 
@@ -109,9 +109,11 @@ def lexical(postings: DataFrame) -> DataFrame:
 
 
 def score(queries: DataFrame, postings: DataFrame) -> DataFrame:
-    """``(q, id, score)``: sparse dot products of queries ``(id, term, w)`` with postings."""
+    """``(q, id, score)``: sparse dot products of queries ``(id, term, w)`` with postings.
+
+    Postings are laid out by document first: they are fewer than the pairs, which are then summed where they are made."""
     q = broadcast_checked(queries.select(F.col("id").alias("q"), "term", F.col("w").alias("qw")))
-    return postings.join(q, "term").groupBy("q", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
+    return postings.repartition("id").join(q, "term").groupBy("q", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
 
 
 def search(ix: Index, queries: DataFrame, id_col: str, text_col: str, pool: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
