@@ -80,9 +80,9 @@ def test_terms_of_han_text(spark):
     from sagaframe.plans.model import sql_tokens
     from tests.oracle import duckdb
 
-    texts = ["旅行者 said: hello派蒙x9", "风", "ab 风起地 c", "Ünïcode ok", "", "蒙德城蒙德"]
+    texts = ["白云山 said: hello小河x9", "风", "ab 风起地 c", "Ünïcode ok", "", "东西南东西"]
     got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(T.tokens(F.col("t"))).collect()]
-    assert got[0] == ["said", "hello", "x9", "旅行", "行者", "派蒙"] and got[2] == ["ab", "风起", "起地"] and got[1] == got[4] == []
+    assert got[0] == ["said", "hello", "x9", "白云", "云山", "小河"] and got[2] == ["ab", "风起", "起地"] and got[1] == got[4] == []
     con = duckdb.connect()
     assert [con.execute(f"SELECT {sql_tokens('?::VARCHAR')}", [t, t]).fetchone()[0] for t in texts] == got
 
