@@ -54,3 +54,10 @@ def join_spread(rows: DataFrame, told: DataFrame, key: str, values: list[str], t
 def words_of(text: Column) -> Column:
     """Words of a text, in order; null counts as empty."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda x: x != "")
+
+
+def crc32_sql(text: str = "x") -> tuple[str, str]:
+    """For oracle SQL, which has no CRC-32: a query of one row, the table ``t`` of its 256 values, and the checksum of ``text`` by it."""
+    values = "SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) AS v FROM range(256) r(n))"
+    octets = f"list_transform(range(1, strlen({text}) + 1), lambda i: ('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::BIGINT)"
+    return values, f"xor(list_reduce({octets}, lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295)"

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, exact_dedup, host_rules, html_text, mixing, simhash, substring_dedup, toxicity, warc_audit
+from . import bpe, chat_format, exact_dedup, host_rules, html_text, manifest, mixing, simhash, substring_dedup, toxicity, warc_audit
 
-MODULES = (html_text, simhash, substring_dedup, host_rules, toxicity, mixing, warc_audit, exact_dedup, bpe, chat_format)
+MODULES = (html_text, simhash, substring_dedup, host_rules, toxicity, mixing, warc_audit, exact_dedup, bpe, chat_format, manifest)
 
 
 def queries() -> dict:
