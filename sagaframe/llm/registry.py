@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, exact_dedup, host_rules, html_text, manifest, mixing, resampling, simhash, substring_dedup, toxicity, warc_audit
+from . import bpe, chat_format, exact_dedup, host_rules, html_text, manifest, minhash, mixing, resampling, simhash, substring_dedup, toxicity, warc_audit
 
-MODULES = (html_text, simhash, substring_dedup, host_rules, toxicity, mixing, warc_audit, exact_dedup, bpe, chat_format, resampling, manifest)
+MODULES = (html_text, simhash, substring_dedup, host_rules, toxicity, mixing, warc_audit, exact_dedup, bpe, chat_format, minhash, resampling, manifest)
 
 
 def queries() -> dict:
