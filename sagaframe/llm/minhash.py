@@ -38,15 +38,19 @@ from .components import components
 SHINGLE, PERCENT = 3, 85
 SIZE, BAND = 128, 4
 BANDS = SIZE // BAND
-#: Agreeing coordinates below which a pair is passed over in crowded bands, for similarities of 85 in 100.
-LEAST_AGREED = 80
+#: Bits of a fine sketch, and those that are looked at first. At a similarity of 0.85 a bit is equal with a
+#: chance of 0.925; fewer equal bits than the mean less 6.6 standard deviations pass a pair over.
+FINE, FIRST = 4096, 512
+LEAST_FINE, LEAST_FIRST = 3677, 434
 #: Members of a small band, members of a block, and partners of a held text that meet in one place.
-SMALL, BLOCK, PARTNERS = 32, 2048, 512
-#: Hash values of rounds that are computed together, and shingles that are hashed together.
-CHUNK_HASHES, CHUNK_SHINGLES = 2048, 50_000
+SMALL, BLOCK, PARTNERS = 32, 8192, 512
+#: Hashes for each coordinate that are computed together, and shingles that are hashed together.
+CHUNK_HASHES, CHUNK_SHINGLES = 16, 50_000
+#: Pairs that are compared or sent together.
+CHUNK_PAIRS = 50_000
 
-_SEEDS = np.random.default_rng(11).integers(0, 2**63, 2 * SIZE, dtype=np.uint64)
-_EMPTY, _LOW = np.uint64(2**64 - 1), np.uint64(2**56 - 1)
+_SEEDS = np.random.default_rng(11).integers(0, 2**63, 2 * FINE, dtype=np.uint64)
+_EMPTY = np.uint64(2**64 - 1)
 
 
 def shingle_hashes(raw: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -80,43 +84,55 @@ def _mixed(h: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def sketch(h: np.ndarray) -> np.ndarray:
-    """Sketch of a set of 64-bit hashes; a value tells the round in its first byte."""
-    out, i = np.full(SIZE, _EMPTY), 0
-    while i < SIZE and (out == _EMPTY).any():
-        rounds = min(SIZE - i, max(1, CHUNK_HASHES // len(h)))  # a round too many changes nothing
+def sketch(h: np.ndarray, size: int = SIZE) -> np.ndarray:
+    """Sketch of a set of 64-bit hashes; ``size`` is a power of two. A value tells its round in the first bits."""
+    out, i, top = np.full(size, _EMPTY), 0, np.uint64(64 - size.bit_length())
+    low = (np.uint64(1) << top) - np.uint64(1)
+    while i < size and (out == _EMPTY).any():
+        rounds = min(size - i, max(1, CHUNK_HASHES * size // len(h)))  # a round too many changes nothing
         x = _mixed(h, _SEEDS[i : i + rounds])
-        value = (x & _LOW) + (np.arange(i, i + rounds, dtype=np.uint64) << np.uint64(56))[:, None]
-        np.minimum.at(out, (x >> np.uint64(57)).astype(np.int64).ravel() % SIZE, value.ravel())
+        value = (x & low) + (np.arange(i, i + rounds, dtype=np.uint64) << top)[:, None]
+        np.minimum.at(out, (x >> (top + np.uint64(1))).astype(np.int64).ravel(), value.ravel())
         i += rounds
-    for j in np.flatnonzero(out == _EMPTY):
-        out[j] = (np.uint64(SIZE + j) << np.uint64(56)) + (_mixed(h, _SEEDS[SIZE + j : SIZE + j + 1]) & _LOW).min()
+    rest = np.flatnonzero(out == _EMPTY)  # only if there are few hashes
+    if len(rest):
+        out[rest] = (rest + size).astype(np.uint64) * (low + np.uint64(1)) + (_mixed(h, _SEEDS[size + rest]) & low).min(axis=1)
     return out
 
 
+def fine_bits(h: np.ndarray) -> bytes:
+    """One bit of each of the ``FINE`` coordinates."""
+    return np.packbits((sketch(h, FINE) & np.uint64(1)).astype(np.uint8)).tobytes()
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, digests, keys, sketches = [], [], [], []
+        sizes, digests, keys = [], [], []
         for raw in batch.column(1):
             h = shingle_hashes(raw.as_py())
             sizes.append(len(h))
             if not len(h):
-                digests.append(None), keys.append([]), sketches.append(None)
+                digests.append(None)
+                keys.append([])
                 continue
             s = sketch(h[:, 0])
             digests.append(xxhash.xxh3_128_digest(h.tobytes()))
             keys.append([xxhash.xxh3_64_intdigest(s[k * BAND : (k + 1) * BAND].tobytes(), k) - 2**63 for k in range(BANDS)])
-            sketches.append(s.astype(np.uint8).tobytes())
-        columns = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["__id", "n_shingles", "digest", "keys", "sketch"])
+        columns = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["__id", "n_shingles", "digest", "keys"])
 
 
 def _of_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (node, digest, text) those whose text has that digest."""
+    """Of rows (node, digest, text) those whose text has that digest, with their fine sketches."""
     for batch in batches:
-        same = [xxhash.xxh3_128_digest(shingle_hashes(t.as_py()).tobytes()) == d.as_py() for d, t in zip(batch.column(1), batch.column(2))]
-        kept = batch.filter(pa.array(same, pa.bool_()))
-        yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(2)], names=["node", "text"])
+        nodes, texts, bits = [], [], []
+        for node, digest, text in zip(*batch.columns):
+            h = shingle_hashes(text.as_py())
+            if xxhash.xxh3_128_digest(h.tobytes()) == digest.as_py():
+                nodes.append(node.as_py())
+                texts.append(text.as_py())
+                bits.append(fine_bits(h[:, 0]))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.binary()), pa.array(bits, pa.binary())], names=["node", "text", "bits"])
 
 
 def _may_link(a: Column, b: Column, percent: int) -> Column:
@@ -173,39 +189,53 @@ def _small_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("cid").alias("a"), F.col("cid2").alias("b"))
 
 
+def _equal_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a.shape[-1] * 64 - np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def _near(rows: np.ndarray, bits: np.ndarray, others: np.ndarray, held: np.ndarray, percent: int) -> Iterator[np.ndarray]:
+    """Pairs of nodes of ``rows`` and ``others`` (node, size, root) in different components whose bits are equal enough."""
+    first = FIRST // 64
+    step = max(1, 4 * CHUNK_PAIRS // len(others))
+    for k in range(0, len(rows), step):
+        x = rows[k : k + step]
+        live = (x[:, None, 2] != others[None, :, 2]) & (100 * np.minimum(x[:, None, 1], others[None, :, 1]) >= percent * np.maximum(x[:, None, 1], others[None, :, 1]))
+        live &= _equal_bits(bits[k : k + step, None, :first], held[None, :, :first]) >= LEAST_FIRST
+        p, q = np.nonzero(live)
+        for at in range(0, len(p), CHUNK_PAIRS):
+            i, j = p[at : at + CHUNK_PAIRS], q[at : at + CHUNK_PAIRS]
+            same = _equal_bits(bits[k + i], held[j]) >= LEAST_FINE
+            yield np.sort(np.stack((x[i[same], 0], others[j[same], 0]), axis=1), axis=1)
+
+
 def _agreeing(percent: int):
-    """Take rows (key, i, j, role, cid, n, root, sketch), the outer members of a block first; give pairs that agree enough."""
+    """Take rows (key, i, j, role, cid, n, root, bits), the outer members of a block first; give pairs that agree enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, outer = None, []
         for batch in batches:
-            found = [np.zeros((0, 2), dtype=np.int64)]
+            if not batch.num_rows:
+                continue
             meta = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(7)], axis=1)
-            # a sketch has SIZE bytes
-            told = np.frombuffer(b"".join(batch.column(7).to_pylist()), dtype=np.uint8).reshape(-1, SIZE)
-            new = np.concatenate(([0], 1 + np.flatnonzero((meta[1:, :4] != meta[:-1, :4]).any(axis=1)), np.arange(0, len(meta), 64), [len(meta)]))
-            cuts = np.unique(new)
-            for x, y in zip(cuts[:-1], cuts[1:]):
-                rows, bits = meta[x:y], told[x:y]  # of one block and role, 64 at most
-                if place != (now := tuple(rows[0, :3])):
+            told = np.frombuffer(b"".join(batch.column(7).to_pylist()), dtype=np.uint64).reshape(-1, FINE // 64)
+            cuts = np.concatenate(([0], 1 + np.flatnonzero((meta[1:, :4] != meta[:-1, :4]).any(axis=1)), [len(meta)]))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                rows, bits = meta[a:b, 4:], told[a:b]  # of one block and role
+                if place != (now := tuple(meta[a, :3])):
                     place, outer = now, []
-                if rows[0, 3] == 0:
+                if meta[a, 3] == 0:
                     outer.append((rows, bits))
                     continue
                 if len(outer) > 1:
                     outer = [tuple(np.concatenate(c) for c in zip(*outer))]
                 for others, held in outer:
-                    least, most = np.minimum(rows[:, None, 5], others[None, :, 5]), np.maximum(rows[:, None, 5], others[None, :, 5])
-                    p, q = np.nonzero((rows[:, None, 6] != others[None, :, 6]) & (100 * least >= percent * most))
-                    agreed = (bits[p] == held[q]).sum(axis=1) >= LEAST_AGREED
-                    found.append(np.stack((rows[p[agreed], 4], others[q[agreed], 4]), axis=1))
-            pairs = np.sort(np.concatenate(found), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                    for pairs in _near(rows, bits, others, held, percent):
+                        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return run
 
 
-def _crowded_pairs(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def _crowded_pairs(rows: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components in crowded bands: members outside of the largest component meet all, in blocks."""
     rows = rows.withColumn("is", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("js", F.ceil(F.col("outside") / BLOCK).cast("int"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -213,7 +243,7 @@ def _crowded_pairs(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFr
     columns = ["key", "i", "j", "role", "cid", "n", "root"]
     inner = rows.withColumn("i", own("is")).withColumn("j", spread("js")).withColumn("role", F.lit(1))
     outer = rows.filter("root <> major").withColumn("j", own("js")).withColumn("i", spread("is")).withColumn("role", F.lit(0))
-    placed = inner.select(*columns).unionByName(outer.select(*columns)).join(sketches, "cid").select(*columns, "sketch")
+    placed = inner.select(*columns).unionByName(outer.select(*columns)).join(bits, "cid").select(*columns, "bits")
     laid = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role")
     return laid.mapInArrow(_agreeing(percent), "a long, b long")
 
@@ -240,11 +270,12 @@ def _met(rows: DataFrame) -> DataFrame:
 
 
 def class_links(classes: DataFrame, texts, percent: int = PERCENT, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """``(node, root)`` of the classes ``(cid, n, keys, sketch)`` that are linked to others.
+    """``(node, root)`` of the classes ``(cid, n, keys)`` that are linked to others.
 
-    ``texts`` gives the ``(node, text)`` of a table of ``cid``."""
+    ``texts`` gives the ``(node, text, bits)`` of a table of ``cid``."""
     met = _met(classes.select(F.explode("keys").alias("key"), "cid", "n"))
-    bodies = materialize(texts(met.select("cid").distinct()), "bodies")
+    found = materialize(texts(met.select("cid").distinct()), "bodies")
+    bodies, bits = found.select("node", "text"), found.select(F.col("node").alias("cid"), "bits")
     tried, links, later = None, None, []
     for level in (1, 2):
         pairs = materialize(_pivots(met, percent), "pivots")
@@ -254,7 +285,7 @@ def class_links(classes: DataFrame, texts, percent: int = PERCENT, small: int =
         rows = _open(met, roots)
         dense = (F.col("m") > small) & (F.col("outside") > block) if level == 1 else F.lit(False)
         later.append(_small_pairs(rows.filter(F.col("m") <= small), percent))
-        later.append(_crowded_pairs(rows.filter((F.col("m") > small) & ~dense), classes.select("cid", "sketch"), percent))
+        later.append(_crowded_pairs(rows.filter((F.col("m") > small) & ~dense), bits, percent))
         if level == 2 or (crowd := rows.filter(dense)).isEmpty():
             break
         met = _met(_finer(crowd))
@@ -279,18 +310,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("sketches are made for similarities of 85 in 100 and more")
     kind = docs.schema[id_col].dataType.simpleString()
     raw = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("__text"))
-    marked = materialize(raw.mapInArrow(_sketched, f"__id {kind}, n_shingles long, digest binary, keys array<long>, sketch binary"), "sketched")
+    marked = materialize(raw.mapInArrow(_sketched, f"__id {kind}, n_shingles long, digest binary, keys array<long>"), "sketched")
     able = marked.filter("__id IS NOT NULL AND n_shingles > 0")
-    classes = able.groupBy("digest").agg(F.min("__id").alias("least"), F.count(F.lit(1)).alias("rows"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    classes = able.groupBy("digest").agg(F.min("__id").alias("least"), F.count(F.lit(1)).alias("rows"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("cid"), "*"), "classes")
 
     def texts(wanted: DataFrame) -> DataFrame:
         ids = classes.join(wanted, "cid", "left_semi").select(F.col("cid").alias("node"), "digest", F.col("least").alias("__id"))
         rows = join_checked(raw, materialize(ids, "wanted"), "__id", "inner").select("node", "digest", "__text")
         # rows that repeat an id may have other texts, or the same again
-        return rows.mapInArrow(_of_digest, "node long, text binary").groupBy("node").agg(F.first("text").alias("text"))
+        return rows.mapInArrow(_of_digest, "node long, text binary, bits binary").groupBy("node").agg(F.first("text").alias("text"), F.first("bits").alias("bits"))
 
-    roots = class_links(classes.select("cid", "n", "keys", "sketch"), texts, percent, small, block).select(F.col("node").alias("cid"), "root")
+    roots = class_links(classes.select("cid", "n", "keys"), texts, percent, small, block).select(F.col("node").alias("cid"), "root")
     rooted = materialize(classes.select("cid", "digest", "least", "rows").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "rooted")
     least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "least")
     n_classes, n_rows = rooted.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
