@@ -45,6 +45,8 @@ WORST, MISS_COST = 3, 4
 FIT_TOXIC, FIT_CLEAN = 400, 1000
 #: A sentence's words nearest to any landmark, among which its worst is looked for, and turns at most.
 NEAREST, TURNS = 12, 8
+#: Letters of a long word, and of the pieces in which it is judged.
+LONG, PIECE = 32, 16
 #: Words whose scores a worker remembers.
 KNOWN_WORDS = 400_000
 
@@ -289,9 +291,19 @@ def _curve(x: np.ndarray, y: np.ndarray, clean_weight: float = 1.0, rounds: int
     return float(c[0] - slope * x.mean()), slope, leak
 
 
+def pieces(word: str) -> list[str]:
+    """The word itself, or the overlapping pieces of a long one, so that no score grows with a word's length.
+
+    What lies within half a piece and a letter is whole in one of them. Only the first piece has the
+    mark, so an insult inside of a long word has less of its kernel value."""
+    if len(word) <= LONG:
+        return [word]
+    return [word[k : k + PIECE] for k in range(0, len(word) - PIECE // 2, PIECE // 2)]
+
+
 def sentence(text: str | None) -> set[str]:
-    """A text's distinct words as letters."""
-    return {w for t in tokens(text or "") if (w := letters(t))}
+    """A text's distinct words as letters, long ones in pieces."""
+    return {p for t in tokens(text or "") if (w := letters(t)) for p in pieces(w)}
 
 
 def _features(words: list[str], names: list[str], dense: np.ndarray) -> np.ndarray:

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import zlib
 
 from hypothesis import given, settings
@@ -144,6 +145,23 @@ def test_toxicity_odd_rows(spark):
     assert [r.predicted for r in T.score_toxicity(far, m).orderBy("doc_id").collect()] == [0, 1, 0]
 
 
+def test_long_words_are_judged_in_pieces():
+    """The score of a word does not grow with its length; an insult inside of a long one counts."""
+    rng = random.Random(8)
+    plain = [f"{a}{b}" for a in "mar ten lo sin dor pal".split() for b in "vek tun ris ola em".split()]
+    toxic = [{f"^{w}" for w in [*rng.sample(plain, 8), "slugface", "rotbrained"][: 9 + k % 2]} for k in range(120)]
+    clean = [{f"^{w}" for w in rng.sample(plain, 9)} for _ in range(240)]
+    model = T.fit(toxic, clean, 0.3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    junk = ["".join(rng.choice(letters) for _ in range(n)) for n in (50, 500, 5000, 5000)]
+    runs = ["".join(rng.choice(plain) for _ in range(300)) for _ in range(40)]
+    assert (model.scores(junk) < 0.7).all() and (model.scores(runs) >= 0.7).mean() <= 0.05
+    assert (model.scores([r[:500] + "slugfaceslugface" + r[500:] for r in runs]) >= 0.7).mean() >= 0.9
+    word = "".join(rng.choice(letters) for _ in range(1000))
+    assert all(any(word[k : k + 9] in p for p in T.pieces(word)) for k in range(992))
+    assert T.pieces("a" * T.LONG) == ["a" * T.LONG] and max(map(len, T.pieces(word))) == T.PIECE
+
+
 def test_held_out_accuracy(spark, sf_dir):
     path = sf_dir.replace("sf0.001", "sf0.1")
     got = {r.doc_id: r for r in T.op5_toxicity(spark, path).collect()}
