@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import random
 import time
 from html.parser import HTMLParser
 
@@ -111,6 +112,18 @@ def test_one_lost_record_is_one_row_and_prunes_the_rest(spark):
     assert len(levels) >= 3 and files.count() == 1 and bad.count() < 400
 
 
+@pytest.mark.parametrize("block", [W.BLOCK, 40])
+def test_audit_tells_orders_apart(spark, block):
+    """Orders with the same neighbours, and with the same runs, differ; the same order again does not."""
+    rng = random.Random(4)
+    long = [f"r{rng.randrange(6)}" for _ in range(300)]
+    moved = long[:100] + long[150:200] + long[100:150] + long[200:]
+    orders = {0: ("xbxcx", "xcxbx"), 1: ("xxbxx", "xxbxx"), 2: (long, moved), 3: ("aabb", "abab"), 4: ("x" * 500, "x" * 500)}
+    leaves = [spark.createDataFrame([(f, k * 10, r, 6, f"h{r}") for f, o in orders.items() for k, r in enumerate(o[side])], "file int, offset long, record_id string, length long, hash string") for side in (0, 1)]
+    got = W.audit(*leaves, block=block).collect()
+    assert sorted((r.file, r.kind) for r in got) == [(0, "reordered"), (2, "reordered"), (3, "reordered")]
+
+
 def test_audit_odd_rows(spark):
     kind = "file int, record_id int, offset long, length long, hash string, kind int"
     a = spark.createDataFrame([(0, 1, 0, None, None, 1), (0, 2, 9, 1, "x", 1), (0, 2, 9, 1, "x", 1), (None, 3, 0, 1, "y", 1), (1, None, 0, 1, "p", 1), (1, None, 5, 1, "q", 1)], kind)
