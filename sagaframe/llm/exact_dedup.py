@@ -29,7 +29,7 @@ BLOCK_ROWS = 1 << BLOCK_BITS
 def salted_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bits: int = BLOCK_BITS, digest=None) -> DataFrame:
     """Stages 1 and 2: ``(__uid, __key, __sha, __text, __best, __n, __rows)``, a row per text and salt, written once."""
     key = (digest or (lambda c: F.sha2(c, 256)))(F.col("__text"))
-    others = F.struct(*[F.col(c) for c in docs.columns if c != text_col], F.col(text_col).isNull().alias("__null"))
+    others = F.struct(F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("of"), F.col(text_col).isNull().alias("null"))
     salt = F.shiftrightunsigned(F.monotonically_increasing_id(), block_bits)
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), others.alias("__row"), salt.alias("__salt"))
     salted = rows.withColumn("__key", key).groupBy("__key", "__salt", "__text").agg(F.max("__id").alias("__best"), F.count(F.lit(1)).alias("__n"), F.collect_list("__row").alias("__rows"))
@@ -59,10 +59,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if only_kept:
         told = told.filter(F.col("__best").eqNullSafe(F.col("__keep")))
     rows = told.select("__sha", "__text", "__keep", "__size", F.explode("__rows").alias("__row"))
-    stays = F.col("__keep").eqNullSafe(F.col("__row")[id_col])
+    stays = F.col("__keep").eqNullSafe(F.col("__row.of")[id_col])
     if only_kept:
         rows = rows.filter(stays)
-    own = [(F.when(~F.col("__row.__null"), F.col("__text")) if c == text_col else F.col("__row")[c]).alias(c) for c in docs.columns if c not in added]
+    own = [(F.when(~F.col("__row.null"), F.col("__text")) if c == text_col else F.col("__row.of")[c]).alias(c) for c in docs.columns if c not in added]
     return rows.select(*own, F.col("__keep").alias("keep_id"), F.col("__size").alias("group_size"), stays.alias("kept"), F.col("__sha").alias("text_sha256"))
 
 

@@ -15,6 +15,10 @@ from .common import join_checked, materialize, table, words_of
 #: Characters that count as symbols (fixed by the contract).
 SYMBOLS = "#*$%&|<>"
 
+#: Columns that ``document_counts`` adds, and those that the verdicts add.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+VERDICTS = ("host_docs", "host_fails", "host_rate", "host_failed", "kept")
+
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
@@ -29,14 +33,17 @@ def _repeat_words(words: Column, n: Column) -> Column:
 
 
 def document_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+    """Replace the text by n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
 
-    Windows are compared by a 64-bit hash of their three words within one document.
+    Windows are compared by a 64-bit hash of their three words within one document. Other columns
+    stay, whatever their names, but for those with the names of the added ones.
     """
+    others = [c for c in docs.columns if c != text_col and c not in COUNTS]
+    row = (F.struct(*others) if others else F.lit(None)).alias("__row")
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     step = docs.select(
-        *[c for c in docs.columns if c != text_col],
+        row,
         words_of(F.col(text_col)).alias("__w"),
         F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -51,14 +58,15 @@ def document_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     p = F.col("__p")
     covered = F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0), lambda a, b: a + b)
     out = step.select(
-        *[c for c in docs.columns if c != text_col],
+        "__row",
         F.size(w).cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
-    return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    return out.select(*[F.col("__row")[c].alias(c) for c in others], *COUNTS[:-1], failed.alias("base_failed"))
 
 
 def host_verdicts(checked: DataFrame, host_col: str, max_fail_rate: float = 0.5, weak_prior: float = 2.0) -> DataFrame:
@@ -84,13 +92,15 @@ def host_verdicts(checked: DataFrame, host_col: str, max_fail_rate: float = 0.5,
 def quality_rules(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_fail_rate: float = 0.5) -> DataFrame:
     """Counts, base verdict, host figures and ``kept`` for every document.
 
-    A null text has no words and fails the base rule. Documents without a host have no host
+    A null text has no words and fails the base rule; a text may be of any length, and is counted
+    within its row; an empty table gives no rows. Documents without a host have no host
     verdict: the base verdict alone decides. Copies and repeated rows are judged like any
     other row and count in their host. Columns of the input stay, but for the text and those
     with the names of the added columns.
     """
-    added = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_docs", "host_fails", "host_rate", "host_failed", "kept"}
-    source = docs.select(*[c for c in docs.columns if c not in added or c in (host_col, text_col)])
+    if host_col in (*COUNTS, *VERDICTS):
+        raise ValueError(f"{host_col} is the name of an added column")
+    source = docs.select(*[c for c in docs.columns if c not in VERDICTS or c == text_col])
     checked = materialize(document_counts(source, text_col), "quality")
     verdicts = host_verdicts(checked, host_col, max_fail_rate)
     joined = join_checked(checked, verdicts, host_col, "left")

@@ -59,20 +59,23 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     Rows come dealt over the shuffle partitions by ``shuffle_key`` and sorted by it, which is
     a random order of the mixture. Rows that repeat an id get the same count; a null id is
     hashed as the word null; null sources are one source; a null text has no characters.
-    Columns named like the added ones are replaced. An empty table gives no rows.
+    Columns named like the added ones are replaced, others stay whatever their names. Texts may be of
+    any length; one is repeated as a whole. An empty table gives no rows.
     """
     added = ("copy", "rate", "shuffle_key")
     rates = source_rates(docs, source_col, text_col, weights, alpha)
     if rates.count() <= BROADCAST_ROWS:
         rates = F.broadcast(rates)
+    kept = [c for c in docs.columns if c not in added]
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    u = (_hashed(F.lit(str(seed)), ident) + 0.5) / F.lit(float(2**52))
-    kept = docs.select(*[c for c in docs.columns if c not in added])
-    rated = kept.join(rates, kept[source_col].eqNullSafe(rates["src"])).withColumn("__n", F.size(F.filter("cdf", lambda c: c < u)))
-    copies = rated.filter("__n > 0").select(*kept.columns, "rate", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
-    keyed = copies.withColumn("shuffle_key", _hashed(F.lit(str(seed)), ident, F.col("copy").cast("string")))
+    rows = docs.select(F.struct(*kept).alias("__row"), F.col(source_col).alias("__src"), F.col(id_col).alias("__id"), ident.alias("__ident"))
+    u = (_hashed(F.lit(str(seed)), F.col("__ident")) + 0.5) / F.lit(float(2**52))
+    rated = rows.join(rates, F.col("__src").eqNullSafe(F.col("src"))).withColumn("__n", F.size(F.filter("cdf", lambda c: c < u)))
+    copies = rated.filter("__n > 0").select("__row", "__id", "__ident", "rate", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
+    keyed = copies.withColumn("shuffle_key", _hashed(F.lit(str(seed)), F.col("__ident"), F.col("copy").cast("string")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key", id_col, "copy")
+    dealt = keyed.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key", "__id", "copy")
+    return dealt.select(*[F.col("__row")[c].alias(c) for c in kept], "rate", "copy", "shuffle_key")
 
 
 def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
