@@ -193,8 +193,8 @@ def _equal_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.shape[-1] * 64 - np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def _near(rows: np.ndarray, bits: np.ndarray, others: np.ndarray, held: np.ndarray, percent: int) -> Iterator[np.ndarray]:
-    """Pairs of nodes of ``rows`` and ``others`` (node, size, root) in different components whose bits are equal enough."""
+def _near(rows: np.ndarray, bits: np.ndarray, others: np.ndarray, held: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in ``rows`` and ``others`` (node, size, root) of pairs in different components whose bits are equal enough."""
     first = FIRST // 64
     step = max(1, 4 * CHUNK_PAIRS // len(others))
     for k in range(0, len(rows), step):
@@ -205,11 +205,13 @@ def _near(rows: np.ndarray, bits: np.ndarray, others: np.ndarray, held: np.ndarr
         for at in range(0, len(p), CHUNK_PAIRS):
             i, j = p[at : at + CHUNK_PAIRS], q[at : at + CHUNK_PAIRS]
             same = _equal_bits(bits[k + i], held[j]) >= LEAST_FINE
-            yield np.sort(np.stack((x[i[same], 0], others[j[same], 0]), axis=1), axis=1)
+            yield k + i[same], j[same]
 
 
 def _agreeing(percent: int):
-    """Take rows (key, i, j, role, cid, n, root, bits), the outer members of a block first; give pairs that agree enough."""
+    """Take rows (key, i, j, role, cid, n, root, bits, bands), the outer members of a block first; give pairs that agree enough.
+
+    ``bands`` are a member's keys by band, 0 where it is in no crowded one. A pair that shares several is given in the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, outer = None, []
@@ -218,18 +220,24 @@ def _agreeing(percent: int):
                 continue
             meta = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(7)], axis=1)
             told = np.frombuffer(b"".join(batch.column(7).to_pylist()), dtype=np.uint64).reshape(-1, FINE // 64)
+            bands = batch.column(8).flatten().to_numpy().reshape(len(meta), -1)
             cuts = np.concatenate(([0], 1 + np.flatnonzero((meta[1:, :4] != meta[:-1, :4]).any(axis=1)), [len(meta)]))
             for a, b in zip(cuts[:-1], cuts[1:]):
-                rows, bits = meta[a:b, 4:], told[a:b]  # of one block and role
+                rows, bits, keys = meta[a:b, 4:], told[a:b], bands[a:b]  # of one block and role
                 if place != (now := tuple(meta[a, :3])):
                     place, outer = now, []
                 if meta[a, 3] == 0:
-                    outer.append((rows, bits))
+                    outer.append((rows, bits, keys))
                     continue
                 if len(outer) > 1:
                     outer = [tuple(np.concatenate(c) for c in zip(*outer))]
-                for others, held in outer:
-                    for pairs in _near(rows, bits, others, held, percent):
+                for others, held, theirs in outer:
+                    for x, y in _near(rows, bits, others, held, percent):
+                        if keys.shape[1]:
+                            shared = (keys[x] == theirs[y]) & (keys[x] != 0)
+                            first = keys[x, shared.argmax(axis=1)] == meta[a, 0]
+                            x, y = x[first], y[first]
+                        pairs = np.sort(np.stack((rows[x, 0], others[y, 0]), axis=1), axis=1)
                         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return run
@@ -241,9 +249,13 @@ def _crowded_pairs(rows: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
     columns = ["key", "i", "j", "role", "cid", "n", "root"]
+    of = F.map_from_entries(F.collect_list(F.when(F.col("band") >= 0, F.struct("band", "key"))))  # as many as there are bands
+    held = rows.groupBy("cid").agg(of.alias("of"))
+    by_band = F.when(F.size("of") > 0, F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.coalesce(F.element_at("of", b), F.lit(0).cast("long")))).otherwise(F.array().cast("array<long>"))
+    told = bits.join(held.select("cid", by_band.alias("bands")), "cid")
     inner = rows.withColumn("i", own("is")).withColumn("j", spread("js")).withColumn("role", F.lit(1))
     outer = rows.filter("root <> major").withColumn("j", own("js")).withColumn("i", spread("is")).withColumn("role", F.lit(0))
-    placed = inner.select(*columns).unionByName(outer.select(*columns)).join(bits, "cid").select(*columns, "bits")
+    placed = inner.select(*columns).unionByName(outer.select(*columns)).join(told, "cid").select(*columns, "bits", "bands")
     laid = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role")
     return laid.mapInArrow(_agreeing(percent), "a long, b long")
 
@@ -257,23 +269,23 @@ def _open(met: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _finer(rows: DataFrame) -> DataFrame:
-    """Bands joined two by two."""
+    """Bands joined two by two; they have no place among the bands."""
     held = rows.groupBy("cid", "n").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # as many as there are bands
     two = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))
-    return held.select(F.explode(two).alias("key"), "cid", "n")
+    return held.select(F.lit(-1).alias("band"), F.explode(two).alias("key"), "cid", "n")
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    """Rows ``(key, cid, n)`` of bands that hold more than one member, with their number ``m``."""
+    """Rows ``(band, key, cid, n)`` of bands that hold more than one member, with their number ``m``."""
     sizes = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "sizes")
-    return materialize(join_checked(rows, sizes, "key", "inner"), "met")
+    return materialize(rows.join(sizes, "key"), "met")
 
 
 def class_links(classes: DataFrame, texts, percent: int = PERCENT, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """``(node, root)`` of the classes ``(cid, n, keys)`` that are linked to others.
 
     ``texts`` gives the ``(node, text, bits)`` of a table of ``cid``."""
-    met = _met(classes.select(F.explode("keys").alias("key"), "cid", "n"))
+    met = _met(classes.select(F.posexplode("keys").alias("band", "key"), "cid", "n"))
     found = materialize(texts(met.select("cid").distinct()), "bodies")
     bodies, bits = found.select("node", "text"), found.select(F.col("node").alias("cid"), "bits")
     tried, links, later = None, None, []
@@ -317,7 +329,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def texts(wanted: DataFrame) -> DataFrame:
         ids = classes.join(wanted, "cid", "left_semi").select(F.col("cid").alias("node"), "digest", F.col("least").alias("__id"))
-        rows = join_checked(raw, materialize(ids, "wanted"), "__id", "inner").select("node", "digest", "__text")
+        rows = raw.join(ids, "__id").select("node", "digest", "__text")
         # rows that repeat an id may have other texts, or the same again
         return rows.mapInArrow(_of_digest, "node long, text binary, bits binary").groupBy("node").agg(F.first("text").alias("text"), F.first("bits").alias("bits"))
 
