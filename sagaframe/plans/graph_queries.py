@@ -8,10 +8,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import stored_graph as SG
 from ..sources import files
+from ..sources.versions import Store
 from ..storage import shared_dir
 from . import model as M
-from .registry import query
+from .registry import ORACLES, query
 
 
 def _starts(spark, d):
@@ -281,6 +283,43 @@ def merge_edges(spark, d):
     return G.last_write(rows, ["src", "rel_type", "tgt"], _ORDER, ["chapter", "description"])
 
 
+ENTITIES = SG.Kind("entities", "label string, name string, description string, flag string, first_order bigint", ["label", "name"], ["description"], ["flag"], ["first_order"])
+RELATIONS = SG.Kind("relations", "src string, rel_type string, tgt string, chapter int, description string", ["src", "rel_type", "tgt"], ["chapter", "description"])
+
+
+def stored_graph(spark, d):
+    """Line items, in three batches by order, merged into stored entities and relations, one commit a batch."""
+    store = Store(spark, f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}")
+    rows = writes(spark, d).withColumn("label", G.safe_label(F.col("kind"))).withColumn("first_order", F.col("l_orderkey")).withColumn("src", F.col("name"))
+    last = M.table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0] or 0
+    for k in range(3):
+        batch = rows.filter((F.col("l_orderkey") > (k * last // 3 if k else -1)) & (F.col("l_orderkey") <= (k + 1) * last // 3))
+        SG.merge_graph(store, [(ENTITIES, batch, _ORDER), (RELATIONS, batch.filter(F.col("rel_type").isin(G.RELATIONS)), _ORDER)])
+    return store
+
+
+@query("merge_entities_in_batches", ORACLES["merge_entities"])
+def merge_entities_in_batches(spark, d):
+    return stored_graph(spark, d).read("entities", ENTITIES.types)
+
+
+@query("merge_edges_in_batches", ORACLES["merge_edges"])
+def merge_edges_in_batches(spark, d):
+    return stored_graph(spark, d).read("relations", RELATIONS.types)
+
+
+@query("table_commits", f"""SELECT k::INT AS version, count(DISTINCT name) AS entities, count(DISTINCT CASE WHEN rel_type <> 'LIKES' THEN name || rel_type || tgt END) AS relations
+    FROM {_WRITES}, range(1, 4) r(k), (SELECT max(o_orderkey) AS last FROM orders) WHERE l_orderkey <= k * last // 3 GROUP BY k""")
+def table_commits(spark, d):
+    """What each commit of the stored graph holds: readers of an older one are not disturbed by the next."""
+    store, out = stored_graph(spark, d), None
+    for v in store.versions():
+        sizes = [store.read(k.name, k.types, v).agg(F.count(F.lit(1)).alias(k.name)) for k in (ENTITIES, RELATIONS)]
+        row = sizes[0].crossJoin(sizes[1]).select(F.lit(v).alias("version"), "entities", "relations")  # two single rows
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("dedup_edges", f"SELECT name AS src, rel_type, tgt, chapter, arg_min_null(description, {_SEQ}) AS description FROM {_WRITES} GROUP BY ALL")
 def dedup_edges(spark, d):
     rows = writes(spark, d).withColumnRenamed("name", "src")

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..operators import aliases as A
 from ..operators import documents, evaluation, ledger
 from ..sources.files import read_or_empty, replace_table
+from ..sources.versions import Store
 from ..storage import broadcast_checked, shared_dir
-from ..streaming import ingest
+from ..streaming import changes
 from . import model as M
 from .registry import query
 
@@ -37,19 +38,38 @@ _AGAIN = "(SELECT file_path, task_id, content || CASE WHEN regexp_extract(task_i
 _AGAIN_SCENE = [M.CTE[t][1].replace("FROM dialogue)", f"FROM {_AGAIN})").replace("FROM line)", "FROM again_line)") for t in ("line", "scene")]
 
 
-@query("ingest_run", f"WITH again_line AS ({_AGAIN_SCENE[0]}), again_scene AS ({_AGAIN_SCENE[1]}), {M.sql_chunks('again_scene', 'c')} SELECT c.file_path, pos, title, md5(text) AS text_hash, md5(content) AS content_hash FROM c JOIN {_AGAIN} a ON c.file_path = a.file_path", "dialogue")
-def ingest_run(spark, d):
-    """Dialogues as files, taken in by the stream; then a third comes edited and a third as it was, and the stream runs again."""
+_NAMED = r"task=([^/]+)/name=([^/]+)/[^/]+$"
+
+
+def _ingested(spark, d, left: int):
+    """Dialogues as files, taken in; then the folder is written anew: a third edited, the others as they were
+    (of three kinds by number, ``left`` are still there). What has changed is taken in; gives the store."""
     root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    number = F.regexp_extract("task_id", r"^\d+", 0).cast("int")
+    store, number = Store(spark, f"{root}/store"), F.regexp_extract("task_id", r"^\d+", 0).cast("int")
     first = M.dialogues(spark, d)
-    again = first.filter(number % 3 < 2).withColumn("content", F.when(number % 3 == 0, F.concat("content", F.lit("\n## edit\nuser：edited"))).otherwise(F.col("content")))
+    again = first.filter(number % 3 < left).withColumn("content", F.when(number % 3 == 0, F.concat("content", F.lit("\n## edit\nuser：edited"))).otherwise(F.col("content")))
     for some in (first, again):
-        some.select(F.col("content").alias("value"), F.col("task_id").alias("task"), F.substring_index("file_path", "/", -1).alias("name")).write.mode("append").partitionBy("task", "name").text(f"{root}/files")
-        run = ingest.ingest_stream(spark, f"{root}/files", "part-*", f"{root}/ledger", f"{root}/chunks", f"{root}/state", layout=r"task=([^/]+)/name=([^/]+)/[^/]+$")
-        run.awaitTermination()
-    tracked = read_or_empty(spark, f"{root}/ledger", ingest.TRACKING).select("file_path", "content_hash")
-    return ingest.ingested(spark, f"{root}/chunks").join(tracked, "file_path").select("file_path", "pos", "title", F.md5("text").alias("text_hash"), "content_hash")
+        files = some.select(F.col("content").alias("value"), F.col("task_id").alias("task"), F.substring_index("file_path", "/", -1).alias("name"))
+        files.write.mode("overwrite").partitionBy("task", "name").text(f"{root}/files")
+        changes.ingest_changes(spark, f"{root}/files", store, "part-*", _NAMED)
+    return store
+
+
+@query("ingest_run", f"WITH again_line AS ({_AGAIN_SCENE[0]}), again_scene AS ({_AGAIN_SCENE[1]}), {M.sql_chunks('again_scene', 'c')} SELECT c.file_path, pos, title, md5(text) AS text_hash, md5(content) AS content_hash FROM c JOIN {_AGAIN} a ON c.file_path = a.file_path", "dialogue")
+def ingest_run(spark, d):
+    """Dialogues as files, taken in; then a third is edited in place, and what has changed is taken in."""
+    store = _ingested(spark, d, 3)
+    tracked = store.read("ledger", changes.LEDGER).select("file_path", "content_hash")
+    return store.read("chunks", changes.PIECES).join(tracked, "file_path").select("file_path", "pos", "title", F.md5("text").alias("text_hash"), "content_hash")
+
+
+@query("ingest_deletions", f"WITH again_line AS ({_AGAIN_SCENE[0]}), again_scene AS ({_AGAIN_SCENE[1]}), {M.sql_chunks('again_scene', 'c')} SELECT a.file_path, md5(a.content) AS content_hash, count(*) AS chunks FROM c JOIN {_AGAIN} a ON c.file_path = a.file_path WHERE regexp_extract(a.task_id, '^\\d+')::INT % 3 < 2 GROUP BY ALL", "dialogue")
+def ingest_deletions(spark, d):
+    """As ``ingest_run``, with a third of the files deleted: the ledger, held against the chunks that are left."""
+    store = _ingested(spark, d, 2)
+    counts = store.read("chunks", changes.PIECES).groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
+    ledger = store.read("ledger", changes.LEDGER).join(counts, "file_path", "full_outer")
+    return ledger.select("file_path", "content_hash", F.when(F.col("n") == F.col("chunks"), F.col("n")).alias("chunks"))
 
 
 @query("tracking_roundtrip", f"SELECT file_path, content_hash FROM tracking WHERE file_path NOT IN (SELECT file_path FROM {_CHANGED}) UNION ALL SELECT file_path, content_hash FROM {_CHANGED}", "file", "tracking")

@@ -26,9 +26,9 @@ def tool_lookup_knowledge(spark, d):
 _PAIR = f"SELECT '{A}' AS start, '{B}' AS \"end\""
 
 
-@query("tool_find_connection", _paths_sql(_PAIR, "edge", 3) + f" SELECT p.start, p.\"end\", {_CHAIN} AS chain, hops FROM p JOIN reached r ON p.start = r.start AND p.\"end\" = r.node", "edge")
+@query("tool_find_connection", _paths_sql(_PAIR, "edge", 4) + f" SELECT p.start, p.\"end\", {_CHAIN} AS chain, hops FROM p JOIN reached r ON p.start = r.start AND p.\"end\" = r.node", "edge")
 def tool_find_connection(spark, d):
-    return memory(spark, d).find_connection(A, B, 3).select("start", "end", "chain", "hops")
+    return memory(spark, d).find_connection(A, B).select("start", "end", "chain", "hops")
 
 
 @query("tool_get_timeline", f"SELECT src AS entity, tgt AS item, rel_type, n.chapter FROM edge JOIN node n ON tgt = n.name AND n.label = 'Event' WHERE src = '{A}' AND rel_type = 'INVOLVED_IN' UNION ALL SELECT src, tgt, rel_type, chapter FROM edge WHERE src = '{A}' AND chapter IS NOT NULL AND NOT EXISTS (SELECT 1 FROM edge e WHERE e.src = '{A}' AND e.rel_type = 'INVOLVED_IN')", "edge", "node")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHAPTERS, STORIES = "chapter*_dialogue.txt", "story.txt"
@@ -10,15 +10,15 @@ CHAPTERS, STORIES = "chapter*_dialogue.txt", "story.txt"
 LAYOUT = r"([^/]+)/([^/]+)$"
 
 
-def files_of(raw: DataFrame, layout: str = LAYOUT) -> DataFrame:
-    """``(file_path, task_id, content)`` of whole texts ``value`` with their ``_metadata``.
+def files_of(raw: DataFrame, layout: str = LAYOUT, *more: Column) -> DataFrame:
+    """``(file_path, task_id, content)`` of whole texts ``value`` with their ``_metadata``, and ``more`` columns.
 
     ``layout`` takes the task and the file's name from the path. A byte-order mark and carriage
     returns are dropped; this holds for a batch and for a stream alike, so hashes agree."""
     path = F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
     task = F.regexp_extract(path, layout, 1)
     content = F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), "\r\n?", "\n")
-    return raw.select(F.concat_ws("/", task, F.regexp_extract(path, layout, 2)).alias("file_path"), task.alias("task_id"), content.alias("content"))
+    return raw.select(F.concat_ws("/", task, F.regexp_extract(path, layout, 2)).alias("file_path"), task.alias("task_id"), content.alias("content"), *more)
 
 
 def scan(spark: SparkSession, path: str, pattern: str = CHAPTERS, recursive: bool = True, layout: str = LAYOUT, blank: bool = False) -> DataFrame:
