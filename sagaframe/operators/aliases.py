@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import broadcast_checked
+from .patterns import similar_pairs
 
 TYPES = ["Character", "Faction", "Place", "Item", "Concept", "Event"]
 FUZZY_CUTOFF = 0.7
@@ -76,17 +77,15 @@ def resolve_fuzzy(names: DataFrame, entries: DataFrame, name_col: str = "name",
     """As ``resolve`` with ``fold_case``; a name without an alias goes to the closest canonical name,
     among those of its type if there are any.
 
-    Each distinct name is compared once, and only with names whose length and letters allow the
-    cutoff: two strings cannot be more alike than the letters they share."""
+    Each distinct name is compared once, and only with names that share enough letters: two strings
+    cannot be more alike than the letters they share."""
     known = resolve(names, entries, name_col, True, told=True).withColumn("_kind", F.col(type_col) if type_col else F.lit(None).cast("string"))
     dictionary = entries.select("canonical", "entity_type").distinct()
     kinds = dictionary.select(F.col("entity_type").alias("_kind"), F.lit(True).alias("_typed")).distinct()
     rest = known.filter("NOT told").select(F.col(name_col).alias("_name"), "_kind").distinct().join(broadcast_checked(kinds), "_kind", "left")
-    letters = lambda c: F.array_distinct(F.split(c, ""))
-    n, m = F.length("_name"), F.length("canonical")
-    near = (2 * F.least(n, m) >= cutoff * (n + m)) & (F.col("_typed").isNull() | (F.col("_kind") == F.col("entity_type")))
-    pairs = rest.join(broadcast_checked(dictionary), near).select("_name", "_kind", "canonical").distinct()
-    pairs = pairs.filter(F.size(F.array_intersect(letters(F.col("_name")), letters(F.col("canonical")))) > 0)
+    close = similar_pairs(rest.select(F.col("_name").alias("name")), dictionary.select(F.col("canonical").alias("other")), cutoff)
+    pairs = rest.join(close, F.col("_name") == F.col("name")).join(dictionary, F.col("other") == F.col("canonical"))
+    pairs = pairs.filter(F.col("_typed").isNull() | (F.col("_kind") == F.col("entity_type"))).select("_name", "_kind", "canonical").distinct()
     scored = pairs.withColumn("r", F.pandas_udf(_likeness, "double")("_name", "canonical")).filter(F.col("r") >= cutoff)
     best = scored.groupBy("_name", "_kind").agg(F.max_by("canonical", F.struct("r", "canonical")).alias("_close"))
     joined = known.join(broadcast_checked(best), (F.col(name_col) == F.col("_name")) & known["_kind"].eqNullSafe(best["_kind"]), "left")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .patterns import containing
 
 #: Header forms (fixed values).
 TITLE = r"^#\s*(.+?)\s*-\s*第(\d+)章[：:](.+)$"
@@ -160,9 +161,9 @@ def order_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def mentions(chunks: DataFrame, aliases: DataFrame) -> DataFrame:
-    """``(id, canonical)``: entities of which an alias is in the chunk's text. The dictionary is
-    configuration of bounded size, so it is broadcast."""
-    return chunks.join(F.broadcast(aliases), F.col("text").contains(F.col("alias"))).select("id", "canonical").distinct()
+    """``(id, canonical)``: entities of which an alias is in the chunk's text."""
+    found = containing(chunks, aliases.select(F.col("alias").alias("pattern"))).withColumnRenamed("pattern", "alias")
+    return found.join(aliases.select("alias", "canonical").distinct(), "alias").select("id", "canonical").distinct()
 
 
 def enrich(chunks: DataFrame, aliases: DataFrame) -> DataFrame:

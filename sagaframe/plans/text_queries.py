@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import aliases as A
 from ..operators import bm25, documents, vectors
+from ..operators.patterns import containing, similar_pairs
 from ..storage import shared_dir
 from . import model as M
 from .registry import query
@@ -126,6 +127,25 @@ def entities_mentioned(spark, d):
     return documents.mentions(chunks(spark, d), M.aliases(spark))
 
 
+@query("benchmark_word_mentions", """WITH word AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[^A-Za-zÀ-ÿ]+')) AS w FROM benchmark)
+    SELECT doc_id, count(*) AS words FROM documents JOIN (SELECT w FROM word WHERE length(w) >= 6) ON contains(text, w) GROUP BY doc_id""")
+def benchmark_word_mentions(spark, d):
+    """Documents against a large dictionary: how many of the long words of all benchmark texts are in each."""
+    words = M.table(spark, d, "benchmark").select(F.explode(F.split("text", "[^A-Za-zÀ-ÿ]+")).alias("pattern")).filter(F.length("pattern") >= 6)
+    return containing(M.table(spark, d, "documents"), words, "doc_id").groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("words"))
+
+
+@query("similar_parts", """WITH c AS (SELECT p_partkey, p_name, list_filter(string_split(p_name, ''), lambda x: x <> '') AS l FROM part WHERE p_partkey % 100 = 0),
+    p AS (SELECT DISTINCT p_name AS other, list_filter(string_split(p_name, ''), lambda x: x <> '') AS m FROM part),
+    a AS (SELECT name, list_sort(list(x || '-' || k)) AS la, count(*) AS n FROM (SELECT name, x, row_number() OVER (PARTITION BY name, x) AS k FROM (SELECT DISTINCT p_name AS name, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM c)) GROUP BY name),
+    b AS (SELECT name AS other, list(x || '-' || k) AS lb, count(*) AS n FROM (SELECT name, x, row_number() OVER (PARTITION BY name, x) AS k FROM (SELECT other AS name, unnest(m) AS x, generate_subscripts(m, 1) AS i FROM p)) GROUP BY name)
+    SELECT name, other FROM a JOIN b ON 2 * len(list_intersect(la, lb)) >= 0.9 * (a.n + b.n)""")
+def similar_parts(spark, d):
+    """Of every hundredth part, the parts whose names share nine tenths of their letters."""
+    parts = M.table(spark, d, "part")
+    return similar_pairs(parts.filter("p_partkey % 100 = 0").select(F.col("p_name").alias("name")), parts.select(F.col("p_name").alias("other")), 0.9)
+
+
 @query("enrich_chunks", f"""WITH m AS ({_MENTIONS}), e AS (SELECT id, string_agg(canonical, ',' ORDER BY canonical) AS e FROM m GROUP BY id)
     SELECT s.id, event_order, array_to_string(c, ',') AS characters, coalesce(e, '') AS entities, regexp_matches(text, '(?m)^##?\\s*选项|^-\\s+.+$') AS has_choice, length(text)::BIGINT AS n_chars
     FROM {_SPEAKERS} s LEFT JOIN e ON s.id = e.id""", "chunk", "alias")

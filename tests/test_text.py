@@ -140,3 +140,35 @@ def test_vocabulary_numbers(spark):
     known = spark.createDataFrame([(f"t{k}", k % 7) for k in range(500)], "term string, df long").repartition(6)
     got = [(r.term, r.df) for r in bm25.vocabulary(known).orderBy("idx").collect()]
     assert got == sorted(got, key=lambda x: (-x[1], x[0])) and {r.idx for r in bm25.vocabulary(known).collect()} == set(range(500))
+
+
+def test_many_patterns(spark):
+    """Overlapping, nested, repeated, empty and null patterns, in one automaton and in several."""
+    from sagaframe.operators.patterns import containing
+
+    texts = [(1, "she sells 白云山 shells"), (2, ""), (3, None), (4, "hers"), (4, "usher"), (None, "he")]
+    words = ["he", "she", "hers", "her", "白云", "云山", "", None, "x", "sells", "sell", "he"]
+    rows, patterns = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(w,) for w in words], "pattern string")
+    want = sorted(((i, w) for i, t in texts for w in {*words} if t is not None and w is not None and w in t), key=repr)
+    for shard in (200_000, 4):
+        found = containing(rows, patterns, shard=shard)
+        assert sorted(map(tuple, found.collect()), key=repr) == want
+    assert containing(rows, patterns.filter("false")).count() == 0
+
+
+def test_similar_pairs_match_brute_force(spark):
+    import random
+    from collections import Counter
+
+    from sagaframe.operators.patterns import similar_pairs
+
+    rng = random.Random(6)
+    some = lambda n: ["".join(rng.choice("abcdeé云") for _ in range(rng.randrange(0, 9))) for _ in range(n)]
+    a, b = [*some(80), None, "", "aaaa"], [*some(120), None, "", "aaa", "aaaa"]
+    left, right = spark.createDataFrame([(x,) for x in a], "name string"), spark.createDataFrame([(x,) for x in b], "other string")
+    for cutoff in (0.5, 0.7, 0.9, 1.0):
+        want = {(x, y) for x in a for y in b if x and y and 2 * (Counter(x) & Counter(y)).total() >= cutoff * (len(x) + len(y)) - 1e-9}
+        got = similar_pairs(left, right, cutoff)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
