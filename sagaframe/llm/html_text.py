@@ -30,6 +30,8 @@ _DECLARED = re.compile(r"(?<![\w-])(display|visibility|content-visibility)\s*:\s
 #: Levels to which lists are indented and tables in tables aligned, columns that spans may take, and
 #: the width to which columns are padded: beyond these, text is kept but not laid out.
 DEEPEST, WIDEST_SPAN, WIDEST_COLUMN = 30, 200, 200
+#: Characters of padding that a page's tables may have for each character of the page, and besides.
+MOST_PADDING, LEAST_PADDING = 8, 20_000
 
 # Names and nesting rules of HTML (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -144,7 +146,8 @@ class _Canvas:
 
 
 class _Table:
-    def __init__(self) -> None:
+    def __init__(self, padding: list[int]) -> None:
+        self.padding = padding  # what all tables of the page may still use
         self.rows: list[list[tuple[int, int, list[str]]]] = []  # column, columns spanned, lines
         self.next = 0
         self.taken: dict[int, int] = {}  # column, and the last row that a cell from above reaches into it
@@ -166,13 +169,15 @@ class _Table:
         self.next += columns
 
     def lines(self) -> list[str]:
-        """Cells padded to their column's width; a cell of several lines makes the row higher."""
+        """Cells padded to their column's width; a cell of several lines makes the row higher. A table that would
+        take more padding than is left in proportion to the page is not padded."""
         width: list[int] = []
         for row in self.rows:
             for at, span, cell in row:
                 width += [0] * (at + span - len(width))
                 if span == 1:
                     width[at] = min(max(width[at], max(map(len, cell), default=0)), WIDEST_COLUMN)
+        left = self.padding[0]
         out = []
         for row in self.rows:
             for k in range(max((len(cell) for *_, cell in row), default=0)):
@@ -182,11 +187,16 @@ class _Table:
                     parts.append((cell[k] if k < len(cell) else "").ljust(sum(width[at : at + span]) + 3 * (span - 1)))
                     done = at + span
                 out.append(" | ".join(parts).rstrip(" "))
+                left -= sum(map(len, parts)) - sum(len(cell[k]) for *_, cell in row if k < len(cell))
+                if left < 0:
+                    return [" | ".join(cell[k] if k < len(cell) else "" for *_, cell in row).rstrip(" ") for row in self.rows for k in range(max((len(cell) for *_, cell in row), default=0))]
+        self.padding[0] = left
         return out
 
 
 class _Renderer:
-    def __init__(self) -> None:
+    def __init__(self, size: int) -> None:
+        self.padding = [LEAST_PADDING + MOST_PADDING * size]
         self.open: list[tuple[str, bool, bool]] = []  # element, whether it is hidden itself, and whether its parent is veiled
         self.hidden = 0
         self.veiled = False  # hidden by visibility, which an element within can undo
@@ -273,7 +283,7 @@ class _Renderer:
         if tag in BLOCK:
             self._break(tag)
         if tag == "table":
-            self.tables.append(_Table() if len(self.tables) < DEEPEST else None)
+            self.tables.append(_Table(self.padding) if len(self.tables) < DEEPEST else None)
         elif tag == "tr" and self.tables and self.tables[-1]:
             self.tables[-1].row()
         elif tag in ("td", "th") and self.tables and self.tables[-1]:
@@ -369,7 +379,8 @@ class _Renderer:
 
 def render(page: str | None) -> str:
     """The visible text of a page; of a null or empty page, an empty text. The time is in proportion to the page."""
-    out, at, page = _Renderer(), 0, page or ""
+    page = page or ""
+    out, at = _Renderer(len(page)), 0
     paired = "\"'"  # quotes that may still have a partner
     while at < len(page):
         m = _MARKUP.match(page, at)

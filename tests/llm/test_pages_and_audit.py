@@ -88,6 +88,19 @@ def _leaves(spark, rows):
     return W.lay_out(spark.createDataFrame(rows, "file int, page_id int, record string"), "file", "page_id", ["page_id"])
 
 
+def test_padding_is_in_proportion():
+    """A page of wide columns and cells that span them all."""
+    page = "<table><tr>" + "".join(f"<td>{'x' * 200}" for _ in range(200)) + "".join(f"<tr><td colspan=199>a{k}<td>b{k}" for k in range(1000)) + "</table>"
+    got = H.render(page)
+    assert len(got) < 20 * len(page) < 2_000_000 and all(f"a{k} | b{k}" in got for k in range(1000))
+    wide = "<table><tr><td>" + "x" * 150 + "<td>y</table>"
+    for _ in range(25):
+        wide = f"<table><tr><td>{wide}<td>z<tr><td>a<td>b<tr><td colspan=2>c</table>"
+    assert len(H.render(wide)) < 20 * len(wide) + 20_000
+    small = H.render("<table><tr><td>name<td>n<tr><td>a longer one<td>1</table>")
+    assert small == "name         | n\na longer one | 1"
+
+
 @pytest.mark.parametrize("block", [300, W.BLOCK])
 def test_audit_finds_what_differs(spark, block):
     rows = [(f, k, "r" * (k % 40) + str(k)) for f in range(3) for k in range(60)]
