@@ -29,10 +29,10 @@ def _norm(sorted_terms: Column) -> Column:
     return F.aggregate(sorted_terms, start, step, lambda a: F.sqrt(a["sum"] + add(a)))
 
 
-def tokenised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, t, dl, norm)``: a document's terms in order, their number and the norm of their lexical weights."""
+def tokenised(docs: DataFrame, id_col: str, text_col: str, norm: bool = True) -> DataFrame:
+    """``(id, t, dl, norm)``: a document's terms in order, their number and the norm of their lexical weights (null without ``norm``)."""
     found = docs.select(F.col(id_col).alias("id"), F.sort_array(T.tokens(F.col(text_col))).alias("t"))
-    return found.select("id", "t", F.size("t").cast("long").alias("dl"), _norm(F.col("t")).alias("norm"))
+    return found.select("id", "t", F.size("t").cast("long").alias("dl"), (_norm(F.col("t")) if norm else F.lit(None).cast("double")).alias("norm"))
 
 
 def counted(rows: DataFrame, among: DataFrame | None = None) -> DataFrame:
@@ -56,8 +56,9 @@ class Index:
         return written(counted(self.docs, among), "postings")
 
 
-def index(docs: DataFrame, id_col: str, text_col: str) -> Index:
-    rows = written(tokenised(docs, id_col, text_col), "tokenised")
+def index(docs: DataFrame, id_col: str, text_col: str, norm: bool = True) -> Index:
+    """An index; without ``norm`` for BM25 alone."""
+    rows = written(tokenised(docs, id_col, text_col, norm), "tokenised")
     return Index(rows, rows.agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("dl") / F.count(F.lit(1))).alias("avg_dl")))
 
 
@@ -119,7 +120,7 @@ def score(queries: DataFrame, postings: DataFrame) -> DataFrame:
 def search(ix: Index, queries: DataFrame, id_col: str, text_col: str, pool: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """BM25 and lexical scores ``(q, id, score)`` of the documents for query texts, those in ``pool(id)`` only if given.
 
-    Terms are weighted by the whole corpus. Only postings of the queries' terms are weighted and joined."""
+    Terms are weighted by the whole corpus; lexical scores are null if the index has no norms. Only postings of the queries' terms are weighted and joined."""
     asked = written(counted(tokenised(queries, id_col, text_col)), "asked")
     hits = ix.postings(asked)
     model = fit(hits, ix.size)

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aliases as A
-from ..operators import documents, evaluation, ledger
+from ..operators import documents, evaluation, extraction, ledger
 from ..sources.files import read_or_empty, replace_table
 from ..sources.versions import Store
 from ..storage import broadcast_checked, shared_dir
@@ -111,6 +111,19 @@ def extract_actions(spark, d):
     return ledger.actions(M.files(spark, d), M.tracking(spark, d), M.cache(spark, d)).select("file_path", "action")
 
 
+@query("extract_run", f"""SELECT f.file_path, a.action, f.content_hash, coalesce(c.payload, 'found ' || length(d.text)) AS payload
+    FROM file f JOIN {_ACTIONS} a ON f.file_path = a.file_path JOIN documents d ON f.seq = d.doc_id LEFT JOIN (SELECT * FROM cached WHERE raw) c ON f.content_hash = c.content_hash""", "file", "tracking", "cached")
+def extract_run(spark, d):
+    """A run over all files: what the cache lacks is extracted, once for each content, and cached; then the ledger is brought up to date."""
+    store = Store(spark, f"{shared_dir(spark)}/extraction-{uuid.uuid4().hex}", 4)
+    store.replace("cache", M.cache(spark, d), ["content_hash"])
+    store.replace("ledger", M.tracking(spark, d).select("file_path", "content_hash", "task_id", F.current_timestamp().alias("last_processed")), ["file_path"])
+    files = M.files(spark, d).join(M.table(spark, d, "documents").select(F.col("doc_id").alias("seq"), "text"), "seq").select("file_path", "task_id", F.col("text").alias("content"))
+    done = extraction.extract_run(store, files, lambda c: c.select("content_hash", F.concat(F.lit("found "), F.length("content").cast("string")).alias("payload")))
+    now = store.read("ledger", extraction.LEDGER).select("file_path", "content_hash")
+    return done.join(now, ["file_path", "content_hash"]).select("file_path", "action", "content_hash", "payload")
+
+
 @query("rebuild_tracking", f"SELECT action, count(*) AS n FROM {_ACTIONS} GROUP BY action", "file", "tracking", "cached")
 def rebuild_tracking(spark, d):
     return ledger.actions(M.files(spark, d), M.tracking(spark, d), M.cache(spark, d)).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
@@ -163,6 +176,15 @@ def eval_summary(spark, d):
     return grades(spark, d).agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.avg("total"), F.lit(0.0)), 6).alias("mean_total"), F.count_if(F.col("total") >= evaluation.PASS_MARK).alias("passed"))
 
 
+@query("eval_results", f"SELECT doc_id, total, 'labels' AS label, (SELECT count(*) FROM labels) AS n FROM {_GRADE}")
+def eval_results(spark, d):
+    """Grades, written with their summary and read back."""
+    rows = grades(spark, d).select("doc_id", "total")
+    folder = evaluation.write_results(rows, "labels", f"{shared_dir(spark)}/results-{uuid.uuid4().hex}", "20240101-000000")
+    back, summary = evaluation.read_results(rows, folder)
+    return back.crossJoin(F.broadcast(summary.select("label", F.col("count").alias("n"))))  # the summary is a single row
+
+
 # -- traces: events as tool calls, users as runs --------------------------------------------------
 
 _ITER = "(SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY day)::INT AS iteration, calls FROM (SELECT user_id, ts::DATE AS day, count(*) AS calls FROM events GROUP BY user_id, ts::DATE))"

@@ -410,8 +410,8 @@ def tokenize(spark, d):
     return docs(spark, d).select("doc_id", F.size(t).cast(LONG).alias("n"), F.size(F.array_distinct(t)).cast(LONG).alias("distinct_terms")).filter("n > 0")
 
 
-def index(spark, d):
-    return bm25.index(docs(spark, d), "doc_id", "text")
+def index(spark, d, norm=False):
+    return bm25.index(docs(spark, d), "doc_id", "text", norm)
 
 
 def fitted(spark, d):
@@ -423,7 +423,7 @@ def fitted(spark, d):
 
 @query("bm25_tf", "SELECT doc_id, term, tf FROM tf", "tf")
 def bm25_tf(spark, d):
-    return bm25.counted(bm25.tokenised(docs(spark, d), "doc_id", "text")).select(F.col("id").alias("doc_id"), "term", "tf")
+    return bm25.counted(bm25.tokenised(docs(spark, d), "doc_id", "text", False)).select(F.col("id").alias("doc_id"), "term", "tf")
 
 
 @query("bm25_fit", "SELECT term, df, round(idf, 6) AS idf FROM df", "df")

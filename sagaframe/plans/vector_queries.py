@@ -79,7 +79,7 @@ def channels(spark, d):
     items = M.table(spark, d, "benchmark")
     asked = items.select(F.col("item_id").alias("id")).join(points(spark, d), "id").select(F.col("id").alias("q"), "embedding")
     near = vectors.dense_topk(asked, points(spark, d), QUOTAS[0]).select("q", "id", "score")
-    sparse, lexical = (s.withColumn("score", F.round("score", 6)) for s in bm25.search(index(spark, d), items, "item_id", "text"))
+    sparse, lexical = (s.withColumn("score", F.round("score", 6)) for s in bm25.search(index(spark, d, True), items, "item_id", "text"))
     return [("dense", near), ("bm25", sparse), ("lexical", lexical)]
 
 
