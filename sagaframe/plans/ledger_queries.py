@@ -12,7 +12,7 @@ from ..operators import documents, evaluation, extraction, ledger
 from ..sources.files import read_or_empty, replace_table
 from ..sources.versions import Store
 from ..storage import broadcast_checked, shared_dir
-from ..streaming import changes
+from ..streaming import changes, traces
 from . import model as M
 from .registry import query
 
@@ -210,6 +210,26 @@ def trace_flatten(spark, d):
     return back.select("t.run", F.explode("t.calls").alias("c")).select("c.event_id", "run", "c.tool", F.round("c.duration", 6).alias("duration"))
 
 
+@query("trace_stream", f"""WITH e AS (SELECT *, epoch_ms(ts) AS ms FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+    m AS (SELECT *, CASE WHEN lag(event_type) OVER w = 'purchase' OR ms - lag(ms) OVER w > {traces.GAP} THEN 1 ELSE 0 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    k AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM m),
+    t AS (SELECT user_id AS run, no, arg_min(event_id, (ts, event_id)) AS first_event, count(*) AS calls, sum(least(length(props), 6000))::BIGINT AS output_chars, round(sum(value), 4) AS duration,
+                 max(CASE WHEN event_type = 'purchase' THEN substr(props, 1, 2000) END) AS answer, bool_or(event_type = 'purchase') AS done, max(ms) AS last, no = max(no) OVER (PARTITION BY user_id) AS newest FROM k GROUP BY user_id, no)
+    SELECT run, first_event, calls, output_chars, duration, answer, CASE WHEN done THEN 'done' ELSE 'in_progress' END AS status
+    FROM t WHERE done OR NOT newest OR last + {traces.GAP} < (SELECT max(ms) FROM e) - 3600000""")
+def trace_stream(spark, d):
+    """Traces that a purchase ends, from events that come in three parts; the stream is started anew for each."""
+    root, events = f"{shared_dir(spark)}/traces-{uuid.uuid4().hex}", M.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    for k in range(3):
+        low, high = (first + (last - first) * x // 3 for x in (k, k + 1))
+        at = F.unix_micros("ts")
+        events.filter((at >= low if not k else at > low) & (at <= high)).write.mode("append").parquet(f"{root}/events")
+        run = traces.trace_stream(spark.readStream.schema(events.schema).parquet(f"{root}/events"), "purchase", f"{root}/traces", f"{root}/state")
+        run.awaitTermination()
+    return spark.read.schema(traces.TRACE).parquet(f"{root}/traces").select("run", "first_event", "calls", "output_chars", F.round("duration", 4).alias("duration"), "answer", "status")
+
+
 @query("agent_routing", f"""SELECT run, iteration, ran, skipped, total_calls, CASE WHEN calls = 0 THEN 'answer' WHEN total_calls >= 20 OR iteration >= 6 THEN 'force_answer' ELSE 'continue' END AS route
     FROM (SELECT *, least(calls, 5) AS ran, calls - least(calls, 5) AS skipped, sum(least(calls, 5)) OVER (PARTITION BY run ORDER BY iteration)::BIGINT AS total_calls FROM {_ITER})""")
 def agent_routing(spark, d):
