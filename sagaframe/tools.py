@@ -11,6 +11,7 @@ from .functions import text as T
 from .operators import aliases as A
 from .operators import bm25, vectors
 from .operators import graph as G
+from .storage import written
 
 
 @dataclass
@@ -80,28 +81,35 @@ class Memory:
         edges = self.edges.filter(F.col("rel_type").isin(kinds)) if kinds else self.edges
         return G.subgraph(edges, self._start(entity), depth, max_nodes)
 
+    def _candidates(self, index: bm25.Index, pool: DataFrame, text: str, most: int) -> DataFrame:
+        """``(q, id)`` of the chunks of ``pool`` that are among a channel's best."""
+        spark = pool.sparkSession
+        sparse, lexical = bm25.search(index, spark.createDataFrame([(0, text)], "id int, text string"), "id", "text", pool)
+        found = [("bm25", sparse), ("lexical", lexical)]
+        if self.points is not None and self.embed is not None:
+            probe = spark.createDataFrame([(0, self.embed(text))], "q int, embedding array<float>")
+            found.insert(0, ("dense", vectors.dense_topk(probe, self.points.join(pool.select("id"), "id", "left_semi"), most).select("q", "id", "score")))
+        return vectors.best_per_id(vectors.fuse(found, [most] * len(found))).select("q", "id")
+
     def search_memory(self, query: str, characters: list[str] | None = None, sort_by: str = "relevance", limit: int = 5, candidates: int = 6) -> DataFrame:
-        """Chunks by the fused channels, reranked. With characters, chunks that mention them; if
-        there are none, chunks in which they speak; if there are none, all chunks."""
+        """Chunks by the fused channels, reranked. With characters, chunks that mention one of them by any of its
+        names; if that finds nothing, chunks in which they speak; if that finds nothing, all chunks, asked with the
+        characters' names put before the query. The reranker always compares with the query itself."""
         if not 1 <= limit <= 20 or sort_by not in ("relevance", "time"):
             raise ValueError("limit must be 1 to 20 and sort_by relevance or time")
-        pool = self.chunks
+        asked = [(self.chunks, query)]
         if characters:
-            names = F.array(*[F.lit(n) for c in characters for n in {c, self._canonical(c)}])
-            for column in ("entities", "characters"):
-                some = self.chunks.filter(F.arrays_overlap(F.col(column), names))
-                if not some.isEmpty():
-                    pool = some
-                    break
-        spark = pool.sparkSession
-        asked = spark.createDataFrame([(0, query)], "id int, text string")
-        sparse, lexical = bm25.search(bm25.index(self.chunks, "id", "text"), asked, "id", "text", pool)
-        found = [("bm25", sparse), ("lexical", lexical)]
-        if self.points is not None and self.embed is not None:
-            probe = spark.createDataFrame([(0, self.embed(query))], "q int, embedding array<float>")
-            found.insert(0, ("dense", vectors.dense_topk(probe, self.points.join(pool.select("id"), "id", "left_semi"), candidates).select("q", "id", "score")))
-        best = vectors.best_per_id(vectors.fuse(found, [candidates] * len(found)))
-        texts = best.select("q", "id").join(pool, "id").withColumn("score", vectors.overlap_score(T.tokens(F.lit(query)), T.tokens(F.col("text"))))
+            known = [self._canonical(c) for c in characters]
+            told = A.all_names(self.aliases).filter(F.col("canonical").isin(known)).select(F.explode("names")).collect()  # of the names asked for
+            names = F.array(*[F.lit(n) for n in dict.fromkeys([*characters, *known, *(r[0] for r in told)])])
+            pools = [self.chunks.filter(F.arrays_overlap(F.col(c), names)) for c in ("entities", "characters")]
+            asked = [*((p, query) for p in pools), (self.chunks, " ".join([*known, query]))]
+        index = bm25.index(self.chunks, "id", "text")
+        for pool, text in asked:
+            best = written(self._candidates(index, pool, text, candidates), "candidates")
+            if not best.isEmpty():
+                break
+        texts = best.join(pool, "id").withColumn("score", vectors.overlap_score(T.tokens(F.lit(query)), T.tokens(F.col("text"))))
         top = vectors.top_k(texts, limit)
         return top.orderBy("event_order", "id") if sort_by == "time" else top.orderBy("rank")
 

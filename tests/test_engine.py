@@ -171,3 +171,19 @@ def test_search_is_a_plain_search(spark):
     share = {k: len(set(q) & set(terms[k])) / len(set(q)) for k in best}
     want = sorted(best, key=lambda k: (-share[k], str(k)))[:4]
     assert [int(r.id) for r in found.collect()] == want
+
+
+def test_search_memory_falls_back(spark):
+    """Chunks that mention an entity by any name, else those it speaks in, else all with its name in the query; the dense channel takes part."""
+    rows = [("1", "red fox runs", ["Kay"], ["Fox"], 3), ("2", "blue fox sits", ["Fox"], [], 2), ("4", "nothing here", [], ["Owl"], 4)]
+    chunks = spark.createDataFrame(rows, "id string, text string, characters array<string>, entities array<string>, event_order long")
+    aliases = spark.createDataFrame([("s", "Fox", "Fox", "Vulpes", "Character"), ("s", "Owl", "Owl", "Bubo", "Character")], "scope string, key string, canonical string, alias string, entity_type string")
+    nodes = spark.createDataFrame([("Character", "Fox", None, None)], "label string, name string, description string, chapter int")
+    memory = Memory(nodes, None, aliases, chunks)
+    ask = lambda m, *a, **k: [r.id for r in m.search_memory(*a, **k).collect()]
+    assert ask(memory, "fox", ["Vulpes"]) == ["1"]  # by an alias of the mentioned entity
+    assert ask(memory, "fox", ["Kay"]) == ["1"]  # nobody mentions Kay, who speaks
+    assert ask(memory, "fox", ["Owl"]) == ["1", "2"]  # what mentions the owl has no hit
+    points = spark.createDataFrame([("1", [1.0, 0.0]), ("2", [0.0, 1.0]), ("4", [0.5, 0.5])], "id string, embedding array<float>")
+    dense = Memory(nodes, None, aliases, chunks, points, lambda text: [1.0, 0.0])
+    assert ask(dense, "unknown words", ["Owl"]) == ["4"]  # the dense channel finds what the filter lets through
