@@ -6,6 +6,7 @@ its own row. Whatever asks for some terms takes these only, before anything is c
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,9 +30,16 @@ def _norm(sorted_terms: Column) -> Column:
     return F.aggregate(sorted_terms, start, step, lambda a: F.sqrt(a["sum"] + add(a)))
 
 
-def tokenised(docs: DataFrame, id_col: str, text_col: str, norm: bool = True) -> DataFrame:
+#: From rows ``(id, text)`` to ``(id, terms)``: another tokenizer than ``functions.text.tokens``.
+Cut = Callable[[DataFrame], DataFrame]
+
+
+def tokenised(docs: DataFrame, id_col: str, text_col: str, norm: bool = True, cut: Cut | None = None) -> DataFrame:
     """``(id, t, dl, norm)``: a document's terms in order, their number and the norm of their lexical weights (null without ``norm``)."""
-    found = docs.select(F.col(id_col).alias("id"), F.sort_array(T.tokens(F.col(text_col))).alias("t"))
+    if cut is None:
+        found = docs.select(F.col(id_col).alias("id"), F.sort_array(T.tokens(F.col(text_col))).alias("t"))
+    else:
+        found = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", F.sort_array("terms").alias("t"))
     return found.select("id", "t", F.size("t").cast("long").alias("dl"), (_norm(F.col("t")) if norm else F.lit(None).cast("double")).alias("norm"))
 
 
@@ -47,19 +55,20 @@ def counted(rows: DataFrame, among: DataFrame | None = None) -> DataFrame:
 
 @dataclass
 class Index:
-    """Tokenised documents and the one-row table ``(n_docs, avg_dl)``."""
+    """Tokenised documents, the one-row table ``(n_docs, avg_dl)`` and the tokenizer, which queries need too."""
 
     docs: DataFrame
     size: DataFrame
+    cut: Cut | None = None
 
     def postings(self, among: DataFrame | None = None) -> DataFrame:
         return written(counted(self.docs, among), "postings")
 
 
-def index(docs: DataFrame, id_col: str, text_col: str, norm: bool = True) -> Index:
+def index(docs: DataFrame, id_col: str, text_col: str, norm: bool = True, cut: Cut | None = None) -> Index:
     """An index; without ``norm`` for BM25 alone."""
-    rows = written(tokenised(docs, id_col, text_col, norm), "tokenised")
-    return Index(rows, rows.agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("dl") / F.count(F.lit(1))).alias("avg_dl")))
+    rows = written(tokenised(docs, id_col, text_col, norm, cut), "tokenised")
+    return Index(rows, rows.agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("dl") / F.count(F.lit(1))).alias("avg_dl")), cut)
 
 
 def fit(postings: DataFrame, size: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -121,7 +130,7 @@ def search(ix: Index, queries: DataFrame, id_col: str, text_col: str, pool: Data
     """BM25 and lexical scores ``(q, id, score)`` of the documents for query texts, those in ``pool(id)`` only if given.
 
     Terms are weighted by the whole corpus; lexical scores are null if the index has no norms. Only postings of the queries' terms are weighted and joined."""
-    asked = written(counted(tokenised(queries, id_col, text_col)), "asked")
+    asked = written(counted(tokenised(queries, id_col, text_col, cut=ix.cut)), "asked")
     hits = ix.postings(asked)
     model = fit(hits, ix.size)
     found = hits if pool is None else hits.join(pool.select("id").distinct(), "id", "left_semi")

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import aliases as A
-from ..operators import bm25, documents, vectors
+from ..operators import bm25, documents, segmentation, vectors
 from ..operators.patterns import containing, similar_pairs
-from ..storage import shared_dir
+from ..storage import shared_dir, written
 from . import model as M
 from .registry import query
 
@@ -467,3 +467,53 @@ _BM25 = f"(SELECT q, doc_id AS id, sum(weight.w * x.w) AS score FROM weight JOIN
 def sparse_topk(spark, d):
     scored = bm25.search(index(spark, d), M.table(spark, d, "benchmark"), "item_id", "text")[0]
     return vectors.top_k(scored.withColumn("score", F.round("score", 6)), 5).select("q", "id", "score")
+
+
+# -- texts without blanks ----------------------------------------------------------------------
+
+
+def _unbroken(table):
+    """A table's texts in small letters with the blanks taken out, so that words have to be found."""
+    return table.withColumn("text", F.regexp_replace(F.lower("text"), "[ \t]+", ""))
+
+
+_LETTERS = r"\p{L}"
+_GRAMS = r"""run AS (SELECT unnest(regexp_extract_all(regexp_replace(lower(text), '[ \t]+', '', 'g'), '[\p{L}]+')) AS r FROM documents),
+    gram AS (SELECT substr(r, i, k) AS gram, count(*) AS n FROM (SELECT r, unnest(range(1, length(r) + 1)) AS i FROM run), (SELECT unnest(range(1, 7)) AS k) WHERE i + k - 1 <= length(r) GROUP BY 1),
+    word AS (SELECT gram, n FROM gram WHERE n >= 20 AND length(gram) BETWEEN 2 AND 5)"""
+_BESIDE = """SELECT word.gram, ln(any_value(word.n)) - (coalesce(sum(x.n * ln(x.n)), 0) + CASE WHEN any_value(word.n) > coalesce(sum(x.n), 0) THEN (any_value(word.n) - coalesce(sum(x.n), 0)) * ln(any_value(word.n) - coalesce(sum(x.n), 0)) ELSE 0 END) / any_value(word.n) AS h
+    FROM word LEFT JOIN (SELECT CUT AS core, n FROM gram WHERE length(gram) > 1) x ON core = word.gram GROUP BY word.gram"""
+
+
+def learned_words(spark, d):
+    return segmentation.learn_words(_unbroken(docs(spark, d)), letters=_LETTERS, longest=5, min_count=20)
+
+
+@query("learn_words", f"""WITH {_GRAMS}, cuts AS (SELECT gram, n, unnest(range(1, length(gram))) AS k FROM word), cohesion AS (SELECT cuts.gram, min(cuts.n * t.every::DOUBLE / (a.n::DOUBLE * b.n)) AS c FROM cuts
+    JOIN gram a ON a.gram = substr(cuts.gram, 1, k) JOIN gram b ON b.gram = substr(cuts.gram, k + 1) CROSS JOIN (SELECT sum(n) AS every FROM gram WHERE length(gram) = 1) t GROUP BY cuts.gram)
+    SELECT word.gram AS word, n, round(c, 4) AS cohesion, CASE WHEN l.h < 5e-7 THEN 0 ELSE round(l.h, 6) END AS "left", CASE WHEN r.h < 5e-7 THEN 0 ELSE round(r.h, 6) END AS "right" FROM word JOIN cohesion ON word.gram = cohesion.gram
+    JOIN ({_BESIDE.replace("CUT", "substr(gram, 2)")}) l ON word.gram = l.gram JOIN ({_BESIDE.replace("CUT", "substr(gram, 1, length(gram) - 1)")}) r ON word.gram = r.gram""")
+def learn_words(spark, d):
+    """Every string of two to five letters that the documents, their blanks taken out, hold twenty times: how it holds together."""
+    plain = lambda h: F.when(F.col(h) < 5e-7, 0.0).otherwise(F.round(h, 6)).alias(h)  # noqa: E731  (no zero with a sign)
+    return learned_words(spark, d).select("word", "n", F.round("cohesion", 4).alias("cohesion"), plain("left"), plain("right"))
+
+
+def _dictionary(spark, d):
+    """Likely words of the documents and those of the exported user dictionary."""
+    return written(segmentation.dictionary(segmentation.user_words(user_dict(spark, d)), segmentation.likely_words(learned_words(spark, d))), "dictionary")
+
+
+@query("tokenize_dict")
+def tokenize_dict(spark, d):
+    """The documents' terms, found again after their blanks were taken out."""
+    terms = segmentation.segment(_unbroken(docs(spark, d)), _dictionary(spark, d), "doc_id", letters=_LETTERS)
+    return terms.select(F.col("id").alias("doc_id"), F.size("terms").cast(LONG).alias("n"), F.md5(F.array_join("terms", " ")).alias("terms_md5"))
+
+
+@query("segmented_topk")
+def segmented_topk(spark, d):
+    """BM25 over segmented texts: the five best documents for every question, both without blanks."""
+    ix = bm25.index(_unbroken(docs(spark, d)), "doc_id", "text", False, segmentation.cutter(_dictionary(spark, d), _LETTERS))
+    scored = bm25.search(ix, _unbroken(M.table(spark, d, "benchmark")), "item_id", "text")[0]
+    return vectors.top_k(scored.withColumn("score", F.round("score", 6)), 5).select("q", "id", "score")
