@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..storage import broadcast_checked, written
+from ..storage import broadcast_checked, spread, written
 
 K1, B = 1.2, 0.75
 
@@ -43,13 +43,16 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, norm: bool = True, cu
     return found.select("id", "t", F.size("t").cast("long").alias("dl"), (_norm(F.col("t")) if norm else F.lit(None).cast("double")).alias("norm"))
 
 
-def counted(rows: DataFrame, among: DataFrame | None = None) -> DataFrame:
+def counted(rows: DataFrame, among: DataFrame | None = None, uses: int | None = None) -> DataFrame:
     """Postings ``(id, term, tf, dl, norm)`` of tokenised documents, with ``among(term)`` of these terms only.
 
-    A document's terms are counted in its own task; the shuffle moves a row for each distinct one."""
+    A document's terms are counted in its own task; the shuffle moves a row for each distinct one. With the number of
+    ``uses`` of all terms, documents are dealt over as many tasks as these need, and the shuffle moves a row for each use."""
     each = rows.select("id", "dl", "norm", F.explode("t").alias("term"))
     if among is not None:
         each = each.join(broadcast_checked(among.select("term").distinct()), "term", "left_semi")
+    if uses is not None:
+        each = spread(each, uses, "id")
     return each.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"), F.first("norm").alias("norm"))
 
 
@@ -62,7 +65,8 @@ class Index:
     cut: Cut | None = None
 
     def postings(self, among: DataFrame | None = None) -> DataFrame:
-        return written(counted(self.docs, among), "postings")
+        uses = self.docs.agg(F.sum("dl")).first()[0] or 0
+        return written(counted(self.docs, among, uses), "postings")
 
 
 def index(docs: DataFrame, id_col: str, text_col: str, norm: bool = True, cut: Cut | None = None) -> Index:
@@ -118,12 +122,13 @@ def lexical(postings: DataFrame) -> DataFrame:
     return postings.select("id", "term", ((1 + F.ln("tf")) / F.col("norm")).alias("w"))
 
 
-def score(queries: DataFrame, postings: DataFrame) -> DataFrame:
-    """``(q, id, score)``: sparse dot products of queries ``(id, term, w)`` with postings.
+def score(queries: DataFrame, postings: DataFrame, rows: int) -> DataFrame:
+    """``(q, id, score)``: sparse dot products of queries ``(id, term, w)`` with postings, of which there are ``rows``.
 
-    Postings are laid out by document first: they are fewer than the pairs, which are then summed where they are made."""
+    Postings are laid out by document first: they are fewer than the pairs, which are then summed where they are made, in
+    as many tasks as the postings need."""
     q = broadcast_checked(queries.select(F.col("id").alias("q"), "term", F.col("w").alias("qw")))
-    return postings.repartition("id").join(q, "term").groupBy("q", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
+    return spread(postings, rows, "id").join(q, "term").groupBy("q", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
 
 
 def search(ix: Index, queries: DataFrame, id_col: str, text_col: str, pool: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -134,4 +139,5 @@ def search(ix: Index, queries: DataFrame, id_col: str, text_col: str, pool: Data
     hits = ix.postings(asked)
     model = fit(hits, ix.size)
     found = hits if pool is None else hits.join(pool.select("id").distinct(), "id", "left_semi")
-    return score(weights(asked, model), weights(found, model)), score(lexical(asked), lexical(found))
+    rows = hits.count()
+    return score(weights(asked, model), weights(found, model), rows), score(lexical(asked), lexical(found), rows)
