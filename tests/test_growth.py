@@ -5,6 +5,7 @@ import random
 import pytest
 
 from sagaframe import storage
+from sagaframe.operators import bm25
 from sagaframe.operators import graph as G
 from sagaframe.plans import graph_queries
 from sagaframe.plans import model as M
@@ -70,3 +71,28 @@ def test_causal_pairs_are_made_of_single_rows(spark, sf_dir):
         G.shortest_paths = keep
     text = plans[0]._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("Aggregate [tgt") == 1, text  # the last character of each motive comes before the join
+
+
+def test_ends_of_edges_are_looked_up_in_tasks_by_rows(spark, monkeypatch):
+    edges = spark.createDataFrame([(f"a{k}", "R", f"b{k % 7}", 1) for k in range(100)] + [(None, "R", "a1", 1)], TYPES)
+    nodes = spark.createDataFrame([(f"a{k}",) for k in range(99)] * 2 + [(f"b{k}",) for k in range(6)], "name string")
+    want = [sorted(map(repr, f(edges, nodes).collect())) for f in (G.bind, G.dangling)]
+    assert len(want[0]) == 99 - 14 and len(want[1]) == 1 + 1 + 14
+    monkeypatch.setattr(storage, "BROADCAST_NAMES", 3)
+    monkeypatch.setattr(storage, "TASK_ROWS", 5)
+    assert [sorted(map(repr, f(edges, nodes).collect())) for f in (G.bind, G.dangling)] == want
+    assert G.bind(edges, nodes).rdd.getNumPartitions() == 21
+
+
+def test_postings_and_scores_have_tasks_by_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"all word{k} word{k} more{k % 3}") for k in range(40)], "id int, text string")
+    asked = spark.createDataFrame([(0, "all word7"), (1, "more1")], "id int, text string")
+
+    def found():
+        return [s for s in bm25.search(bm25.index(docs, "id", "text"), asked, "id", "text")]
+
+    want = [sorted((r.q, r.id, round(r.score, 9)) for r in s.collect()) for s in found()]
+    monkeypatch.setattr(storage, "TASK_ROWS", 5)
+    both = found()
+    assert [sorted((r.q, r.id, round(r.score, 9)) for r in s.collect()) for s in both] == want
+    assert all(s.rdd.getNumPartitions() >= 11 for s in both)
