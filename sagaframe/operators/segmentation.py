@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import written
-from .patterns import SHARD
 
 HAN = r"\p{IsHan}"
 
@@ -24,8 +23,8 @@ HAN = r"\p{IsHan}"
 COUNTED = 500_000
 #: Places of a run that are counted before that number is looked at.
 STRETCH = 10_000
-
-_shards: dict[int, object] = {}
+#: Words in one trie.
+WORDS = 1_000_000
 
 
 # -- learning words --------------------------------------------------------------------------
@@ -112,20 +111,45 @@ def dictionary(*parts: DataFrame) -> DataFrame:
 # -- segmentation ----------------------------------------------------------------------------
 
 
-def _trie(shared):
-    """The prefix trie, with failure links, of a broadcast shard of the dictionary, built once by a worker."""
-    import ahocorasick
-
-    key, words, weights = shared.value
-    if key not in _shards:
-        _shards.clear()
-        found = ahocorasick.Automaton()
-        for word, weight in zip(words, weights):
-            found.add_word(word, (len(word), weight))
-        if words:
-            found.make_automaton()
-        _shards[key] = found if words else None
-    return _shards[key]
+def _trie(words: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A prefix trie in two arrays, 16 bytes a node: node k + 1 is entered from node ``keys[k] >> 21`` (0 is the root) by
+    the letter in the lower bits, and weighs ``values[k]`` (NaN: no word ends there). Nodes are numbered by depth, so keys rise."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    letters, begin = _letters("".join(words)), np.cumsum(size) - size
+    node, keys, values, depth = np.zeros(len(words), np.int64), [np.empty(0, np.int64)], [np.empty(0)], 0
+    count, left = 0, np.arange(len(words))
+    while len(left := left[size[left] > depth]):
+        found, at = np.unique(node[left] << 21 | letters[begin[left] + depth], return_inverse=True)
+        node[left] = at + count + 1
+        depth += 1
+        value, whole = np.full(len(found), np.nan), size[left] == depth
+        value[at[whole]] = weights[left[whole]]
+        keys.append(found)
+        values.append(value)
+        count += len(found)
+    return np.concatenate(keys), np.concatenate(values)
+
+
+def _letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+
+
+def _met(text: str, keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(ends, sizes, weights)`` of the words of a trie that are in a text; all places of a stretch go down the trie together."""
+    letters = _letters(text)
+    for begin in range(0, len(letters) if len(keys) else 0, STRETCH):
+        at = np.arange(begin, min(begin + STRETCH, len(letters)))
+        node, depth = np.zeros(len(at), np.int64), 0
+        while len(at):
+            key = node << 21 | letters[at + depth]
+            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[place] == key
+            at, place = at[hit], place[hit]
+            depth += 1
+            ends = ~np.isnan(values[place])
+            yield at[ends] + depth, np.full(np.count_nonzero(ends), depth), values[place[ends]]
+            more = at + depth < len(letters)
+            at, node = at[more], place[more] + 1
 
 
 def best_path(text: str, ends, sizes, weights, floor: float, inside: Callable[[str], Iterator]) -> list[str]:
@@ -169,18 +193,20 @@ def best_path(text: str, ends, sizes, weights, floor: float, inside: Callable[[s
     return [x for x in reversed(found) if x != "\n"]
 
 
-def segment(rows: DataFrame, words: DataFrame, id_col: str = "id", text_col: str = "text", letters: str = HAN, shortest: int = 2, shard: int = SHARD) -> DataFrame:
+def segment(rows: DataFrame, words: DataFrame, id_col: str = "id", text_col: str = "text", letters: str = HAN, shortest: int = 2, shard: int = WORDS) -> DataFrame:
     """``(id, terms)``: the terms of each text in small letters and in order, those of ``shortest`` letters or more.
 
     A trie finds the words of the dictionary ``words(word, n)`` at every place of a text in one reading; these make
     the text's lattice, and its most likely path (each word as likely as it is used) gives the terms. A letter
-    that is in no word is a unit of one use. A trie has at most ``shard`` words; a larger dictionary is dealt into shards, and the
-    lattice goes with its row through one step for each, without a shuffle. A row is kept whatever its text: null
-    and empty texts have no terms. Words of several blocks (with blanks or signs inside) are never met."""
+    that is in no word is a unit of one use. Words of several blocks (with blanks or signs inside) are never met, so they
+    count among the uses but are in no trie. A trie has at most ``shard`` words; a larger dictionary is dealt into shards,
+    and the rows are written with their lattice after each, so that a worker holds one trie whatever the dictionary. A row
+    is kept whatever its text: null and empty texts have no terms."""
     spark, kind = rows.sparkSession, rows.schema[id_col].dataType.simpleString()
-    size, total = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    words = words.filter(~F.col("word").rlike(rf"[^{letters}\p{{L}}\p{{N}}]"))
     floor = -math.log(max(1, total))
-    shards = max(1, -(-size // (shard * 3 // 4)))  # a quarter is left, as a hash deals unevenly
+    shards = max(1, -(-words.count() // (shard * 3 // 4)))  # a quarter is left, as a hash deals unevenly
     blocks = F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(rf"[{letters}\p{{L}}\p{{N}}]+"), F.lit(0))
     flow = rows.select(F.col(id_col).alias("id"), F.array_join(blocks, "\n").alias("s"))
     flow = flow.select("id", "s", F.array().cast("array<int>").alias("ends"), F.array().cast("array<int>").alias("sizes"), F.array().cast("array<double>").alias("weights"))
@@ -190,33 +216,32 @@ def segment(rows: DataFrame, words: DataFrame, id_col: str = "id", text_col: str
             import regex
 
             inside = regex.compile(rf"[^{letters}\n]+").finditer
-            trie = _trie(shared)
             for batch in batches:
                 # a row at a time, so that one lattice is held, not a batch's
                 for k in range(batch.num_rows):
-                    text, *lattice = (c[k].as_py() for c in batch.columns[1:])
-                    for end, (length, weight) in trie.iter(text) if trie is not None else ():
-                        for column, value in zip(lattice, (end + 1, length, weight)):
-                            column.append(value)
+                    text, held = batch.column(1)[k].as_py(), tuple(c[k].values.to_numpy() for c in batch.columns[2:])
+                    lattice = [np.concatenate(c) for c in zip(held, *_met(text, *shared.value))]
                     row = [batch.column(0).slice(k, 1)]
                     if last:
                         terms = [t for t in best_path(text, *lattice, floor, inside) if len(t) >= shortest]
                         yield pa.RecordBatch.from_arrays([*row, pa.array([terms], pa.list_(pa.string()))], names=["id", "terms"])
                     else:
-                        arrays = [pa.array([c], pa.list_(t)) for c, t in zip(lattice, (pa.int32(), pa.int32(), pa.float64()))]
+                        arrays = [pa.ListArray.from_arrays([0, len(c)], pa.array(c, t)) for c, t in zip(lattice, (pa.int32(), pa.int32(), pa.float64()))]
                         yield pa.RecordBatch.from_arrays([*row, batch.column(1).slice(k, 1), *arrays], names=["id", "s", "ends", "sizes", "weights"])
 
         return run
 
     for k in range(shards):
-        some = words.filter(F.pmod(F.xxhash64("word"), F.lit(shards)) == k).select("word", F.ln(F.col("n") / F.lit(float(max(1, total)))).alias("w")).collect()
-        names = [r.word for r in some]
-        shared = spark.sparkContext.broadcast((hash((k, shards, floor, tuple(names))), names, [r.w for r in some]))
+        some = words.filter(F.pmod(F.xxhash64("word"), F.lit(shards)) == k).select("word", F.ln(F.col("n") / F.lit(float(max(1, total)))).alias("w")).toArrow()
+        shared = spark.sparkContext.broadcast(_trie(some.column(0).to_pylist(), some.column(1).to_numpy()))
         last = k == shards - 1
         flow = flow.mapInArrow(step(shared, last), f"id {kind}, terms array<string>" if last else f"id {kind}, s string, ends array<int>, sizes array<int>, weights array<double>")
+        if not last:
+            flow = written(flow, "lattice")
+            shared.unpersist()
     return flow
 
 
-def cutter(words: DataFrame, letters: str = HAN, shard: int = SHARD) -> Callable[[DataFrame], DataFrame]:
+def cutter(words: DataFrame, letters: str = HAN, shard: int = WORDS) -> Callable[[DataFrame], DataFrame]:
     """A function from rows ``(id, text)`` to ``(id, terms)`` by this dictionary, as an index takes it."""
     return lambda rows: segment(rows, words, letters=letters, shard=shard)

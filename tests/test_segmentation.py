@@ -116,6 +116,32 @@ def test_a_planted_word_is_one_term_and_is_found(spark):
     assert [r.id for r in hits] == [0] and hits[0].score > 0
 
 
+def test_words_that_no_block_holds_are_in_no_trie_but_are_uses(spark, monkeypatch):
+    tries, keep = [], S._trie
+    monkeypatch.setattr(S, "_trie", lambda names, weights: tries.append(sorted(names)) or keep(names, weights))
+    signs = spark.range(300).selectExpr("concat('customer#', id) AS word", "9L AS n")
+    known = words(spark, 天地=7, 地玄黄=3).union(signs)
+    got = S.segment(texts(spark, "天地玄黄 customer#7"), known, shard=100).first().terms
+    assert got == brute("天地玄黄 customer#7", {"天地": 7, "地玄黄": 3, "customer#": 2700}, S.HAN)
+    assert tries == [["地玄黄", "天地"]]
+
+
+def test_shards_follow_one_another_in_stages_of_their_own(spark):
+    known = words(spark, 天地=7, 地玄=11, 天地玄=2, 玄黄=5, 宇宙=4, 洪荒=2)
+    plan = S.segment(texts(spark, "天地玄黄宇宙洪荒"), known, shard=4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1, plan  # chained, each shard's trie would be held beside the others'
+
+
+def test_trie_holds_its_words_in_two_arrays():
+    draw = random.Random(3)
+    known = {"".join(draw.choice("ab天\U0001f600") for _ in range(draw.randrange(1, 7))): draw.random() for _ in range(300)}
+    trie = S._trie(list(known), S.np.array(list(known.values())))
+    text = "".join(draw.choice("ab天\U0001f600c") for _ in range(25_000))
+    got = sorted((int(e), int(k), float(w)) for part in S._met(text, *trie) for e, k, w in zip(*part))
+    assert got == sorted((i + k, k, known[text[i : i + k]]) for i in range(len(text)) for k in range(1, 7) if text[i : i + k] in known and i + k <= len(text))
+    assert sum(a.nbytes for a in trie) <= 16 * len({w[:k] for w in known for k in range(1, 7)})
+
+
 def test_query_equals_brute_force(spark, sf_dir):
     """The query's segmentation of whole documents, against a plain search over positions from the end."""
     known = {r.word: r.n for r in Q._dictionary(spark, sf_dir).collect()}
