@@ -7,7 +7,6 @@ digits are one unit each, which no word cuts. A dictionary is a table ``(word, n
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,9 +18,9 @@ from ..storage import written
 
 HAN = r"\p{IsHan}"
 
-#: Distinct strings that a task counts before it hands them on.
-COUNTED = 500_000
-#: Places of a run that are counted before that number is looked at.
+#: Places of texts at which strings begin that a task counts before it hands the counts on.
+COUNTED = 2_000_000
+#: Places of a text that go down a trie together; rows of counts in a batch.
 STRETCH = 10_000
 #: Words in one trie.
 WORDS = 1_000_000
@@ -30,36 +29,83 @@ WORDS = 1_000_000
 # -- learning words --------------------------------------------------------------------------
 
 
+def _prefixes(letters: np.ndarray, begins: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(strings, counts)`` of one letter, of two, up to ``longest``, that begin at the places ``begins`` of a row of code points; 0 is the end of a run.
+
+    As many letters as go into 63 bits make one number, and numbers are sorted: one sorting counts the strings of all these
+    lengths. What is longer goes on from the rank of its beginning."""
+    used = np.flatnonzero(np.bincount(letters, minlength=1))
+    used = used[used > 0]
+    if not len(used):
+        return
+    bits, table = int(len(used)).bit_length(), np.zeros(used[-1] + 1, np.int64)
+    table[used] = np.arange(1, len(used) + 1)
+    small, mask = np.concatenate([table[letters], np.zeros(longest, np.int64)]), (1 << bits) - 1
+    ranks, before, done = np.zeros(len(begins), np.int64), np.empty((1, 0), np.uint32), 0
+    while done < longest and len(begins):
+        width = min(longest - done, (63 - len(before).bit_length()) // bits)
+        keys, live = ranks, np.ones(len(begins), bool)
+        for k in range(width):
+            letter = small[begins + done + k]
+            live &= letter > 0
+            keys = keys << bits | np.where(live, letter, 0)
+        whole = keys[live]
+        keys = np.sort(keys)
+        for k in range(1, width + 1):
+            some = keys >> bits * (width - k)
+            some = some[some & mask > 0]
+            if not len(some):
+                return
+            first = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
+            found, n = some[first], np.diff(np.append(first, len(some)))
+            strings = np.empty((len(found), done + k), np.uint32)
+            strings[:, :done] = before[found >> bits * k]
+            for j in range(k):
+                strings[:, done + j] = used[(found >> bits * (k - 1 - j) & mask) - 1]
+            yield strings.view(f"U{done + k}").ravel(), n
+        done += width
+        if done < longest:
+            before, begins, ranks = strings, begins[live], np.unique(whole, return_inverse=True)[1]
+
+
 def gram_counts(rows: DataFrame, text_col: str = "text", letters: str = HAN, longest: int = 5) -> DataFrame:
     """``(gram, n)``: how often each string of one to ``longest`` letters is in the runs of ``letters`` of the texts.
 
-    A task counts what it reads before anything is shuffled, so a string that is everywhere costs a row for each task
-    and ``COUNTED`` strings. A null text has no runs."""
-    runs = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(f"[{letters}]+"), F.lit(0))
+    A task counts ``COUNTED`` places at a time before anything is shuffled, so a string that is everywhere costs a row for each such lot. A null
+    text has no runs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-        for batch in batches:
-            for run in batch.column(0).to_pylist():
-                for begin in range(0, len(run), STRETCH):
-                    last = min(begin + STRETCH, len(run))
-                    for k in range(1, longest + 1):
-                        counts.update([run[i : i + k] for i in range(begin, min(last, len(run) - k + 1))])
-                    if len(counts) >= COUNTED:
-                        yield pa.RecordBatch.from_pydict({"gram": list(counts), "n": pa.array(counts.values(), pa.int64())})
-                        counts.clear()
-        if counts:
-            yield pa.RecordBatch.from_pydict({"gram": list(counts), "n": pa.array(counts.values(), pa.int64())})
+        held, begins, size = [], [], 0
 
-    each = rows.select(F.explode(runs).alias("run"))
-    return each.mapInArrow(count, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+        def lot() -> Iterator[pa.RecordBatch]:
+            for grams, n in _prefixes(np.concatenate(held), np.concatenate(begins), longest) if held else ():
+                for k in range(0, len(n), STRETCH):
+                    yield pa.RecordBatch.from_arrays([pa.array(grams[k : k + STRETCH], pa.string()), pa.array(n[k : k + STRETCH], pa.int64())], names=["gram", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                codes = _letters(text.as_py())
+                codes[codes == 10] = 0
+                for k in range(0, len(codes), COUNTED):
+                    # letters beyond the stretch are looked at, but no string begins there
+                    part = np.append(codes[k : k + COUNTED + longest - 1], 0)
+                    begins.append(size + np.flatnonzero(part[:COUNTED]))
+                    held.append(part)
+                    size += len(part)
+                    if size >= COUNTED:
+                        yield from lot()
+                        held, begins, size = [], [], 0
+        yield from lot()
+
+    runs = F.regexp_replace(F.lower(F.col(text_col)), f"[^{letters}]+", "\n")
+    return rows.select(runs.alias("runs")).filter("runs <> ''").mapInArrow(count, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _entropy(grams: DataFrame, words: DataFrame, core: Column, label: str) -> DataFrame:
     """``(gram, label)``: entropy of what stands beside a word; the ends of runs count as one more letter.
 
     With c uses of which n are beside each letter it is ln c - (sum of n ln n) / c, so plain sums do."""
-    beside = grams.filter(F.length("gram") > 1).select(core.alias("gram"), F.col("n").cast("double").alias("m"))
+    beside = grams.filter(F.length("gram") > 2).select(core.alias("gram"), F.col("n").cast("double").alias("m"))
     sums = beside.groupBy("gram").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.ln("m")).alias("mm"))
     n = F.col("n").cast("double")
     end = n - F.coalesce("m", F.lit(0.0))

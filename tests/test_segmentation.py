@@ -99,6 +99,24 @@ def test_counts_do_not_depend_on_when_a_task_hands_them_on(spark, monkeypatch):
     assert sorted(map(tuple, few.collect())) == whole
 
 
+def test_a_sorting_counts_strings_of_every_length_for_small_and_large_alphabets():
+    draw = random.Random(7)
+    for alphabet, longest in ((3, 6), (40, 6), (5000, 5), (5000, 9), (70_000, 7), (1, 70)):
+        text = "".join(chr(0x10000 + draw.randrange(alphabet)) if draw.random() < 0.97 else "\n" for _ in range(3000)) * 2
+        codes = S._letters(text)
+        codes[codes == 10] = 0
+        got = Counter()
+        for grams, n in S._prefixes(codes, S.np.flatnonzero(codes), longest):
+            assert len(set(grams.tolist())) == len(grams)
+            got.update(dict(zip(grams.tolist(), n.tolist())))
+        assert got == Counter(t[i : i + k] for t in text.split("\n") for k in range(1, longest + 1) for i in range(len(t) - k + 1))
+
+
+def test_a_task_hands_on_a_row_for_each_string_of_a_lot(spark):
+    plan = S.gram_counts(texts(spark, "天地玄黄" * 50), longest=3)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan, plan  # a text is one row for Python, not one for each run
+
+
 def test_user_words_of_an_exported_dictionary(spark):
     lines = spark.createDataFrame([("丽莎 999999 nr",), ("Sir Bob 12 nr",), ("broken",), ("x 99999999999999999999999 nr",), (None,)], "entry string")
     assert sorted(map(tuple, S.user_words(lines).collect())) == [("sir bob", 12), ("丽莎", 999999)]
