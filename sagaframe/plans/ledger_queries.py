@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -38,7 +40,32 @@ _AGAIN = "(SELECT file_path, task_id, content || CASE WHEN regexp_extract(task_i
 _AGAIN_SCENE = [M.CTE[t][1].replace("FROM dialogue)", f"FROM {_AGAIN})").replace("FROM line)", "FROM again_line)") for t in ("line", "scene")]
 
 
-_NAMED = r"task=([^/]+)/name=([^/]+)/[^/]+$"
+_NAMED = r"([^/~]+)~([^/]+)$"
+#: Folders over which the files are dealt: Spark lists each in one task.
+_FOLDERS = 64
+
+
+def _write_files(dialogues, path):
+    """The folder ``path`` anew, each dialogue a file in it that keeps its name. Tasks write them as they come: Spark's text
+    writer would make and commit a folder for each."""
+    folder, name = F.pmod(F.xxhash64("file_path"), F.lit(_FOLDERS)).cast("string"), F.concat("task_id", F.lit("~"), F.substring_index("file_path", "/", -1))
+
+    def write(batches):
+        fs, root = pa.fs.FileSystem.from_uri(path)
+        n = 0
+        for batch in batches:
+            for where, text in zip(*(c.to_pylist() for c in batch.columns)):
+                with fs.open_output_stream(f"{root}/{where}") as out:
+                    out.write((text or "").encode() + b"\n")
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    fs, root = pa.fs.FileSystem.from_uri(path)
+    fs.create_dir(root)
+    fs.delete_dir_contents(root)
+    for k in range(_FOLDERS):
+        fs.create_dir(f"{root}/{k}")
+    dialogues.select(F.concat_ws("/", folder, name).alias("where"), F.col("content").alias("text")).mapInArrow(write, "n bigint").agg(F.sum("n")).first()
 
 
 def _ingested(spark, d, left: int):
@@ -49,9 +76,8 @@ def _ingested(spark, d, left: int):
     first = M.dialogues(spark, d)
     again = first.filter(number % 3 < left).withColumn("content", F.when(number % 3 == 0, F.concat("content", F.lit("\n## edit\nuser：edited"))).otherwise(F.col("content")))
     for some in (first, again):
-        files = some.select(F.col("content").alias("value"), F.col("task_id").alias("task"), F.substring_index("file_path", "/", -1).alias("name"))
-        files.write.mode("overwrite").partitionBy("task", "name").text(f"{root}/files")
-        changes.ingest_changes(spark, f"{root}/files", store, "part-*", _NAMED)
+        _write_files(some, f"{root}/files")
+        changes.ingest_changes(spark, f"{root}/files", store, "*.txt", _NAMED)
     return store
 
 

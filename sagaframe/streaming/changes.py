@@ -25,10 +25,14 @@ LEDGER = "file_path string, task_id string, size bigint, modified timestamp, con
 PIECES = CHUNKS + ", task_id string"
 
 
-def listing(spark: SparkSession, source: str, pattern: str = CHAPTERS, layout: str = LAYOUT, recursive: bool = True) -> DataFrame:
-    """``(file_path, task_id, size, modified)`` of the files below ``source``. Of files
+def found_in(spark: SparkSession, source: str, pattern: str = CHAPTERS, recursive: bool = True) -> DataFrame:
+    """The files below ``source``, listed once, whatever is then asked of them. One that is gone when it is read is passed over."""
+    return spark.read.format("binaryFile").options(recursiveFileLookup=recursive, pathGlobFilter=pattern, ignoreMissingFiles=True).load(source)
+
+
+def listing(found: DataFrame, layout: str = LAYOUT) -> DataFrame:
+    """``(file_path, task_id, size, modified)`` of the files of ``found_in``. Of files
     with one name in the layout the latest counts. Spark lists no file without bytes."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).load(source)
     meta = found.select("_metadata", F.lit("").alias("value"))
     named = files_of(meta, layout, F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified"))
     last = F.max_by(F.struct("task_id", "size", "modified"), F.struct("modified", "size"))
@@ -59,9 +63,10 @@ def ingest_changes(
 
     def work(tx: Transaction) -> DataFrame:
         ledger = tx.read("ledger", LEDGER)
-        todo = written(differences(listing(spark, source, pattern, layout, recursive), ledger, full), "differences")
+        found = found_in(spark, source, pattern, recursive)
+        todo = written(differences(listing(found, layout), ledger, full), "differences")
         since = todo.agg(F.min("modified")).first()[0]
-        raw = spark.read.text(source, wholetext=True, recursiveFileLookup=recursive, pathGlobFilter=pattern)
+        raw = found.select("_metadata", F.col("content").cast("string").alias("value"))
         if since is not None:
             raw = raw.filter(F.col("_metadata.file_modification_time") >= F.lit(since))
         live = todo.filter("seen <> 'deleted'")

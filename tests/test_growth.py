@@ -7,8 +7,9 @@ import pytest
 from sagaframe import storage
 from sagaframe.operators import bm25
 from sagaframe.operators import graph as G
-from sagaframe.plans import graph_queries
+from sagaframe.plans import graph_queries, ledger_queries
 from sagaframe.plans import model as M
+from sagaframe.streaming import changes
 
 HUB = [(f"c{k:03}", "M", "hub", None) for k in range(300)] + [("hub", "R", "end", None)]
 TYPES = "src string, rel_type string, tgt string, chapter int"
@@ -96,3 +97,17 @@ def test_postings_and_scores_have_tasks_by_rows(spark, monkeypatch):
     both = found()
     assert [sorted((r.q, r.id, round(r.score, 9)) for r in s.collect()) for s in both] == want
     assert all(s.rdd.getNumPartitions() >= 11 for s in both)
+
+
+def test_a_folder_of_files_is_few_folders_and_is_listed_once(spark, tmp_path):
+    root = f"file://{tmp_path}/files"
+    rows = spark.range(300).selectExpr("concat(id, '/chapter1_dialogue.txt') AS file_path", "string(id) AS task_id", "concat('text ', id) AS content")
+    for some in (rows, rows.filter("id < 200")):
+        ledger_queries._write_files(some, root)
+        there = [p for p in (tmp_path / "files").rglob("*") if p.is_file() and not p.name.startswith(".")]
+        assert len(there) == some.count() and len({p.parent for p in there}) <= ledger_queries._FOLDERS
+    assert sorted(p.read_text() for p in there) == sorted(f"text {k}\n" for k in range(200))
+    found = changes.found_in(spark, root, "*.txt")
+    assert {r.file_path for r in changes.listing(found, ledger_queries._NAMED).collect()} == {f"{k}/chapter1_dialogue.txt" for k in range(200)}
+    next(p for p in there if p.name.startswith("7~")).unlink()  # gone between the listing and the reading
+    assert found.select("content").filter("content IS NOT NULL").count() == 199
