@@ -150,6 +150,20 @@ def test_shards_follow_one_another_in_stages_of_their_own(spark):
     assert plan.count("MapInArrow") == 1, plan  # chained, each shard's trie would be held beside the others'
 
 
+def test_an_index_by_many_shards_finds_the_same_and_holds_one_trie_at_a_time(spark, monkeypatch):
+    labels, keep = [], S.written
+    monkeypatch.setattr(S, "written", lambda df, label: labels.append(label) or keep(df, label))
+    known, rows = words(spark, 天地=7, 地玄=11, 玄黄=5, 宇宙=4, 洪荒=2), texts(spark, "天地玄黄", "宇宙洪荒", "地玄宇宙")
+
+    def hits(shard):
+        ix = bm25.index(rows, "id", "text", False, S.cutter(known, shard=shard))
+        return sorted((r.q, r.id, round(r.score, 9)) for r in bm25.search(ix, rows, "id", "text")[0].collect())
+
+    want = hits(1000)
+    assert len(want) == 5 and not labels
+    assert hits(4) == want and labels == ["lattice"] * 2  # of the documents and of the questions
+
+
 def test_trie_holds_its_words_in_two_arrays():
     draw = random.Random(3)
     known = {"".join(draw.choice("ab天\U0001f600") for _ in range(draw.randrange(1, 7))): draw.random() for _ in range(300)}
