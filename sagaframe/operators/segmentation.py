@@ -38,9 +38,10 @@ def _prefixes(letters: np.ndarray, begins: np.ndarray, longest: int) -> Iterator
     used = used[used > 0]
     if not len(used):
         return
-    bits, table = int(len(used)).bit_length(), np.zeros(used[-1] + 1, np.int64)
+    bits, table = int(len(used)).bit_length(), np.zeros(used[-1] + 1, np.int32)
     table[used] = np.arange(1, len(used) + 1)
-    small, mask = np.concatenate([table[letters], np.zeros(longest, np.int64)]), (1 << bits) - 1
+    small, mask = np.concatenate([table[letters], np.zeros(longest, np.int32)]), (1 << bits) - 1
+    del letters
     ranks, before, done = np.zeros(len(begins), np.int64), np.empty((1, 0), np.uint32), 0
     while done < longest and len(begins):
         width = min(longest - done, (63 - len(before).bit_length()) // bits)
@@ -49,8 +50,8 @@ def _prefixes(letters: np.ndarray, begins: np.ndarray, longest: int) -> Iterator
             letter = small[begins + done + k]
             live &= letter > 0
             keys = keys << bits | np.where(live, letter, 0)
-        whole = keys[live]
-        keys = np.sort(keys)
+        whole = keys[live] if done + width < longest else None
+        keys.sort()
         for k in range(1, width + 1):
             some = keys >> bits * (width - k)
             some = some[some & mask > 0]
@@ -78,23 +79,26 @@ def gram_counts(rows: DataFrame, text_col: str = "text", letters: str = HAN, lon
         held, begins, size = [], [], 0
 
         def lot() -> Iterator[pa.RecordBatch]:
-            for grams, n in _prefixes(np.concatenate(held), np.concatenate(begins), longest) if held else ():
+            some = _prefixes(np.concatenate(held), np.concatenate(begins), longest) if held else ()
+            held.clear()
+            begins.clear()
+            for grams, n in some:
                 for k in range(0, len(n), STRETCH):
                     yield pa.RecordBatch.from_arrays([pa.array(grams[k : k + STRETCH], pa.string()), pa.array(n[k : k + STRETCH], pa.int64())], names=["gram", "n"])
 
         for batch in batches:
             for text in batch.column(0):
-                codes = _letters(text.as_py())
-                codes[codes == 10] = 0
-                for k in range(0, len(codes), COUNTED):
+                text = text.as_py()
+                for k in range(0, len(text), COUNTED):
                     # letters beyond the stretch are looked at, but no string begins there
-                    part = np.append(codes[k : k + COUNTED + longest - 1], 0)
-                    begins.append(size + np.flatnonzero(part[:COUNTED]))
+                    part = _letters(text[k : k + COUNTED + longest - 1] + "\n").astype(np.int32)
+                    part[part == 10] = 0
+                    begins.append((size + np.flatnonzero(part[:COUNTED])).astype(np.int32))
                     held.append(part)
                     size += len(part)
                     if size >= COUNTED:
                         yield from lot()
-                        held, begins, size = [], [], 0
+                        size = 0
         yield from lot()
 
     runs = F.regexp_replace(F.lower(F.col(text_col)), f"[^{letters}]+", "\n")
@@ -198,6 +202,17 @@ def _met(text: str, keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[np.n
             at, node = at[more], place[more] + 1
 
 
+def _pieces(text: str) -> Iterator[tuple[int, str]]:
+    """``(begin, piece)`` of a text: as many whole blocks as go into ``STRETCH`` letters, or a longer block by itself."""
+    begin = 0
+    while begin < len(text):
+        end = len(text)
+        if end - begin > STRETCH:
+            end = text.rfind("\n", begin, begin + STRETCH) + 1 or text.find("\n", begin) + 1 or end
+        yield begin, text[begin:end]
+        begin = end
+
+
 def best_path(text: str, ends, sizes, weights, floor: float, inside: Callable[[str], Iterator]) -> list[str]:
     """The units and words of ``text`` on the path with the largest sum of log weights; blocks end at line feeds.
 
@@ -246,7 +261,8 @@ def segment(rows: DataFrame, words: DataFrame, id_col: str = "id", text_col: str
     the text's lattice, and its most likely path (each word as likely as it is used) gives the terms. A letter
     that is in no word is a unit of one use. Words of several blocks (with blanks or signs inside) are never met, so they
     count among the uses but are in no trie. A trie has at most ``shard`` words; a larger dictionary is dealt into shards,
-    and the rows are written with their lattice after each, so that a worker holds one trie whatever the dictionary. A row
+    and the rows are written with their lattice after each, so that a worker holds one trie whatever the dictionary. Blocks do
+    not bear upon each other, so a text goes piece by piece, and a worker holds the paths of one piece beside the row. A row
     is kept whatever its text: null and empty texts have no terms."""
     spark, kind = rows.sparkSession, rows.schema[id_col].dataType.simpleString()
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -262,18 +278,23 @@ def segment(rows: DataFrame, words: DataFrame, id_col: str = "id", text_col: str
             import regex
 
             inside = regex.compile(rf"[^{letters}\n]+").finditer
+            names, kinds = (["id", "terms"], [pa.string()]) if last else (["id", "s", "ends", "sizes", "weights"], [pa.int32(), pa.int32(), pa.float64()])
             for batch in batches:
-                # a row at a time, so that one lattice is held, not a batch's
+                # a row at a time and a piece at a time, so that the lattice and the paths of one piece are held
                 for k in range(batch.num_rows):
-                    text, held = batch.column(1)[k].as_py(), tuple(c[k].values.to_numpy() for c in batch.columns[2:])
-                    lattice = [np.concatenate(c) for c in zip(held, *_met(text, *shared.value))]
-                    row = [batch.column(0).slice(k, 1)]
-                    if last:
-                        terms = [t for t in best_path(text, *lattice, floor, inside) if len(t) >= shortest]
-                        yield pa.RecordBatch.from_arrays([*row, pa.array([terms], pa.list_(pa.string()))], names=["id", "terms"])
-                    else:
-                        arrays = [pa.ListArray.from_arrays([0, len(c)], pa.array(c, t)) for c, t in zip(lattice, (pa.int32(), pa.int32(), pa.float64()))]
-                        yield pa.RecordBatch.from_arrays([*row, batch.column(1).slice(k, 1), *arrays], names=["id", "s", "ends", "sizes", "weights"])
+                    held, found = tuple(c[k].values.to_numpy() for c in batch.columns[2:]), [[pa.array([], t)] for t in kinds]
+                    for begin, piece in _pieces(batch.column(1)[k].as_py()):
+                        some = slice(*np.searchsorted(held[0], (begin, begin + len(piece)), "right"))
+                        ends, sizes, weights = (np.concatenate(c) for c in zip((held[0][some] - begin, held[1][some], held[2][some]), *_met(piece, *shared.value)))
+                        if last:
+                            parts = ([t for t in best_path(piece, ends, sizes, weights, floor, inside) if len(t) >= shortest],)
+                        else:  # in the order of their ends, so that the next step finds those of a piece
+                            order = np.argsort(ends, kind="stable")
+                            parts = ends[order] + begin, sizes[order], weights[order]
+                        for have, more, t in zip(found, parts, kinds):
+                            have.append(pa.array(more, t))
+                    arrays = [pa.ListArray.from_arrays([0, sum(map(len, have))], pa.concat_arrays(have)) for have in found]
+                    yield pa.RecordBatch.from_arrays([batch.column(c).slice(k, 1) for c in range(1 if last else 2)] + arrays, names=names)
 
         return run
 

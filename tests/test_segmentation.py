@@ -1,7 +1,9 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
 
@@ -164,6 +166,54 @@ def test_an_index_by_many_shards_finds_the_same_and_holds_one_trie_at_a_time(spa
     assert hits(4) == want and labels == ["lattice"] * 2  # of the documents and of the questions
 
 
+def steps_of(monkeypatch, rows, known, shard=S.WORDS):
+    """The steps that ``segment`` gives to tasks, as one function from a text to its terms."""
+    steps, keep = [], type(rows).mapInArrow
+    with monkeypatch.context() as m:
+        m.setattr(type(rows), "mapInArrow", lambda self, f, schema: steps.append(f) or keep(self, f, schema))
+        S.segment(rows, known, shard=shard)
+    none = [pa.array([[]], pa.list_(t)) for t in (pa.int32(), pa.int32(), pa.float64())]
+
+    def terms(text):
+        batches = [pa.RecordBatch.from_arrays([pa.array([7]), pa.array([text]), *none], names=["id", "s", "ends", "sizes", "weights"])]
+        for f in steps:
+            batches = list(f(iter(batches)))
+        return batches[0].column(1)[0]
+
+    return terms
+
+
+def test_a_long_text_goes_in_pieces_and_has_the_same_terms(spark, monkeypatch):
+    draw = random.Random(11)
+    known = words(spark, 天地=7, 地玄=11, 天地玄=2, 玄黄=5, 黄a1=3, 宇=4, 地玄黄=6)
+    one, many = (steps_of(monkeypatch, texts(spark, "x"), known, shard) for shard in (1000, 4))
+    for text in ("", "\n", "天地玄黄", *["".join(draw.choice("天地玄黄宇a1b" + "\n" * (k % 4)) for _ in range(300)) for k in range(12)]):
+        want = one(text).as_py()
+        assert want == [t for b in text.split("\n") for t in one(b).as_py()]
+        with monkeypatch.context() as m:
+            m.setattr(S, "STRETCH", 20)
+            assert one(text).as_py() == many(text).as_py() == want
+            pieces = list(S._pieces(text))
+        assert "".join(p for _, p in pieces) == text and all(text[b:].startswith(p) for b, p in pieces)
+        assert all(len(p) <= 20 or "\n" not in p[:-1] for _, p in pieces)
+
+
+def test_what_a_task_holds_does_not_grow_with_a_text(spark, monkeypatch):
+    draw = random.Random(12)
+    block = "".join(draw.choice("天地玄黄宇宙") for _ in range(999)) + "\n"
+    one = steps_of(monkeypatch, texts(spark, "x"), words(spark, 天地=7, 地玄=11, 玄黄=5, 宇宙=4))
+    one(block)
+
+    def most(blocks):
+        tracemalloc.start()
+        one(block * blocks)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return peak
+
+    assert most(160) < 2 * most(20)
+
+
 def test_trie_holds_its_words_in_two_arrays():
     draw = random.Random(3)
     known = {"".join(draw.choice("ab天\U0001f600") for _ in range(draw.randrange(1, 7))): draw.random() for _ in range(300)}
