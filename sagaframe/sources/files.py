@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CHAPTERS, STORIES = "chapter*_dialogue.txt", "story.txt"
@@ -42,14 +42,13 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def export_snapshot(nodes: DataFrame, edges: DataFrame, points: DataFrame, path: str) -> None:
-    """Nodes, edges and points as JSON lines, and a manifest with their counts."""
-    parts = {"nodes": nodes, "relationships": edges, "points": points}
-    counts = None
-    for name, df in parts.items():
-        df.write.mode("overwrite").json(f"{path}/{name}")
-        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
-        counts = one if counts is None else counts.unionByName(one)
-    counts.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    """Nodes, edges and points as gzipped JSON lines, and a manifest with their counts, which are taken while the rows are written."""
+    counts = []
+    for name, df in {"nodes": nodes, "relationships": edges, "points": points}.items():
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(f"{path}/{name}", compression="gzip")
+        counts.append((name, seen.get["n"]))
+    nodes.sparkSession.createDataFrame(counts, "part string, n bigint").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
 def import_snapshot(spark: SparkSession, path: str, schemas: dict) -> dict[str, DataFrame]:
