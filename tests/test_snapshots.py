@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from sagaframe.plans import graph_queries
 from sagaframe.sources import files
 
 TYPES = "src string, rel_type string, tgt string, chapter int"
@@ -23,3 +24,11 @@ def test_a_snapshot_is_gzipped_and_counts_while_it_writes(spark, tmp_path):
     back = files.import_snapshot(spark, path, {"nodes": nodes.schema, "relationships": edges.schema, "points": nodes.schema})
     assert {r.part: r.n for r in back["manifest"].collect()} == {"nodes": 40, "relationships": 2000, "points": 0} and back["points"].isEmpty()
     assert sorted(map(tuple, back["nodes"].collect())) == sorted(map(tuple, nodes.collect())) and back["relationships"].exceptAll(edges).isEmpty()
+
+
+def test_the_manifest_of_the_query_counts_the_lines_of_its_files(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(graph_queries, "shared_dir", lambda spark: f"file://{tmp_path}")
+    row, (where,) = graph_queries.snapshot_manifest(spark, sf_dir).first(), tmp_path.glob("snapshot-*")
+    for part in ("nodes", "relationships", "points"):
+        assert row[part] == spark.read.text(f"file://{where}/{part}").count() > 0
+        assert all(f.name.endswith(".json.gz") for f in (where / part).iterdir() if f.name.startswith("part-"))
